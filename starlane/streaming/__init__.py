@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The original system is batch only -- every path is a button-driven batch
+load or report; "real-time" appears only as wording.  There is no source,
+watermark, window or state to rebuild, so no streaming operator is added.
+A periodic reload is a new batch run of ``starlane.plans.registry``.
+"""
