@@ -12,7 +12,7 @@ from __future__ import annotations
 
 MONEY = "CAST({} AS DECIMAL(12,2))"
 
-BASE = r"""
+FLAT = r"""
 flat0 AS (
   SELECT CAST(l.l_orderkey * 10 + l.l_linenumber AS BIGINT) AS row_id,
          CAST(o.o_orderkey AS VARCHAR) AS order_id,
@@ -45,7 +45,11 @@ flat AS (
   SELECT * EXCLUDE (_ok) FROM flat0
   UNION ALL
   SELECT * EXCLUDE (_ok) FROM flat0 WHERE _ok % 100 = 0
-),
+)
+"""
+
+# flat -> cleaned lines -> dimensions and fact (reads a view/CTE named flat).
+STAR = r"""
 pc_mode AS (
   SELECT postal_code AS m FROM flat WHERE postal_code IS NOT NULL
   GROUP BY postal_code ORDER BY count(*) DESC, postal_code LIMIT 1
@@ -104,7 +108,11 @@ fact_sales AS (
          ON c.postal_code IS NOT DISTINCT FROM r.postal_code
   LEFT JOIN (SELECT product_id, product_key FROM dim_products) p
          ON c.product_id IS NOT DISTINCT FROM p.product_id
-),
+)
+"""
+
+# star tables -> reports (reads fact_sales and dim_* views/CTEs).
+REPORTS = r"""
 a1 AS (
   SELECT CAST(year(d.order_date) AS BIGINT) AS order_year,
          CAST(month(d.order_date) AS BIGINT) AS order_month,
@@ -219,6 +227,9 @@ x1 AS (
 )
 """
 
+BASE = ",\n".join(b.strip() for b in (FLAT, STAR, REPORTS))
+
+
 # Report CTE -> its money columns (cast to DOUBLE on output).
 _MONEY_COLS = {
     "a1": ["total_sales"], "a2": ["total_sales"], "a3": ["total_sales"], "a4": ["total_sales"],
@@ -408,4 +419,14 @@ FINAL: dict[str, str] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f"WITH {BASE.strip()}\n{final}" for name, final in FINAL.items()}
+    return {name: f"WITH {BASE}\n{final}" for name, final in FINAL.items()}
+
+
+def over_flat(name: str) -> str:
+    """The query ``name`` reading a ``flat`` view instead of the test tables."""
+    return f"WITH {STAR.strip()},\n{REPORTS.strip()}\n{FINAL[name]}"
+
+
+def over_star(name: str) -> str:
+    """The query ``name`` reading star-table views (fact_sales, dim_*)."""
+    return f"WITH {REPORTS.strip()}\n{FINAL[name]}"

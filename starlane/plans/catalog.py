@@ -130,13 +130,50 @@ def fact_clustered(spark, sf_dir):
     return L.read_layout(spark, path)
 
 
+# Report-level plans: Star -> DataFrame (money still exact decimal).
+STAR_PLANS: dict[str, Callable[[Star], DataFrame]] = {
+    "mart_preview": L.mart_preview,
+    "sales_by_month": R.sales_by_month,
+    "sales_by_product": R.sales_by_product,
+    "sales_by_category": R.sales_by_category,
+    "sales_by_subcategory": R.sales_by_subcategory,
+    "revenue_by_state": R.revenue_by_state,
+    "lead_time": R.lead_time,
+    "category_performance": R.category_performance,
+    "subcategory_performance": R.subcategory_performance,
+    "avg_order_value_by_category": R.avg_order_value_by_category,
+    "order_frequency_by_customer": R.order_frequency_by_customer,
+    "mart_inventory": R.mart_inventory,
+    "mart_fulfillment": R.mart_fulfillment,
+    "mart_shipping": R.mart_shipping,
+    "sales_by_segment": R.sales_by_segment,
+    "headline_kpis": R.headline_kpis,
+    "top_products": R.top_products,
+    "category_revenue_share": I.category_revenue_share,
+    "top_subcategories_by_orders": I.top_subcategories_by_orders,
+    "sales_by_region": I.sales_by_region,
+    "top_customers_share": I.top_customers_share,
+    "shipping_sample": I.shipping_sample,
+    "shipping_days_by_mode": I.shipping_days_by_mode,
+    "region_sales_share": I.region_sales_share,
+    "category_line_count": I.category_line_count,
+    "category_performance_share": I.category_performance_share,
+    "lead_time_histogram": I.lead_time_histogram,
+    "frequency_buckets": I.frequency_buckets,
+    "sales_by_year": I.sales_by_year,
+    "orders_by_year": I.orders_by_year,
+    "state_revenue_share": I.state_revenue_share,
+    "report_row_counts": report_row_counts,
+}
+
+
 QUERIES: dict[str, Query] = {
     # sources / sinks
     "flat_scan": flat_scan,
     "table_roundtrip": table_roundtrip,
     "fact_partitioned": fact_partitioned,
     "fact_clustered": fact_clustered,
-    "mart_preview": _on_star(L.mart_preview),
+    "mart_preview": _on_star(STAR_PLANS["mart_preview"]),
     # cleaning
     "impute_postal_code": impute_postal_code,
     "dedupe_rows": dedupe_rows,
@@ -154,40 +191,40 @@ QUERIES: dict[str, Query] = {
     "surrogate_keys": surrogate_keys,
     "fact_sales": fact_sales,
     # aggregations
-    "sales_by_month": _on_star(R.sales_by_month),
-    "sales_by_product": _on_star(R.sales_by_product),
-    "sales_by_category": _on_star(R.sales_by_category),
-    "sales_by_subcategory": _on_star(R.sales_by_subcategory),
-    "revenue_by_state": _on_star(R.revenue_by_state),
+    "sales_by_month": _on_star(STAR_PLANS["sales_by_month"]),
+    "sales_by_product": _on_star(STAR_PLANS["sales_by_product"]),
+    "sales_by_category": _on_star(STAR_PLANS["sales_by_category"]),
+    "sales_by_subcategory": _on_star(STAR_PLANS["sales_by_subcategory"]),
+    "revenue_by_state": _on_star(STAR_PLANS["revenue_by_state"]),
     # KPIs
-    "lead_time": _on_star(R.lead_time),
-    "category_performance": _on_star(R.category_performance),
-    "subcategory_performance": _on_star(R.subcategory_performance),
-    "avg_order_value_by_category": _on_star(R.avg_order_value_by_category),
-    "order_frequency_by_customer": _on_star(R.order_frequency_by_customer),
+    "lead_time": _on_star(STAR_PLANS["lead_time"]),
+    "category_performance": _on_star(STAR_PLANS["category_performance"]),
+    "subcategory_performance": _on_star(STAR_PLANS["subcategory_performance"]),
+    "avg_order_value_by_category": _on_star(STAR_PLANS["avg_order_value_by_category"]),
+    "order_frequency_by_customer": _on_star(STAR_PLANS["order_frequency_by_customer"]),
     # marts
-    "mart_inventory": _on_star(R.mart_inventory),
-    "mart_fulfillment": _on_star(R.mart_fulfillment),
-    "mart_shipping": _on_star(R.mart_shipping),
+    "mart_inventory": _on_star(STAR_PLANS["mart_inventory"]),
+    "mart_fulfillment": _on_star(STAR_PLANS["mart_fulfillment"]),
+    "mart_shipping": _on_star(STAR_PLANS["mart_shipping"]),
     # extensions
-    "sales_by_segment": _on_star(R.sales_by_segment),
-    "headline_kpis": _on_star(R.headline_kpis),
-    "top_products": _on_star(R.top_products),
+    "sales_by_segment": _on_star(STAR_PLANS["sales_by_segment"]),
+    "headline_kpis": _on_star(STAR_PLANS["headline_kpis"]),
+    "top_products": _on_star(STAR_PLANS["top_products"]),
     # dashboard summaries
-    "category_revenue_share": _on_star(I.category_revenue_share),
-    "top_subcategories_by_orders": _on_star(I.top_subcategories_by_orders),
-    "sales_by_region": _on_star(I.sales_by_region),
-    "top_customers_share": _on_star(I.top_customers_share),
-    "shipping_sample": _on_star(I.shipping_sample),
-    "shipping_days_by_mode": _on_star(I.shipping_days_by_mode),
-    "region_sales_share": _on_star(I.region_sales_share),
-    "category_line_count": _on_star(I.category_line_count),
-    "category_performance_share": _on_star(I.category_performance_share),
-    "lead_time_histogram": _on_star(I.lead_time_histogram),
-    "frequency_buckets": _on_star(I.frequency_buckets),
-    "sales_by_year": _on_star(I.sales_by_year),
-    "orders_by_year": _on_star(I.orders_by_year),
-    "state_revenue_share": _on_star(I.state_revenue_share),
+    "category_revenue_share": _on_star(STAR_PLANS["category_revenue_share"]),
+    "top_subcategories_by_orders": _on_star(STAR_PLANS["top_subcategories_by_orders"]),
+    "sales_by_region": _on_star(STAR_PLANS["sales_by_region"]),
+    "top_customers_share": _on_star(STAR_PLANS["top_customers_share"]),
+    "shipping_sample": _on_star(STAR_PLANS["shipping_sample"]),
+    "shipping_days_by_mode": _on_star(STAR_PLANS["shipping_days_by_mode"]),
+    "region_sales_share": _on_star(STAR_PLANS["region_sales_share"]),
+    "category_line_count": _on_star(STAR_PLANS["category_line_count"]),
+    "category_performance_share": _on_star(STAR_PLANS["category_performance_share"]),
+    "lead_time_histogram": _on_star(STAR_PLANS["lead_time_histogram"]),
+    "frequency_buckets": _on_star(STAR_PLANS["frequency_buckets"]),
+    "sales_by_year": _on_star(STAR_PLANS["sales_by_year"]),
+    "orders_by_year": _on_star(STAR_PLANS["orders_by_year"]),
+    "state_revenue_share": _on_star(STAR_PLANS["state_revenue_share"]),
     # registry
-    "report_row_counts": _on_star(report_row_counts),
+    "report_row_counts": _on_star(STAR_PLANS["report_row_counts"]),
 }
