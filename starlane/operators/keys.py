@@ -6,8 +6,9 @@ window would pull every key into one task, so the rank is built in pieces:
 
 1. distinct non-null values, range-partitioned and sorted within partitions;
 2. ``monotonically_increasing_id`` then encodes (partition, position);
-3. the frame is checkpointed, because range bounds come from a sample and a
-   recomputation must not move values between partitions;
+3. the frame is written once to the reliable checkpoint folder, because
+   range bounds come from a sample and a recomputation must not move values
+   between partitions;
 4. per-partition counts (one row per partition, a bounded table) become
    prefix offsets that are broadcast back.
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starlane.session import materialize
+from starlane.session import write_and_read
 
 _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
@@ -44,7 +45,7 @@ def dense_codes(
         .sortWithinPartitions(F.col(col).asc())
         .withColumn("_mid", F.monotonically_increasing_id())
     )
-    ranged = materialize(ranged)
+    ranged = write_and_read(ranged, f"codes_{key}")
     located = ranged.select(
         col,
         F.shiftright(F.col("_mid"), _POS_BITS).alias("_part"),

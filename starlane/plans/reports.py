@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starlane.functions.dates import days_between
-from starlane.functions.money import money_avg, money_sum, ratio, round_half_away
+from starlane.functions.money import money, money_avg, money_sum, ratio, round_half_away
 from starlane.operators.star import Star
 
 
@@ -62,13 +62,14 @@ def _sales_orders_by(fact: DataFrame, dim: DataFrame, key: str, attrs: list[str]
                      how: str = "left") -> DataFrame:
     """SUM(sales) and COUNT(DISTINCT order_key) per dimension attributes.
 
-    The fact is first collapsed to (key, order) pairs (partial aggregation
-    absorbs hot keys before the shuffle), joined to the weighted dimension,
-    then counted in two levels: (attrs, order) then attrs.
+    The fact meets the weighted dimension directly (a broadcast when AQE
+    measures it small, so the fact is never shuffled for the join); partial
+    aggregation on (attrs, order) runs in the same stage, then distinct
+    orders are counted in a second, small aggregation.
     """
-    pairs = fact.groupBy(key, "order_key").agg(money_sum("sales").alias("_s"))
-    joined = pairs.join(weighted_dim(dim, key, attrs), key, how)
-    per_order = joined.groupBy(*attrs, "order_key").agg(F.sum(F.col("_s") * _w()).alias("_s"))
+    joined = fact.select(key, "order_key", "sales").join(weighted_dim(dim, key, attrs), key, how)
+    per_order = joined.groupBy(*attrs, "order_key").agg(
+        F.sum(money("sales") * _w()).alias("_s"))
     return per_order.groupBy(*attrs).agg(
         F.sum("_s").alias("total_sales"), F.count(_one()).alias("total_orders")
     )
@@ -130,28 +131,25 @@ def lead_time(star: Star) -> DataFrame:
     """K1: days from an order's first order date to its last ship date, per
     (order, product).
 
-    Ship date is a monotone function of ship_key (the key is its rank), so
-    MAX(ship date) is the date of MAX(ship_key) -- the fact is reduced to
-    one row per (order, product) before any dimension is touched.  Key -1
-    stands for a null ship date and is ignored like MAX ignores nulls.
+    Dimensions are reduced to unique key -> value maps first (ship_key ->
+    ship date, product_key -> product id, order_key -> order id with its
+    earliest order date), so the joins never fan out and MIN/MAX see the
+    same values as over the fanned-out rows.  The order map is joined last:
+    that sort-merge join leaves rows hash-partitioned by order_key, which
+    already satisfies the final grouping, so the fact crosses the network
+    once.
     """
-    per = star.fact_sales.groupBy("order_key", "product_key").agg(
-        F.max(F.when(F.col("ship_key") >= 0, F.col("ship_key"))).alias("_ship_key")
-    )
-    ship = (star.dim_shipping.groupBy("ship_key").agg(F.max("ship_date").alias("_ship_date"))
-            .withColumnRenamed("ship_key", "_ship_key"))
+    ship = star.dim_shipping.groupBy("ship_key").agg(F.max("ship_date").alias("_ship_date"))
+    products = star.dim_products.select("product_key", "product_id").distinct()
     orders = star.dim_orders.groupBy("order_key", "order_id").agg(
         F.min("order_date").alias("_order_date")
     )
-    products = star.dim_products.select("product_key", "product_id").distinct()
     joined = (
-        per.join(ship, "_ship_key", "left")
+        star.fact_sales.select("order_key", "product_key", "ship_key")
+        .join(ship, "ship_key", "left")
         .join(products, "product_key", "left")
         .join(orders, "order_key", "left")
     )
-    # Keys are functions of their ids, so (order_key, product_key) is the
-    # (order_key, order_id, product_id) grain; an order key with several ids
-    # cannot occur, but grouping keeps the SQL meaning if it did.
     return joined.groupBy("order_key", "order_id", "product_id").agg(
         days_between(F.max("_ship_date"), F.min("_order_date")).alias("lead_time_days")
     )
@@ -239,34 +237,44 @@ def mart_inventory(star: Star) -> DataFrame:
     )
 
 
+def _order_mart(star: Star, dims: list[tuple[DataFrame, str, list[str]]],
+                grain: list[str], order_attrs: list[str]) -> tuple[DataFrame, object]:
+    """Fact joined to weighted dimensions, the order dimension last.
+
+    Returns the joined rows and the combined weight (product of the dim row
+    counts behind each joined row).  The last join is the sort-merge join on
+    order_key, so its output is hash-partitioned by order_key and the
+    caller's GROUP BY (which starts with order_key) adds no exchange.
+    """
+    joined = star.fact_sales
+    weight = F.lit(1).cast("bigint")
+    for i, (dim, key, attrs) in enumerate(dims):
+        wname = f"_w{i}"
+        joined = joined.join(weighted_dim(dim, key, attrs).withColumnRenamed("_w", wname), key, "left")
+        weight = weight * _w(wname)
+    orders = weighted_dim(star.dim_orders, "order_key", order_attrs).withColumnRenamed("_w", "_wo")
+    joined = joined.join(orders, "order_key", "left")
+    return joined, weight * _w("_wo")
+
+
 def mart_fulfillment(star: Star) -> DataFrame:
     """M2: sales and line count per order, customer, product name and region.
 
     The region dimension fans out (several cities share a postal code); the
     weighted join multiplies instead of copying rows.
     """
-    base = star.fact_sales.groupBy("order_key", "customer_key", "product_key", "region_key").agg(
-        money_sum("sales").alias("_s"), F.count(_one()).alias("_n")
-    )
-    cust = weighted_dim(star.dim_customers, "customer_key", ["customer_id", "customer_name"]) \
-        .withColumnRenamed("_w", "_wc")
-    prod = weighted_dim(star.dim_products, "product_key", ["product_name"]).withColumnRenamed("_w", "_wp")
-    reg = weighted_dim(
-        star.dim_regions.withColumnRenamed("region", "region_name"), "region_key", ["region_name"]
-    ).withColumnRenamed("_w", "_wr")
-    orders = weighted_dim(star.dim_orders, "order_key", ["order_id"]).withColumnRenamed("_w", "_wo")
-    joined = (
-        base.join(cust, "customer_key", "left")
-        .join(prod, "product_key", "left")
-        .join(reg, "region_key", "left")
-        .join(orders, "order_key", "left")
-    )
-    w = _w("_wc") * _w("_wp") * _w("_wr") * _w("_wo")
+    regions = star.dim_regions.withColumnRenamed("region", "region_name")
+    joined, w = _order_mart(star, [
+        (star.dim_customers, "customer_key", ["customer_id", "customer_name"]),
+        (star.dim_products, "product_key", ["product_name"]),
+        (regions, "region_key", ["region_name"]),
+    ], [], ["order_id"])
     return joined.groupBy(
         "order_key", "order_id", "customer_id", "customer_name", "product_name", "region_name"
     ).agg(
-        F.sum(F.col("_s") * w).alias("total_sales"),
-        F.sum(F.col("_n") * w).alias("total_orders"),
+        F.sum(money("sales") * w).alias("total_sales"),
+        F.coalesce(F.sum(F.when(F.col("order_key").isNotNull(), w)), F.lit(0).cast("bigint"))
+        .alias("total_orders"),
     )
 
 
@@ -274,39 +282,27 @@ def mart_shipping(star: Star) -> DataFrame:
     """M3: sales, line count and rounded average shipping days per order,
     customer, region and ship mode.
 
-    Two fan-outs (cities per postal code, modes per ship date).  The fact is
-    summed per (order, customer, region, ship) key tuple first; the average
-    becomes sum(days * n) / sum(n) over the rows where both dates exist, and
+    Two fan-outs (cities per postal code, modes per ship date) become
+    weights; the mode fan-out is the grouping itself and is produced inside
+    the broadcast-join stage, right before partial aggregation.  The
+    average is sum(days * w) / sum(w) over rows where both dates exist and
     rounds half away from zero like the warehouse cast.
     """
-    base = star.fact_sales.groupBy("order_key", "customer_key", "region_key", "ship_key").agg(
-        money_sum("sales").alias("_s"), F.count(_one()).alias("_n")
-    )
-    cust = weighted_dim(star.dim_customers, "customer_key", ["customer_id", "customer_name"]) \
-        .withColumnRenamed("_w", "_wc")
-    reg = weighted_dim(
-        star.dim_regions.withColumnRenamed("region", "region_name"), "region_key", ["region_name"]
-    ).withColumnRenamed("_w", "_wr")
-    ship = weighted_dim(star.dim_shipping, "ship_key", ["ship_mode", "ship_date"]) \
-        .withColumnRenamed("_w", "_ws")
-    orders = weighted_dim(star.dim_orders, "order_key", ["order_id", "order_date"]) \
-        .withColumnRenamed("_w", "_wo")
-    joined = (
-        base.join(cust, "customer_key", "left")
-        .join(reg, "region_key", "left")
-        .join(ship, "ship_key", "left")
-        .join(orders, "order_key", "left")
-    )
-    w = _w("_wc") * _w("_wr") * _w("_ws") * _w("_wo")
+    regions = star.dim_regions.withColumnRenamed("region", "region_name")
+    joined, w = _order_mart(star, [
+        (star.dim_customers, "customer_key", ["customer_id", "customer_name"]),
+        (regions, "region_key", ["region_name"]),
+        (star.dim_shipping, "ship_key", ["ship_mode", "ship_date"]),
+    ], [], ["order_id", "order_date"])
     days = F.datediff("ship_date", "order_date").cast("bigint")
-    nw = F.col("_n") * w
     agg = joined.groupBy(
         "order_key", "order_id", "customer_id", "customer_name", "region_name", "ship_mode"
     ).agg(
-        F.sum(F.col("_s") * w).alias("total_sales"),
-        F.sum(nw).alias("total_orders"),
-        F.sum(days * nw).alias("_days"),
-        F.sum(F.when(days.isNotNull(), nw)).alias("_nd"),
+        F.sum(money("sales") * w).alias("total_sales"),
+        F.coalesce(F.sum(F.when(F.col("order_key").isNotNull(), w)), F.lit(0).cast("bigint"))
+        .alias("total_orders"),
+        F.sum(days * w).alias("_days"),
+        F.sum(F.when(days.isNotNull(), w)).alias("_nd"),
     )
     return agg.select(
         "order_key", "order_id", "customer_id", "customer_name", "region_name", "ship_mode",

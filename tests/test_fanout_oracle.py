@@ -62,3 +62,24 @@ def test_fixture_really_fans_out(fixture_star):
                      ("dim_customers", "customer_key")]:
         df = getattr(fixture_star, dim)
         assert df.count() > df.select(key).distinct().count(), dim
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    yield
+    for k, v in old.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["lead_time", "mart_fulfillment", "mart_shipping", "revenue_by_state",
+                                  "sales_by_month", "order_frequency_by_customer", "mart_inventory"])
+def test_report_with_sort_merge_joins(fixture_star, duck, no_broadcast, name):
+    """Same answers when every join is a shuffle join (the large-scale plan)."""
+    _check(finalize(STAR_PLANS[name](fixture_star)), duck, name)
