@@ -12,11 +12,17 @@ window would pull every key into one task, so the rank is built in pieces:
 4. per-partition counts (one row per partition, a bounded table) become
    prefix offsets that are broadcast back.
 
+Several key domains (one per dimension) share one pass: values are stacked
+as (domain, value) with one typed value column per data type, so each
+domain keeps its own type's ordering, and offsets are summed per domain.
+
 Nothing grows with the data except the distributed steps.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,41 +32,81 @@ _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
 
 
-def dense_codes(
+def _slot(type_name: str) -> str:
+    return "_v_" + "".join(ch if ch.isalnum() else "_" for ch in type_name)
+
+
+def dense_codes_many(
     values: DataFrame,
-    col: str,
-    key: str,
+    specs: dict[str, str],
     num_partitions: int | None = None,
-) -> DataFrame:
-    """Map each distinct non-null ``col`` value to its 0-based sorted rank.
+) -> dict[str, DataFrame]:
+    """Dense 0-based codes for several columns of ``values`` in one pass.
 
-    Returns ``(col, key)`` with one row per distinct non-null value.  Null is
-    not in the map; callers turn a failed lookup into -1.
+    ``specs`` maps natural column -> key name.  Returns key name ->
+    ``(natural column, key)`` with one row per distinct non-null value.
+    Null is not in a map; callers turn a failed lookup into -1.
     """
     spark = values.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    distinct = values.select(col).where(F.col(col).isNotNull()).distinct()
+    types = {c: values.schema[c].dataType.simpleString() for c in specs}
+    slots = sorted(set(types.values()))
+
+    stacked = reduce(
+        DataFrame.unionByName,
+        [
+            values.where(F.col(c).isNotNull()).select(
+                F.lit(i).alias("_dom"),
+                *[
+                    (F.col(c) if types[c] == t else F.lit(None).cast(t)).alias(_slot(t))
+                    for t in slots
+                ],
+            )
+            for i, c in enumerate(specs)
+        ],
+    ).distinct()
+    order = [F.col("_dom").asc()] + [F.col(_slot(t)).asc() for t in slots]
     ranged = (
-        distinct.repartitionByRange(n, F.col(col).asc())
-        .sortWithinPartitions(F.col(col).asc())
+        stacked.repartitionByRange(n, *order)
+        .sortWithinPartitions(*order)
         .withColumn("_mid", F.monotonically_increasing_id())
     )
-    ranged = write_and_read(ranged, f"codes_{key}")
+    ranged = write_and_read(ranged, "key_codes")
     located = ranged.select(
-        col,
+        "_dom",
+        *[_slot(t) for t in slots],
         F.shiftright(F.col("_mid"), _POS_BITS).alias("_part"),
         F.col("_mid").bitwiseAND(F.lit(_POS_MASK)).alias("_pos"),
     )
-    # One row per partition: bounded by n, safe to rank in one task and to
-    # broadcast.
-    sizes = located.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per (partition, domain): bounded by n * len(specs), safe to
+    # rank in one task per domain and to broadcast.
+    sizes = located.groupBy("_part", "_dom").agg(
+        F.count(F.lit(1)).alias("_size"), F.min("_pos").alias("_first")
+    )
+    before = Window.partitionBy("_dom").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
+        "_part", "_dom", "_first",
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
     )
-    return located.join(F.broadcast(offsets), "_part").select(
-        col, (F.col("_offset") + F.col("_pos")).cast("bigint").alias(key)
+    coded = located.join(F.broadcast(offsets), ["_part", "_dom"]).withColumn(
+        "_key", (F.col("_offset") + F.col("_pos") - F.col("_first")).cast("bigint")
     )
+    return {
+        key: coded.where(F.col("_dom") == i).select(
+            F.col(_slot(types[c])).alias(c), F.col("_key").alias(key)
+        )
+        for i, (c, key) in enumerate(specs.items())
+    }
+
+
+def dense_codes(
+    values: DataFrame,
+    col: str,
+    key: str,
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Map each distinct non-null ``col`` value to its 0-based sorted rank."""
+    return dense_codes_many(values, {col: key}, num_partitions)[key]
 
 
 def attach_key(df: DataFrame, codes: DataFrame, col: str, key: str) -> DataFrame:

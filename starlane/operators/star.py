@@ -7,7 +7,7 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starlane.operators.keys import attach_key, dense_codes
+from starlane.operators.keys import attach_key, dense_codes_many
 from starlane.session import write_and_read
 
 # Each dimension is distinct on all of its columns, but its key
@@ -41,11 +41,9 @@ class Star:
 
 
 def key_maps(clean: DataFrame) -> dict[str, DataFrame]:
-    """Natural key -> surrogate key, one distributed dense rank per dim."""
-    return {
-        key: dense_codes(clean, natural, key)
-        for _, (_, natural, key) in DIMENSIONS.items()
-    }
+    """Natural key -> surrogate key for all five dimensions, one
+    distributed dense-rank pass over the stacked key domains."""
+    return dense_codes_many(clean, {natural: key for _, natural, key in DIMENSIONS.values()})
 
 
 def build_dimension(clean: DataFrame, name: str, codes: DataFrame) -> DataFrame:

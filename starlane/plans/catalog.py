@@ -22,12 +22,13 @@ from starlane.plans import layout as L
 from starlane.plans import reports as R
 from starlane.plans.registry import report_row_counts
 from starlane.session import scratch_path
-from starlane.sources.flat import standin_flat
+from starlane.sources.flat import read_flat_csv, standin_flat, write_flat_csv
 from starlane.sources.tables import read_tables, write_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _STARS: dict[tuple[str, str], Star] = {}
+_CSV: dict[tuple[str, str, str], str] = {}
 
 
 def star_for(spark: SparkSession, sf_dir: str) -> Star:
@@ -48,8 +49,16 @@ def _on_star(plan: Callable[[Star], DataFrame]) -> Query:
 # ------------------------------------------------------------ flat / clean
 
 def flat_scan(spark, sf_dir):
-    """The flat order lines (stand-in built from the test tables)."""
-    return standin_flat(spark, sf_dir)
+    """Flat order lines read from CSV with header and explicit schema.
+
+    The stand-in lines are exported as CSV once per session (with the
+    original header names) and read back through the CSV reader."""
+    key = ("csv", spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _CSV:
+        path = scratch_path(spark, f"flat_csv_{abs(hash(key)) % 10**8}")
+        write_flat_csv(standin_flat(spark, sf_dir), path)
+        _CSV[key] = path
+    return read_flat_csv(spark, _CSV[key])
 
 
 def impute_postal_code(spark, sf_dir):

@@ -57,6 +57,15 @@ def write_bucketed(star: Star, table: str, buckets: int = 64) -> str:
     return table
 
 
+def write_layouts(star: Star, base: str) -> dict[str, str]:
+    """Write both layouts under ``base``; returns name -> path."""
+    return {
+        "fact_sales_partitioned": write_partitioned(star, f"{base.rstrip('/')}/fact_sales_partitioned"),
+        "fact_sales_partitioned_clustered": write_clustered(
+            star, f"{base.rstrip('/')}/fact_sales_partitioned_clustered"),
+    }
+
+
 def read_layout(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

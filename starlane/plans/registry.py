@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from starlane.operators.star import Star
 from starlane.plans import reports as R
+from starlane.session import write_and_read
 from starlane.sources.tables import read_table, write_tables
 
 Plan = Callable[[Star], DataFrame]
@@ -73,6 +74,47 @@ def run_all(star: Star, group: str, base: str | None = None
     return results, errors
 
 
+_MARTS: dict[tuple[int, str], DataFrame] = {}
+
+
+def fetch_mart(star: Star, name: str) -> DataFrame:
+    """A data mart, built and written once per star, then served from
+    its written table (the dashboard's memoised fetch)."""
+    memo = (id(star), name)
+    if memo not in _MARTS:
+        _MARTS[memo] = write_and_read(run(star, name), name)
+    return _MARTS[memo]
+
+
+def rebuild_marts(star: Star) -> dict[str, DataFrame]:
+    """Drop memoised marts of ``star`` and build all three again."""
+    for memo in [m for m in _MARTS if m[0] == id(star)]:
+        del _MARTS[memo]
+    return {name: fetch_mart(star, name) for name in REPORTS["marts"]}
+
+
+def run_batch(flat: DataFrame, base: str, strict: bool = True) -> dict[str, object]:
+    """The whole batch -- clean, model, load the star, run every report
+    group into its tables, write both fact layouts.  Returns where things
+    went and which reports failed."""
+    from starlane.operators.clean import clean_flat
+    from starlane.operators.star import build_star
+    from starlane.plans.layout import write_layouts
+
+    root = base.rstrip("/")
+    star = build_star(clean_flat(flat, strict=strict))
+    tables = write_tables(star.tables(), f"{root}/star")
+    star = Star(**{n: read_table(flat.sparkSession, p) for n, p in tables.items()})
+    errors: dict[str, str] = {}
+    reports: dict[str, list[str]] = {}
+    for group in REPORTS:
+        results, errs = run_all(star, group, f"{root}/reports")
+        reports[group] = sorted(results)
+        errors.update(errs)
+    layouts = write_layouts(star, f"{root}/layouts")
+    return {"tables": tables, "reports": reports, "errors": errors, "layouts": layouts}
+
+
 def report_row_counts(star: Star) -> DataFrame:
     """R3 summary: rows produced by every report, one row per report."""
     parts = []

@@ -44,3 +44,17 @@ def test_more_partitions_than_values(spark):
 def test_empty_input(spark):
     df = spark.createDataFrame([(None,)], "k string")
     assert dense_codes(df, "k", "key").count() == 0
+
+
+def test_many_domains_one_pass(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["b", "a", "zz", "c"]) + str(rnd.randint(0, 40)) if rnd.random() > 0.1 else None,
+             float(rnd.randint(-20, 20)) if rnd.random() > 0.1 else None,
+             rnd.randint(0, 9))
+            for _ in range(3000)]
+    df = spark.createDataFrame(rows, "s string, x double, i long").repartition(9)
+    from starlane.operators.keys import dense_codes_many
+    maps = dense_codes_many(df, {"s": "ks", "x": "kx", "i": "ki"}, num_partitions=6)
+    for col, key in [("s", "ks"), ("x", "kx"), ("i", "ki")]:
+        got = {r[col]: r[key] for r in maps[key].collect()}
+        assert got == _dense_rank(df, col), col

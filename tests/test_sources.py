@@ -60,3 +60,20 @@ def test_report_row_counts(fixture_star):
     rows = registry.report_row_counts(fixture_star).collect()
     assert len(rows) == sum(len(g) for g in registry.REPORTS.values())
     assert all(r.row_count > 0 for r in rows)
+
+
+def test_fetch_mart_memoised_and_rebuilt(fixture_star):
+    a = registry.fetch_mart(fixture_star, "mart_inventory_analysis")
+    assert registry.fetch_mart(fixture_star, "mart_inventory_analysis") is a
+    rebuilt = registry.rebuild_marts(fixture_star)
+    assert rebuilt["mart_inventory_analysis"] is not a
+    assert rebuilt["mart_inventory_analysis"].count() == a.count()
+
+
+def test_run_batch(spark):
+    base = tempfile.mkdtemp(prefix="starlane-batch-")
+    out = registry.run_batch(flat_frame(spark), base)
+    assert not out["errors"]
+    assert sum(len(v) for v in out["reports"].values()) == 13
+    assert set(out["layouts"]) == {"fact_sales_partitioned", "fact_sales_partitioned_clustered"}
+    assert os.path.isdir(os.path.join(base, "reports", "mart_shipping_logistics"))
