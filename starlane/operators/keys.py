@@ -10,7 +10,8 @@ window would pull every key into one task, so the rank is built in pieces:
    range bounds come from a sample and a recomputation must not move values
    between partitions;
 4. per-partition counts (one row per partition, a bounded table) become
-   prefix offsets that are broadcast back.
+   prefix offsets that are broadcast back; the finished map is written once
+   more so its many lookups are plain scans.
 
 Several key domains (one per dimension) share one pass: values are stacked
 as (domain, value) with one typed value column per data type, so each
@@ -88,9 +89,13 @@ def dense_codes_many(
         "_part", "_dom", "_first",
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
     )
-    coded = located.join(F.broadcast(offsets), ["_part", "_dom"]).withColumn(
-        "_key", (F.col("_offset") + F.col("_pos") - F.col("_first")).cast("bigint")
+    coded = located.join(F.broadcast(offsets), ["_part", "_dom"]).select(
+        "_dom", *[_slot(t) for t in slots],
+        (F.col("_offset") + F.col("_pos") - F.col("_first")).cast("bigint").alias("_key"),
     )
+    # Every dimension and the fact look keys up here: write the finished
+    # map once so each lookup is a plain (domain-filtered) scan.
+    coded = write_and_read(coded, "key_map")
     return {
         key: coded.where(F.col("_dom") == i).select(
             F.col(_slot(types[c])).alias(c), F.col("_key").alias(key)

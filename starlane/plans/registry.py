@@ -8,6 +8,7 @@ with the reports that failed and why (a failure never stops the group).
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -74,22 +75,21 @@ def run_all(star: Star, group: str, base: str | None = None
     return results, errors
 
 
-_MARTS: dict[tuple[int, str], DataFrame] = {}
+_MARTS: "weakref.WeakKeyDictionary[Star, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
 
 
 def fetch_mart(star: Star, name: str) -> DataFrame:
     """A data mart, built and written once per star, then served from
     its written table (the dashboard's memoised fetch)."""
-    memo = (id(star), name)
-    if memo not in _MARTS:
-        _MARTS[memo] = write_and_read(run(star, name), name)
-    return _MARTS[memo]
+    memo = _MARTS.setdefault(star, {})
+    if name not in memo:
+        memo[name] = write_and_read(run(star, name), name)
+    return memo[name]
 
 
 def rebuild_marts(star: Star) -> dict[str, DataFrame]:
     """Drop memoised marts of ``star`` and build all three again."""
-    for memo in [m for m in _MARTS if m[0] == id(star)]:
-        del _MARTS[memo]
+    _MARTS.pop(star, None)
     return {name: fetch_mart(star, name) for name in REPORTS["marts"]}
 
 
