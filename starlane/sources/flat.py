@@ -33,7 +33,7 @@ FLAT_SCHEMA = T.StructType(
 
 FLAT_COLUMNS = [f.name for f in FLAT_SCHEMA.fields]
 
-# Header names of the original export, in schema order.
+# Header names of the original export, in schema order.
 CSV_HEADER = [
     "Row ID", "Order ID", "Order Date", "Ship Date", "Ship Mode",
     "Customer ID", "Customer Name", "Segment", "Country", "City", "State",
@@ -42,19 +42,28 @@ CSV_HEADER = [
 ]
 
 
+# The same schema under the export's header names.
+CSV_SCHEMA = T.StructType(
+    [T.StructField(h, f.dataType, f.nullable) for h, f in zip(CSV_HEADER, FLAT_SCHEMA.fields)]
+)
+
+
 def read_flat_csv(spark: SparkSession, path: str) -> DataFrame:
     """Read flat CSV order lines with a header and an explicit schema.
 
     No inference pass: the schema is fixed, so a 100 TB input is read once
-    and every file gets the same types.  Columns are matched by position, the
-    header line is skipped.
+    and every file gets the same types.  Every file's header is checked
+    against the expected names (``enforceSchema`` off), a malformed line
+    fails the read, and columns come out in snake_case.
     """
-    return (
-        spark.read.schema(FLAT_SCHEMA)
+    raw = (
+        spark.read.schema(CSV_SCHEMA)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("mode", "FAILFAST")
         .csv(path)
     )
+    return raw.select([F.col(f"`{h}`").alias(c) for h, c in zip(CSV_HEADER, FLAT_COLUMNS)])
 
 
 def write_flat_csv(df: DataFrame, path: str) -> None:
@@ -96,6 +105,8 @@ def standin_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(cust, orders.o_custkey == cust.c_custkey)
         .join(part, li.l_partkey == part.p_partkey)
     )
+    # Planted duplicates: lines of every 100th order appear twice.  This adds
+    # rows on top of the whole table; it never selects a subset.
     copies = F.when(F.col("o_orderkey") % 100 == 0, F.lit(2)).otherwise(F.lit(1))
     custkey_s = F.col("c_custkey").cast("string")
     flat = lines.select(

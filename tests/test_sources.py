@@ -77,3 +77,12 @@ def test_run_batch(spark):
     assert sum(len(v) for v in out["reports"].values()) == 13
     assert set(out["layouts"]) == {"fact_sales_partitioned", "fact_sales_partitioned_clustered"}
     assert os.path.isdir(os.path.join(base, "reports", "mart_shipping_logistics"))
+
+
+def test_flat_csv_rejects_wrong_header(spark):
+    import pytest
+    path = os.path.join(tempfile.mkdtemp(prefix="starlane-csv-"), "bad")
+    flat = flat_frame(spark).withColumnRenamed("sales", "Revenue")
+    flat.write.option("header", True).csv(path)
+    with pytest.raises(Exception):
+        read_flat_csv(spark, path).collect()
