@@ -45,6 +45,23 @@ REPORTS: dict[str, dict[str, tuple[str, Plan]]] = {
 }
 
 
+# Advisory display order of the original report definitions (ORDER BY inside
+# a create-table is not kept by the table), completed with a unique
+# tie-break.  A leading "-" means descending.
+ORDER: dict[str, list[str]] = {
+    "aggregate_sales_by_month": ["order_year", "order_month"],
+    "aggregate_sales_by_product": ["-total_sales", "product_key", "product_name",
+                                   "category", "sub_category"],
+    "aggregate_sales_by_category": ["-total_sales", "category"],
+    "aggregate_sales_by_subcategory": ["-total_sales", "subcategory"],
+    "aggregate_revenue_by_region": ["-total_revenue", "region"],
+}
+
+
+def _sort_cols(spec: list[str]):
+    return [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in spec]
+
+
 def _find(name: str) -> tuple[str, Plan]:
     for group in REPORTS.values():
         if name in group:
@@ -52,15 +69,19 @@ def _find(name: str) -> tuple[str, Plan]:
     raise KeyError(f"unknown report {name!r}")
 
 
-def run(star: Star, name: str, base: str | None = None) -> DataFrame:
+def run(star: Star, name: str, base: str | None = None, ordered: bool = False) -> DataFrame:
     """R2: build one report.  With ``base`` the result is written as its
-    output table (replacing it) and the table is read back."""
+    output table (replacing it) and the table is read back.  ``ordered``
+    applies the report's display order on the way out (a global sort, so
+    only asked for when a person will read the rows)."""
     table, plan = _find(name)
     df = R.finalize(plan(star))
-    if base is None:
-        return df
-    where = write_tables({table: df}, base)
-    return read_table(df.sparkSession, where[table])
+    if base is not None:
+        where = write_tables({table: df}, base)
+        df = read_table(df.sparkSession, where[table])
+    if ordered and name in ORDER:
+        df = df.orderBy(*_sort_cols(ORDER[name]))
+    return df
 
 
 def run_all(star: Star, group: str, base: str | None = None

@@ -86,3 +86,12 @@ def test_flat_csv_rejects_wrong_header(spark):
     flat.write.option("header", True).csv(path)
     with pytest.raises(Exception):
         read_flat_csv(spark, path).collect()
+
+
+def test_ordered_run(fixture_star):
+    rows = registry.run(fixture_star, "aggregate_sales_by_category", ordered=True).collect()
+    totals = [r.total_sales for r in rows]
+    assert totals == sorted(totals, reverse=True)
+    months = registry.run(fixture_star, "aggregate_sales_by_month", ordered=True).collect()
+    keys = [(r.order_year, r.order_month) for r in months]
+    assert keys == sorted(keys, key=lambda k: (k[0] is not None, k))
