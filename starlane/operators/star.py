@@ -25,6 +25,13 @@ FACT_KEYS = ["order_key", "ship_key", "customer_key", "region_key", "product_key
 
 @dataclass(frozen=True)
 class Star:
+    """The fact and its five dimensions.
+
+    Invariants the report plans rely on: every dimension is distinct on all
+    of its columns, and its key is a function of one natural column (so
+    keys may repeat across rows, never the other way round).
+    """
+
     fact_sales: DataFrame
     dim_orders: DataFrame
     dim_shipping: DataFrame

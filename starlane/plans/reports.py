@@ -30,6 +30,12 @@ from starlane.functions.money import money, money_avg, money_sum, ratio, round_h
 from starlane.operators.star import Star
 
 
+_DIM_OF_KEY = {
+    "order_key": "dim_orders", "ship_key": "dim_shipping", "customer_key": "dim_customers",
+    "region_key": "dim_regions", "product_key": "dim_products",
+}
+
+
 def _one():
     return F.lit(1)
 
@@ -46,10 +52,18 @@ def finalize(df: DataFrame) -> DataFrame:
     )
 
 
-def weighted_dim(dim: DataFrame, key: str, attrs: list[str]) -> DataFrame:
+def weighted_dim(dim: DataFrame, key: str, attrs: list[str], star_dim: bool = False) -> DataFrame:
     """Reduce a dimension to its distinct (key, attrs) with the number of
     dimension rows behind each, which is how often a LEFT join on ``key``
-    would repeat a fact row into that group."""
+    would repeat a fact row into that group.
+
+    ``star_dim`` says ``dim`` is a star dimension table itself, which is
+    distinct on all its columns (D1-D5): when (key, attrs) is every column,
+    each weight is 1 and no aggregation -- no shuffle of a possibly
+    order-sized dimension -- is needed.
+    """
+    if star_dim and {key, *attrs} == set(dim.columns):
+        return dim.select(key, *attrs, F.lit(1).cast("bigint").alias("_w"))
     return dim.groupBy(key, *attrs).agg(F.count(_one()).alias("_w"))
 
 
@@ -100,7 +114,8 @@ def sales_by_product(star: Star) -> DataFrame:
         .groupBy("product_key").agg(F.sum("_s").alias("_s"), F.count(_one()).alias("_o"))
     )
     attrs = ["product_name", "category", "sub_category"]
-    joined = per_key.join(weighted_dim(star.dim_products, "product_key", attrs), "product_key", "left")
+    dim = weighted_dim(star.dim_products, "product_key", ["product_id", *attrs], star_dim=True)
+    joined = per_key.join(dim, "product_key", "left")
     return joined.groupBy("product_key", *attrs).agg(
         F.sum(F.col("_s") * _w()).alias("total_sales"),
         F.max("_o").alias("total_orders"),
@@ -230,7 +245,8 @@ def mart_inventory(star: Star) -> DataFrame:
         star.fact_sales.groupBy("product_key", "order_key").agg(money_sum("sales").alias("_s"))
         .groupBy("product_key").agg(F.sum("_s").alias("_s"), F.count(_one()).alias("_o"))
     )
-    joined = per_key.join(weighted_dim(star.dim_products, "product_key", attrs), "product_key", "inner")
+    dim = weighted_dim(star.dim_products, "product_key", ["product_id", *attrs], star_dim=True)
+    joined = per_key.join(dim, "product_key", "inner")
     return joined.groupBy("product_key", *attrs).agg(
         F.max("_o").alias("total_orders"),
         F.sum(F.col("_s") * F.col("_w")).alias("total_sales_revenue"),
@@ -238,7 +254,7 @@ def mart_inventory(star: Star) -> DataFrame:
 
 
 def _order_mart(star: Star, dims: list[tuple[DataFrame, str, list[str]]],
-                grain: list[str], order_attrs: list[str]) -> tuple[DataFrame, object]:
+                order_attrs: list[str]) -> tuple[DataFrame, object]:
     """Fact joined to weighted dimensions, the order dimension last.
 
     Returns the joined rows and the combined weight (product of the dim row
@@ -250,9 +266,11 @@ def _order_mart(star: Star, dims: list[tuple[DataFrame, str, list[str]]],
     weight = F.lit(1).cast("bigint")
     for i, (dim, key, attrs) in enumerate(dims):
         wname = f"_w{i}"
-        joined = joined.join(weighted_dim(dim, key, attrs).withColumnRenamed("_w", wname), key, "left")
+        wd = weighted_dim(dim, key, attrs, star_dim=dim is getattr(star, _DIM_OF_KEY[key]))
+        joined = joined.join(wd.withColumnRenamed("_w", wname), key, "left")
         weight = weight * _w(wname)
-    orders = weighted_dim(star.dim_orders, "order_key", order_attrs).withColumnRenamed("_w", "_wo")
+    orders = weighted_dim(star.dim_orders, "order_key", order_attrs, star_dim=True) \
+        .withColumnRenamed("_w", "_wo")
     joined = joined.join(orders, "order_key", "left")
     return joined, weight * _w("_wo")
 
@@ -268,7 +286,7 @@ def mart_fulfillment(star: Star) -> DataFrame:
         (star.dim_customers, "customer_key", ["customer_id", "customer_name"]),
         (star.dim_products, "product_key", ["product_name"]),
         (regions, "region_key", ["region_name"]),
-    ], [], ["order_id"])
+    ], ["order_id"])
     return joined.groupBy(
         "order_key", "order_id", "customer_id", "customer_name", "product_name", "region_name"
     ).agg(
@@ -293,7 +311,7 @@ def mart_shipping(star: Star) -> DataFrame:
         (star.dim_customers, "customer_key", ["customer_id", "customer_name"]),
         (regions, "region_key", ["region_name"]),
         (star.dim_shipping, "ship_key", ["ship_mode", "ship_date"]),
-    ], [], ["order_id", "order_date"])
+    ], ["order_id", "order_date"])
     days = F.datediff("ship_date", "order_date").cast("bigint")
     agg = joined.groupBy(
         "order_key", "order_id", "customer_id", "customer_name", "region_name", "ship_mode"
