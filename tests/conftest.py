@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -16,7 +17,9 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return get_session("local[*]", app="starlane-tests", shuffle_partitions=8)
+    warehouse = tempfile.mkdtemp(prefix="starlane-warehouse-")
+    return get_session("local[*]", app="starlane-tests", shuffle_partitions=8,
+                       extra={"spark.sql.warehouse.dir": warehouse})
 
 
 @pytest.fixture(scope="session")

@@ -61,3 +61,20 @@ def test_eager_aggregation_below_join(fixture_star):
     join_at = min(i for i, l in enumerate(tree.splitlines()) if "Join" in l)
     below = tree.splitlines()[join_at:]
     assert any("HashAggregate" in l for l in below)
+
+
+def test_bucketed_layout_joins_without_fact_shuffle(spark, fixture_star):
+    table = L.write_bucketed(fixture_star, "fact_sales_bucketed_test", buckets=4)
+    df = spark.table(table)
+    assert df.count() == fixture_star.fact_sales.join(
+        fixture_star.dim_orders.select("order_key", "order_date"), "order_key").count()
+    detail = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+    assert detail.get("Num Buckets") == "4"
+    assert "customer_key" in detail.get("Bucket Columns", "")
+    # an aggregation on the bucket column needs no exchange
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(df.groupBy("customer_key").count())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange hashpartitioning" not in plan
