@@ -40,7 +40,7 @@ def main() -> None:
     spark = get_session(
         f"local[{cpus}]",
         app="starlane-bench",
-        shuffle_partitions=max(8, 2 * cpus),
+        shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(8, 2 * cpus))),
         extra={"spark.driver.memory": "16g"},
     )
     timings: dict[str, float] = {}
