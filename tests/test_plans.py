@@ -78,3 +78,14 @@ def test_bucketed_layout_joins_without_fact_shuffle(spark, fixture_star):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Exchange hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("name", sorted(STAR_PLANS))
+def test_single_partition_only_over_grouped_data(fixture_star, name):
+    """Any move of data into one partition sits directly on an aggregate
+    (grouped, bounded rows) -- never on raw fact or dimension rows."""
+    lines = plan_of(finalize(STAR_PLANS[name](fixture_star))).split("\n\n")[0].splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            child = lines[i + 1]
+            assert "HashAggregate" in child or "TakeOrderedAndProject" in child, (name, child)
