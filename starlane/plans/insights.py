@@ -2,9 +2,9 @@
 
 Each chart of the original dashboard post-aggregated a report; here that is
 one more lazy step on the same lineage, so nothing is collected in between.
-Shares divide by a total taken with a window over the *grouped* result,
-whose size is the number of categories / regions / states / top-k rows, not
-the number of facts.
+Shares divide by a total computed as a scalar subquery over the grouped
+result (a global sum; Spark reuses the grouping shuffle), so no fact-sized
+data ever moves to a single partition.
 """
 
 from __future__ import annotations
@@ -18,10 +18,6 @@ from starlane.operators.star import Star
 from starlane.plans import reports as R
 
 
-def _whole():
-    return Window.partitionBy()
-
-
 # Fixed values from the dashboard.
 TOP_SUBCATEGORIES = 10
 TOP_CUSTOMERS = 5
@@ -30,9 +26,18 @@ HISTOGRAM_BINS = 20
 
 
 def share_of_total(df: DataFrame, value: str, out: str, within: list[str] | None = None) -> DataFrame:
-    """Add ``out`` = value / total of value (per ``within`` groups)."""
-    w = Window.partitionBy(*within) if within else _whole()
-    return df.withColumn(out, ratio(F.col(value), F.sum(value).over(w)))
+    """Add ``out`` = value / total of value (per ``within`` groups).
+
+    The overall total is a scalar subquery: a global sum (one partial row
+    per partition) evaluated once and inlined, reusing the shuffle that
+    produced ``df`` -- no window moves ``df`` itself into one partition.
+    Per-group totals use a window partitioned by ``within``.
+    """
+    if within:
+        total = F.sum(value).over(Window.partitionBy(*within))
+    else:
+        total = df.agg(F.sum(value)).scalar()
+    return df.withColumn(out, ratio(F.col(value), total))
 
 
 def top_k(df: DataFrame, key: str, value: str, k: int) -> DataFrame:
@@ -123,12 +128,13 @@ def lead_time_histogram(star: Star, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """C11: counts of K1 lead times in ``bins`` equal-width bins over [min, max].
 
     The fact-sized K1 is reduced to one row per distinct day count (a domain
-    bounded by the calendar span) by a distributed aggregation; min, max and
-    binning then run over that small frame.
+    bounded by the calendar span) by a distributed aggregation; min and max
+    are scalar subqueries over that small frame, binning is a projection.
     """
     counts = (R.lead_time(star).where(F.col("lead_time_days").isNotNull())
               .groupBy("lead_time_days").agg(F.count(F.lit(1)).alias("_n")))
-    lo, hi = F.min("lead_time_days").over(_whole()), F.max("lead_time_days").over(_whole())
+    lo = counts.agg(F.min("lead_time_days")).scalar()
+    hi = counts.agg(F.max("lead_time_days")).scalar()
     binned = counts.select(
         "_n",
         equal_width_bin("lead_time_days", lo, hi, bins).alias("bin"),
