@@ -133,8 +133,9 @@ def lead_time_histogram(star: Star, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """
     counts = (R.lead_time(star).where(F.col("lead_time_days").isNotNull())
               .groupBy("lead_time_days").agg(F.count(F.lit(1)).alias("_n")))
-    lo = counts.agg(F.min("lead_time_days")).scalar()
-    hi = counts.agg(F.max("lead_time_days")).scalar()
+    bounds = counts.agg(F.struct(F.min("lead_time_days").alias("lo"),
+                                 F.max("lead_time_days").alias("hi"))).scalar()
+    lo, hi = bounds.getField("lo"), bounds.getField("hi")
     binned = counts.select(
         "_n",
         equal_width_bin("lead_time_days", lo, hi, bins).alias("bin"),
