@@ -78,7 +78,13 @@ def sales_between(spark: SparkSession, path: str, start: str, end: str) -> DataF
               .groupBy("order_date").agg(F.sum(F.col("sales").cast("decimal(12,2)")).alias("total_sales")))
 
 
+def preview(df: DataFrame, n: int, order: list[str] | None = None) -> DataFrame:
+    """The first n rows of a frame in a stable order (all columns as the
+    tie-break by default), as a per-partition top-n -- never a full sort."""
+    return df.orderBy(*(order or df.columns)).limit(n)
+
+
 def mart_preview(star: Star, n: int = 10) -> DataFrame:
     """The first n rows of the inventory mart in a stable order."""
-    return R.mart_inventory(star).orderBy(
-        "product_key", "product_name", "category", "sub_category").limit(n)
+    return preview(R.mart_inventory(star), n,
+                   ["product_key", "product_name", "category", "sub_category"])

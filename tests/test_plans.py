@@ -89,3 +89,9 @@ def test_single_partition_only_over_grouped_data(fixture_star, name):
         if "Exchange SinglePartition" in line:
             child = lines[i + 1]
             assert "HashAggregate" in child or "TakeOrderedAndProject" in child, (name, child)
+
+
+def test_preview_is_top_n_not_full_sort(fixture_star):
+    plan = plan_of(L.preview(fixture_star.fact_sales, 5))
+    assert "TakeOrderedAndProject" in plan
+    assert len(L.preview(fixture_star.fact_sales, 5).collect()) == 5
