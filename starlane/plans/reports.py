@@ -253,26 +253,42 @@ def mart_inventory(star: Star) -> DataFrame:
     )
 
 
-def _order_mart(star: Star, dims: list[tuple[DataFrame, str, list[str]]],
-                order_attrs: list[str]) -> tuple[DataFrame, object]:
-    """Fact joined to weighted dimensions, the order dimension last.
+def _order_mart(star: Star, early: list[tuple[DataFrame, str, list[str]]],
+                order_attrs: list[str],
+                late: list[tuple[DataFrame, str, list[str]]] = ()) -> tuple[DataFrame, object]:
+    """Fact joined to weighted dimensions around the order dimension.
+
+    ``early`` dimensions (possibly large: customers, products) are joined
+    first, then the order dimension -- at scale a sort-merge join on
+    order_key, whose output is hash-partitioned by order_key so the caller's
+    GROUP BY (which starts with order_key) adds no exchange -- and then the
+    ``late`` ones: small dimensions whose rows fan out (ship modes per ship
+    date, region names per postal code).  Broadcast joins keep the order_key
+    partitioning, so fanned-out rows go straight into the aggregation and
+    are never shuffled.
 
     Returns the joined rows and the combined weight (product of the dim row
-    counts behind each joined row).  The last join is the sort-merge join on
-    order_key, so its output is hash-partitioned by order_key and the
-    caller's GROUP BY (which starts with order_key) adds no exchange.
+    counts behind each joined row).
     """
     joined = star.fact_sales
     weight = F.lit(1).cast("bigint")
-    for i, (dim, key, attrs) in enumerate(dims):
+
+    def attach(df, i, dim, key, attrs):
         wname = f"_w{i}"
         wd = weighted_dim(dim, key, attrs, star_dim=dim is getattr(star, _DIM_OF_KEY[key]))
-        joined = joined.join(wd.withColumnRenamed("_w", wname), key, "left")
-        weight = weight * _w(wname)
+        return df.join(wd.withColumnRenamed("_w", wname), key, "left"), _w(wname)
+
+    for i, (dim, key, attrs) in enumerate(early):
+        joined, w = attach(joined, i, dim, key, attrs)
+        weight = weight * w
     orders = weighted_dim(star.dim_orders, "order_key", order_attrs, star_dim=True) \
         .withColumnRenamed("_w", "_wo")
     joined = joined.join(orders, "order_key", "left")
-    return joined, weight * _w("_wo")
+    weight = weight * _w("_wo")
+    for i, (dim, key, attrs) in enumerate(late, start=len(early)):
+        joined, w = attach(joined, i, dim, key, attrs)
+        weight = weight * w
+    return joined, weight
 
 
 def mart_fulfillment(star: Star) -> DataFrame:
@@ -282,11 +298,15 @@ def mart_fulfillment(star: Star) -> DataFrame:
     weighted join multiplies instead of copying rows.
     """
     regions = star.dim_regions.withColumnRenamed("region", "region_name")
-    joined, w = _order_mart(star, [
-        (star.dim_customers, "customer_key", ["customer_id", "customer_name"]),
-        (star.dim_products, "product_key", ["product_name"]),
-        (regions, "region_key", ["region_name"]),
-    ], ["order_id"])
+    joined, w = _order_mart(
+        star,
+        early=[
+            (star.dim_customers, "customer_key", ["customer_id", "customer_name"]),
+            (star.dim_products, "product_key", ["product_name"]),
+        ],
+        order_attrs=["order_id"],
+        late=[(regions, "region_key", ["region_name"])],
+    )
     return joined.groupBy(
         "order_key", "order_id", "customer_id", "customer_name", "product_name", "region_name"
     ).agg(
@@ -307,11 +327,15 @@ def mart_shipping(star: Star) -> DataFrame:
     rounds half away from zero like the warehouse cast.
     """
     regions = star.dim_regions.withColumnRenamed("region", "region_name")
-    joined, w = _order_mart(star, [
-        (star.dim_customers, "customer_key", ["customer_id", "customer_name"]),
-        (regions, "region_key", ["region_name"]),
-        (star.dim_shipping, "ship_key", ["ship_mode", "ship_date"]),
-    ], ["order_id", "order_date"])
+    joined, w = _order_mart(
+        star,
+        early=[(star.dim_customers, "customer_key", ["customer_id", "customer_name"])],
+        order_attrs=["order_id", "order_date"],
+        late=[
+            (regions, "region_key", ["region_name"]),
+            (star.dim_shipping, "ship_key", ["ship_mode", "ship_date"]),
+        ],
+    )
     days = F.datediff("ship_date", "order_date").cast("bigint")
     agg = joined.groupBy(
         "order_key", "order_id", "customer_id", "customer_name", "region_name", "ship_mode"
