@@ -63,15 +63,23 @@ def build_fact(clean: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
     """Swap the five natural keys for surrogate keys, keep sales, dedupe.
 
     Each surrogate key is an injective function of its natural key (null ->
-    -1), so deduplicating on (sales, natural keys) *before* the lookups gives
-    exactly the rows of deduplicating on (sales, surrogate keys) after them,
-    with less data going through the five joins.  The maps are unique per
-    natural key, so the joins never fan out.
+    -1), so deduplicating on (sales, natural keys) gives exactly the rows of
+    deduplicating on (sales, surrogate keys).  The maps are unique per
+    natural key, so no lookup fans out.
+
+    Order of work: the order-id lookup comes first.  When that map is too
+    large to broadcast it is a sort-merge join, which leaves rows
+    hash-partitioned by order_id; the DISTINCT that follows keeps order_id
+    among its keys, so that partitioning already satisfies it and the
+    dedupe adds no second shuffle of the fact.  The other four (smaller)
+    lookups run on the deduplicated rows.
     """
     naturals = [DIMENSIONS[d][1] for d in DIMENSIONS]
-    fact = clean.select("sales", *naturals).distinct()
+    fact = attach_key(clean.select("sales", *naturals), maps["order_key"], "order_id", "order_key")
+    fact = fact.select("sales", "order_id", "order_key", *naturals[1:]).distinct()
     for name, (_, natural, key) in DIMENSIONS.items():
-        fact = attach_key(fact, maps[key], natural, key)
+        if key != "order_key":
+            fact = attach_key(fact, maps[key], natural, key)
     return fact.select("sales", *FACT_KEYS)
 
 
