@@ -95,3 +95,15 @@ def test_ordered_run(fixture_star):
     months = registry.run(fixture_star, "aggregate_sales_by_month", ordered=True).collect()
     keys = [(r.order_year, r.order_month) for r in months]
     assert keys == sorted(keys, key=lambda k: (k[0] is not None, k))
+
+
+def test_cli_batch_from_csv_and_report(spark, capsys):
+    from starlane.__main__ import main
+    root = tempfile.mkdtemp(prefix="starlane-cli-")
+    csv = os.path.join(root, "flat_csv")
+    write_flat_csv(flat_frame(spark), csv)
+    main(["batch", "--csv", csv, "--out", os.path.join(root, "out")])
+    assert '"errors": {}' in capsys.readouterr().out
+    main(["report", "aggregate_sales_by_category", "--out", os.path.join(root, "out"), "--ordered"])
+    shown = capsys.readouterr().out
+    assert "total_sales" in shown and "Tech" in shown
