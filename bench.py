@@ -4,7 +4,8 @@ Prints one JSON line.  Environment: BENCH_SF_DIR (default
 /root/testdata/sf0.1), BENCH_CPUS (default 8).  Each query is executed in
 full through the ``noop`` sink (every row is produced, nothing is collected
 to the driver); ``star_build`` covers flat stand-in -> cleaning -> keys ->
-dimensions -> fact, written once.
+dimensions -> fact, written once.  Each query is timed from plan
+construction, so report tables written on first use are counted.
 """
 
 from __future__ import annotations
@@ -50,9 +51,10 @@ def main() -> None:
     timings["star_build"] = time.perf_counter() - t0
 
     for name in HEADLINE:
-        df = catalog.QUERIES[name](spark, sf_dir)
+        # Timed from plan construction: a summary's first use of a report
+        # table includes writing that table.
         t0 = time.perf_counter()
-        run_noop(df)
+        run_noop(catalog.QUERIES[name](spark, sf_dir))
         timings[name] = time.perf_counter() - t0
 
     m = re.search(r"sf([0-9.]+)", sf_dir)

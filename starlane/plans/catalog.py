@@ -20,7 +20,7 @@ from starlane.operators.star import DIMENSIONS, Star, build_star
 from starlane.plans import insights as I
 from starlane.plans import layout as L
 from starlane.plans import reports as R
-from starlane.plans.registry import report_row_counts
+from starlane.plans.registry import report_frame, report_row_counts
 from starlane.session import scratch_path
 from starlane.sources.flat import read_flat_csv, standin_flat, write_flat_csv
 from starlane.sources.tables import read_tables, write_tables
@@ -139,6 +139,16 @@ def fact_clustered(spark, sf_dir):
     return L.read_layout(spark, path)
 
 
+def _over(report: str, summary: Callable[[DataFrame], DataFrame]) -> Callable[[Star], DataFrame]:
+    """A dashboard summary over a report table written once per star."""
+    return lambda star: summary(report_frame(star, report))
+
+
+def _over2(summary: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[Star], DataFrame]:
+    return lambda star: summary(report_frame(star, "product_category_performance"),
+                                report_frame(star, "product_subcategory_performance"))
+
+
 # Report-level plans: Star -> DataFrame (money still exact decimal).
 STAR_PLANS: dict[str, Callable[[Star], DataFrame]] = {
     "mart_preview": L.mart_preview,
@@ -158,20 +168,21 @@ STAR_PLANS: dict[str, Callable[[Star], DataFrame]] = {
     "sales_by_segment": R.sales_by_segment,
     "headline_kpis": R.headline_kpis,
     "top_products": R.top_products,
-    "category_revenue_share": I.category_revenue_share,
-    "top_subcategories_by_orders": I.top_subcategories_by_orders,
-    "sales_by_region": I.sales_by_region,
-    "top_customers_share": I.top_customers_share,
-    "shipping_sample": I.shipping_sample,
-    "shipping_days_by_mode": I.shipping_days_by_mode,
-    "region_sales_share": I.region_sales_share,
-    "category_line_count": I.category_line_count,
-    "category_performance_share": I.category_performance_share,
-    "lead_time_histogram": I.lead_time_histogram,
-    "frequency_buckets": I.frequency_buckets,
-    "sales_by_year": I.sales_by_year,
-    "orders_by_year": I.orders_by_year,
-    "state_revenue_share": I.state_revenue_share,
+    "category_revenue_share": _over("mart_inventory_analysis", I.category_revenue_share),
+    "top_subcategories_by_orders": _over("mart_inventory_analysis", I.top_subcategories_by_orders),
+    "sales_by_region": _over("mart_order_fulfillment", I.sales_by_region),
+    "top_customers_share": _over("mart_order_fulfillment", I.top_customers_share),
+    "shipping_sample": _over("mart_shipping_logistics", I.shipping_sample),
+    "shipping_days_by_mode": _over("mart_shipping_logistics", I.shipping_days_by_mode),
+    "region_sales_share": _over("mart_shipping_logistics", I.region_sales_share),
+    "category_line_count": _over2(I.category_line_count),
+    "category_performance_share": _over2(I.category_performance_share),
+    "lead_time_histogram": _over("calculate_lead_time", I.lead_time_histogram),
+    "frequency_buckets": lambda star: I.frequency_buckets(
+        R.order_frequency_by_customer(star, rounded=False)),
+    "sales_by_year": _over("aggregate_sales_by_month", I.sales_by_year),
+    "orders_by_year": _over("aggregate_sales_by_month", I.orders_by_year),
+    "state_revenue_share": _over("aggregate_revenue_by_region", I.state_revenue_share),
     "report_row_counts": report_row_counts,
 }
 

@@ -96,21 +96,30 @@ def run_all(star: Star, group: str, base: str | None = None
     return results, errors
 
 
-_MARTS: "weakref.WeakKeyDictionary[Star, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
+_BUILT: "weakref.WeakKeyDictionary[Star, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
+
+
+def report_frame(star: Star, name: str) -> DataFrame:
+    """A report built once per star, written to the reliable staging folder
+    and served from there afterwards -- the way the dashboard reads report
+    tables instead of recomputing them for every chart.  Money keeps its
+    exact decimal type, so charts can re-aggregate it exactly."""
+    memo = _BUILT.setdefault(star, {})
+    if name not in memo:
+        _, plan = _find(name)
+        memo[name] = write_and_read(plan(star), name)
+    return memo[name]
 
 
 def fetch_mart(star: Star, name: str) -> DataFrame:
     """A data mart, built and written once per star, then served from
     its written table (the dashboard's memoised fetch)."""
-    memo = _MARTS.setdefault(star, {})
-    if name not in memo:
-        memo[name] = write_and_read(run(star, name), name)
-    return memo[name]
+    return R.finalize(report_frame(star, name))
 
 
 def rebuild_marts(star: Star) -> dict[str, DataFrame]:
-    """Drop memoised marts of ``star`` and build all three again."""
-    _MARTS.pop(star, None)
+    """Drop the memoised reports of ``star`` and build the three marts again."""
+    _BUILT.pop(star, None)
     return {name: fetch_mart(star, name) for name in REPORTS["marts"]}
 
 

@@ -63,11 +63,15 @@ def test_report_row_counts(fixture_star):
 
 
 def test_fetch_mart_memoised_and_rebuilt(fixture_star):
-    a = registry.fetch_mart(fixture_star, "mart_inventory_analysis")
-    assert registry.fetch_mart(fixture_star, "mart_inventory_analysis") is a
+    name = "mart_inventory_analysis"
+    table = registry.report_frame(fixture_star, name)
+    assert registry.report_frame(fixture_star, name) is table  # built once
+    a = registry.fetch_mart(fixture_star, name)
+    assert a.count() == table.count()
+    assert dict(a.dtypes)["total_sales_revenue"] == "double"
     rebuilt = registry.rebuild_marts(fixture_star)
-    assert rebuilt["mart_inventory_analysis"] is not a
-    assert rebuilt["mart_inventory_analysis"].count() == a.count()
+    assert registry.report_frame(fixture_star, name) is not table  # rebuilt
+    assert rebuilt[name].count() == a.count()
 
 
 def test_run_batch(spark):
