@@ -4,12 +4,14 @@ Each query starts from the test tables in ``sf_dir``: the flat stand-in is
 derived from them, cleaned, modelled as a star and reported on.  The star
 is built once per session and input folder and written to the reliable
 checkpoint folder (like loading the warehouse once); every report then reads
-those files.
+those files, and the dashboard summaries read report tables that are
+themselves written once per star.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +57,7 @@ def flat_scan(spark, sf_dir):
     original header names) and read back through the CSV reader."""
     key = ("csv", spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key not in _CSV:
-        path = scratch_path(spark, f"flat_csv_{abs(hash(key)) % 10**8}")
+        path = scratch_path(spark, f"flat_csv_{uuid.uuid4().hex[:12]}")
         write_flat_csv(standin_flat(spark, sf_dir), path)
         _CSV[key] = path
     return read_flat_csv(spark, _CSV[key])
