@@ -95,3 +95,12 @@ def test_preview_is_top_n_not_full_sort(fixture_star):
     plan = plan_of(L.preview(fixture_star.fact_sales, 5))
     assert "TakeOrderedAndProject" in plan
     assert len(L.preview(fixture_star.fact_sales, 5).collect()) == 5
+
+
+def test_month_partitions_prune(spark, fixture_star):
+    path = os.path.join(tempfile.mkdtemp(prefix="starlane-layout-"), "fact_by_month")
+    L.write_partitioned(fixture_star, path, by="month")
+    df = L.read_layout(spark, path)
+    q = df.where("order_month = date'2020-01-01'")
+    assert "PartitionFilters: [isnotnull(order_month" in plan_of(q)
+    assert q.count() == df.where("order_date between date'2020-01-01' and date'2020-01-31'").count() > 0
