@@ -127,3 +127,15 @@ def test_constant_histogram(spark):
     lo, hi = df.agg(F.min("x")).scalar(), df.agg(F.max("x")).scalar()
     got = df.select(equal_width_bin("x", lo, hi, 20).alias("b")).groupBy("b").count().collect()
     assert [(r.b, r["count"]) for r in got] == [(1, 3)]
+
+
+def test_lenient_pipeline_quarantines_and_continues(spark):
+    rows = list(ROWS) + [(99, "O9", "2020-13-01", "02/01/2020", "Std", "C1", "Ann", "S", "US", "A",
+                          "NY", "East", 100.0, "P1", "Tech", "Tech/Pen", "Pen", 1.0)]
+    flat = flat_frame(spark, rows)
+    with pytest.raises(Exception):
+        C.clean_flat(flat).collect()
+    clean = C.clean_flat(flat, strict=False)
+    assert clean.where("order_id = 'O9'").count() == 0
+    star = build_star(clean, stage_clean=False)
+    assert R.finalize(R.headline_kpis(star)).first().total_orders == 8
