@@ -4,8 +4,8 @@ Each query starts from the test tables in ``sf_dir``: the flat stand-in is
 derived from them, cleaned, modelled as a star and reported on.  The star
 is built once per session and input folder and written to the reliable
 checkpoint folder (like loading the warehouse once); every report then reads
-those files, and the dashboard summaries read report tables that are
-themselves written once per star.
+those files, and the dashboard summaries read reports that are built once
+per star and cached (``registry.report_frame``).
 """
 
 from __future__ import annotations

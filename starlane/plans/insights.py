@@ -3,8 +3,8 @@
 Each chart of the original dashboard post-aggregated a report table; here
 each function takes that report's frame (exact decimal money, as produced
 by ``plans.reports``) and adds one more lazy step, so nothing is collected
-in between.  The registered queries feed them the report tables written
-once per star (``registry.report_frame``).
+in between.  The registered queries feed them reports built once per star
+and cached (``registry.report_frame``).
 Shares divide by a total computed as a scalar subquery over the grouped
 result (a global sum; Spark reuses the grouping shuffle), so no fact-sized
 data ever moves to a single partition.

@@ -11,12 +11,12 @@ from __future__ import annotations
 import weakref
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starlane.operators.star import Star
 from starlane.plans import reports as R
-from starlane.session import write_and_read
 from starlane.sources.tables import read_table, write_tables
 
 Plan = Callable[[Star], DataFrame]
@@ -100,14 +100,18 @@ _BUILT: "weakref.WeakKeyDictionary[Star, dict[str, DataFrame]]" = weakref.WeakKe
 
 
 def report_frame(star: Star, name: str) -> DataFrame:
-    """A report built once per star, written to the reliable staging folder
-    and served from there afterwards -- the way the dashboard reads report
-    tables instead of recomputing them for every chart.  Money keeps its
-    exact decimal type, so charts can re-aggregate it exactly."""
+    """A report built once per star and kept for reuse -- the dashboard's
+    memoised fetch, so several charts over one report do not rebuild it.
+
+    The frame is persisted (memory, spilling to disk).  This is a cache,
+    not a lineage cut: its lineage starts at the star tables, which are
+    written to reliable storage, so blocks lost with an executor are simply
+    recomputed.  Money keeps its exact decimal type, so charts can
+    re-aggregate it exactly.  ``rebuild_marts`` drops the cache."""
     memo = _BUILT.setdefault(star, {})
     if name not in memo:
         _, plan = _find(name)
-        memo[name] = write_and_read(plan(star), name)
+        memo[name] = plan(star).persist(StorageLevel.MEMORY_AND_DISK)
     return memo[name]
 
 
@@ -118,8 +122,10 @@ def fetch_mart(star: Star, name: str) -> DataFrame:
 
 
 def rebuild_marts(star: Star) -> dict[str, DataFrame]:
-    """Drop the memoised reports of ``star`` and build the three marts again."""
-    _BUILT.pop(star, None)
+    """Drop the memoised reports of ``star`` (unpersisting them) and build
+    the three marts again."""
+    for df in _BUILT.pop(star, {}).values():
+        df.unpersist()
     return {name: fetch_mart(star, name) for name in REPORTS["marts"]}
 
 
@@ -148,7 +154,7 @@ def run_batch(flat: DataFrame, base: str, strict: bool = True) -> dict[str, obje
 def report_row_counts(star: Star) -> DataFrame:
     """R3 summary: rows produced by every report, one row per report.
 
-    Counts the report tables (built once per star, see ``report_frame``),
+    Counts the reports as built once per star (``report_frame``),
     so running the whole catalogue builds each report at most once."""
     parts = []
     for group, reports in REPORTS.items():

@@ -108,7 +108,7 @@ def main() -> None:
         "aggregated); *single* counts SinglePartition exchanges "
         "(only over already-grouped, bounded results), BHJ/SMJ count broadcast and "
         "sort-merge joins. *fact columns* is what the fact scan reads; it is blank for the "
-        "dashboard summaries, which read report tables written once per star, not the fact.",
+        "dashboard summaries, which read reports built once per star and cached, not the fact.",
         "",
         "The *no broadcast* rows are the worst case: every dimension is shuffled. At "
         "100 TB the expected shape lies between the two. The order, customer and product "
