@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starlane.operators.keys import attach_key, dense_codes_many
-from starlane.session import write_and_read
+from starlane.session import run_concurrently, write_and_read
 
 # Each dimension is distinct on all of its columns, but its key
 # encodes only one natural column (so keys can repeat across dim rows).
@@ -43,8 +43,13 @@ class Star:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
     def written(self) -> "Star":
-        """Write every table once (Parquet, reliable folder) and read back."""
-        return replace(self, **{n: write_and_read(df, n) for n, df in self.tables().items()})
+        """Write every table once (Parquet, reliable folder) and read back.
+
+        The six writes are independent jobs, submitted together so Spark's
+        scheduler can run their stages side by side instead of leaving
+        executors idle behind the small dimension jobs."""
+        return replace(self, **run_concurrently(
+            {n: (lambda df=df, n=n: write_and_read(df, n)) for n, df in self.tables().items()}))
 
 
 def key_maps(clean: DataFrame) -> dict[str, DataFrame]:

@@ -5,9 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 # Settings that matter at scale.  AQE re-plans joins at runtime from real
 # shuffle sizes (sort-merge -> broadcast only when the measured side is below
 # the adaptive threshold), coalesces small shuffle partitions and splits
@@ -85,6 +90,16 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def run_concurrently(actions: dict[str, Callable[[], T]], max_workers: int = 8) -> dict[str, T]:
+    """Run independent Spark actions from a few driver threads so their jobs
+    share the cluster; results by name, the first failure re-raised."""
+    if len(actions) <= 1:
+        return {name: fn() for name, fn in actions.items()}
+    with ThreadPoolExecutor(max_workers=min(max_workers, len(actions))) as pool:
+        futures = {name: pool.submit(fn) for name, fn in actions.items()}
+        return {name: f.result() for name, f in futures.items()}
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and cut its lineage.
 

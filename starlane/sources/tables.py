@@ -9,23 +9,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from starlane.session import run_concurrently
+
 
 def write_tables(tables: dict[str, DataFrame], base: str | None = None) -> dict[str, str]:
     """Write every frame, replacing the previous table of that name.
 
-    Returns name -> location.  Each write is one distributed job; no frame is
-    brought to the driver.
+    Returns name -> location.  Each write is one distributed job, the jobs
+    are submitted together (independent tables); no frame is brought to the
+    driver.
     """
-    where = {}
-    for name, df in tables.items():
+    def write(name: str, df: DataFrame) -> str:
         if base is None:
             df.write.mode("overwrite").saveAsTable(name)
-            where[name] = name
-        else:
-            path = f"{base.rstrip('/')}/{name}"
-            df.write.mode("overwrite").parquet(path)
-            where[name] = path
-    return where
+            return name
+        path = f"{base.rstrip('/')}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return path
+
+    return run_concurrently({n: (lambda n=n, df=df: write(n, df)) for n, df in tables.items()})
 
 
 def read_table(spark: SparkSession, location: str) -> DataFrame:
