@@ -125,19 +125,19 @@ def fact_sales(spark, sf_dir):
 def table_roundtrip(spark, sf_dir):
     """Write all six star tables (replace) and read the fact back."""
     star = star_for(spark, sf_dir)
-    where = write_tables(star.tables(), scratch_path(spark, "roundtrip"))
+    where = write_tables(star.tables(), scratch_path(spark, f"roundtrip-{uuid.uuid4().hex[:12]}"))
     return read_tables(spark, where)["fact_sales"]
 
 
 def fact_partitioned(spark, sf_dir):
     """Date-partitioned fact (LEFT join to orders), read back."""
-    path = L.write_partitioned(star_for(spark, sf_dir), scratch_path(spark, "fact_partitioned"))
+    path = L.write_partitioned(star_for(spark, sf_dir), scratch_path(spark, f"fact_partitioned-{uuid.uuid4().hex[:12]}"))
     return L.read_layout(spark, path)
 
 
 def fact_clustered(spark, sf_dir):
     """Date-partitioned, key-sorted fact (INNER join to orders), read back."""
-    path = L.write_clustered(star_for(spark, sf_dir), scratch_path(spark, "fact_clustered"))
+    path = L.write_clustered(star_for(spark, sf_dir), scratch_path(spark, f"fact_clustered-{uuid.uuid4().hex[:12]}"))
     return L.read_layout(spark, path)
 
 
