@@ -111,3 +111,11 @@ def test_cli_batch_from_csv_and_report(spark, capsys):
     main(["report", "aggregate_sales_by_category", "--out", os.path.join(root, "out"), "--ordered"])
     shown = capsys.readouterr().out
     assert "total_sales" in shown and "Tech" in shown
+
+
+def test_write_tables_to_catalog_concurrently(spark, fixture_star):
+    tables = {f"cat_{n}": df for n, df in fixture_star.tables().items()}
+    where = write_tables(tables)              # catalog tables, written together
+    where = write_tables(tables)              # and replaced
+    for name, loc in where.items():
+        assert spark.table(loc).count() == tables[name].count()
