@@ -121,11 +121,16 @@ def fetch_mart(star: Star, name: str) -> DataFrame:
     return R.finalize(report_frame(star, name))
 
 
-def rebuild_marts(star: Star) -> dict[str, DataFrame]:
-    """Drop the memoised reports of ``star`` (unpersisting them) and build
-    the three marts again."""
+def release(star: Star) -> None:
+    """Unpersist every report cached for ``star`` (e.g. once a dashboard
+    session ends, or before a rebuild)."""
     for df in _BUILT.pop(star, {}).values():
         df.unpersist()
+
+
+def rebuild_marts(star: Star) -> dict[str, DataFrame]:
+    """Drop the memoised reports of ``star`` and build the three marts again."""
+    release(star)
     return {name: fetch_mart(star, name) for name in REPORTS["marts"]}
 
 

@@ -119,3 +119,11 @@ def test_write_tables_to_catalog_concurrently(spark, fixture_star):
     where = write_tables(tables)              # and replaced
     for name, loc in where.items():
         assert spark.table(loc).count() == tables[name].count()
+
+
+def test_release_unpersists(fixture_star):
+    df = registry.report_frame(fixture_star, "aggregate_sales_by_category")
+    df.count()
+    assert df.is_cached
+    registry.release(fixture_star)
+    assert not df.is_cached
