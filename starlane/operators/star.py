@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from starlane.operators.keys import attach_key, dense_codes_many
 from starlane.session import run_concurrently, write_and_read
