@@ -64,30 +64,37 @@ def flat_scan(spark, sf_dir):
 
 
 def impute_postal_code(spark, sf_dir):
+    """Postal code nulls filled with the mode (before dedupe)."""
     return C.impute_mode(standin_flat(spark, sf_dir), "postal_code")
 
 
 def dedupe_rows(spark, sf_dir):
+    """Exact duplicate lines removed (after imputation, row id kept)."""
     return C.dedupe_rows(impute_postal_code(spark, sf_dir))
 
 
 def dedupe_report(spark, sf_dir):
+    """Lines before and after duplicate removal, one row."""
     return C.dedupe_report(impute_postal_code(spark, sf_dir))
 
 
 def parse_dates(spark, sf_dir):
+    """Day-first text dates parsed to dates (strict)."""
     return C.parse_dates(dedupe_rows(spark, sf_dir))
 
 
 def invalid_date_rows(spark, sf_dir):
+    """T5: lines shipped before they were ordered (kept downstream)."""
     return C.invalid_date_rows(parse_dates(spark, sf_dir))
 
 
 def invalid_date_count(spark, sf_dir):
+    """T5: number of lines shipped before they were ordered."""
     return C.invalid_date_count(parse_dates(spark, sf_dir))
 
 
 def clean_flat(spark, sf_dir):
+    """The whole cleaning chain (T1 -> T2 -> T3/T4 -> T6)."""
     return C.clean_flat(standin_flat(spark, sf_dir))
 
 
@@ -96,6 +103,7 @@ def clean_flat(spark, sf_dir):
 def _dim(name: str) -> Query:
     def q(spark, sf_dir):
         return getattr(star_for(spark, sf_dir), name)
+    q.__doc__ = f"D1-D5: the {name} dimension of the star."
     return q
 
 
@@ -119,6 +127,7 @@ def surrogate_keys(spark, sf_dir):
 
 
 def fact_sales(spark, sf_dir):
+    """The fact table of the star (sales + five surrogate keys)."""
     return star_for(spark, sf_dir).fact_sales
 
 
@@ -142,13 +151,26 @@ def fact_clustered(spark, sf_dir):
 
 
 def _over(report: str, summary: Callable[[DataFrame], DataFrame]) -> Callable[[Star], DataFrame]:
-    """A dashboard summary over a report table written once per star."""
-    return lambda star: summary(report_frame(star, report))
+    """A dashboard summary over a report built once per star."""
+    def plan(star: Star) -> DataFrame:
+        return summary(report_frame(star, report))
+    plan.__doc__ = summary.__doc__
+    return plan
 
 
 def _over2(summary: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[Star], DataFrame]:
-    return lambda star: summary(report_frame(star, "product_category_performance"),
-                                report_frame(star, "product_subcategory_performance"))
+    def plan(star: Star) -> DataFrame:
+        return summary(report_frame(star, "product_category_performance"),
+                       report_frame(star, "product_subcategory_performance"))
+    plan.__doc__ = summary.__doc__
+    return plan
+
+
+def _frequency_buckets(star: Star) -> DataFrame:
+    return I.frequency_buckets(R.order_frequency_by_customer(star, rounded=False))
+
+
+_frequency_buckets.__doc__ = I.frequency_buckets.__doc__
 
 
 # Report-level plans: Star -> DataFrame (money still exact decimal).
@@ -180,8 +202,7 @@ STAR_PLANS: dict[str, Callable[[Star], DataFrame]] = {
     "category_line_count": _over2(I.category_line_count),
     "category_performance_share": _over2(I.category_performance_share),
     "lead_time_histogram": _over("calculate_lead_time", I.lead_time_histogram),
-    "frequency_buckets": lambda star: I.frequency_buckets(
-        R.order_frequency_by_customer(star, rounded=False)),
+    "frequency_buckets": _frequency_buckets,
     "sales_by_year": _over("aggregate_sales_by_month", I.sales_by_year),
     "orders_by_year": _over("aggregate_sales_by_month", I.orders_by_year),
     "state_revenue_share": _over("aggregate_revenue_by_region", I.state_revenue_share),
