@@ -13,9 +13,10 @@ window would pull every key into one task, so the rank is built in pieces:
    prefix offsets that are broadcast back; the finished map is written once
    more so its many lookups are plain scans.
 
-Several key domains (one per dimension) share one pass: values are stacked
-as (domain, value) with one typed value column per data type, so each
-domain keeps its own type's ordering, and offsets are summed per domain.
+Several key domains (one per dimension) share one pass: a single scan
+stacks the values as (domain, value) with one typed value column per data
+type, so each domain keeps its own type's ordering, and offsets are summed
+per domain.
 
 Nothing grows with the data except the distributed steps.
 """
@@ -53,19 +54,19 @@ def dense_codes_many(
     types = {c: values.schema[c].dataType.simpleString() for c in specs}
     slots = sorted(set(types.values()))
 
-    stacked = reduce(
-        DataFrame.unionByName,
-        [
-            values.where(F.col(c).isNotNull()).select(
-                F.lit(i).alias("_dom"),
-                *[
-                    (F.col(c) if types[c] == t else F.lit(None).cast(t)).alias(_slot(t))
-                    for t in slots
-                ],
-            )
-            for i, c in enumerate(specs)
-        ],
-    ).distinct()
+    # One scan: each row becomes one (domain, typed value) entry per spec;
+    # only the slot of the domain's type is filled, so a null natural key
+    # leaves every slot null and is dropped.
+    entries = F.array(*[
+        F.struct(
+            F.lit(i).alias("_dom"),
+            *[(F.col(c) if types[c] == t else F.lit(None).cast(t)).alias(_slot(t)) for t in slots],
+        )
+        for i, c in enumerate(specs)
+    ])
+    present = reduce(lambda a, b: a | b, [F.col(_slot(t)).isNotNull() for t in slots])
+    stacked = (values.select(F.explode(entries).alias("_e")).select("_e.*")
+               .where(present).distinct())
     order = [F.col("_dom").asc()] + [F.col(_slot(t)).asc() for t in slots]
     ranged = (
         stacked.repartitionByRange(n, *order)
