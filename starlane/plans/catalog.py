@@ -167,7 +167,9 @@ def _over2(summary: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[St
 
 
 def _frequency_buckets(star: Star) -> DataFrame:
-    return I.frequency_buckets(R.order_frequency_by_customer(star, rounded=False))
+    k5 = report_frame(star, "avg_order_frequency_by_customer")
+    return I.frequency_buckets(
+        k5.select("customer_name", F.col("_exact_frequency").alias("avg_order_frequency")))
 
 
 _frequency_buckets.__doc__ = I.frequency_buckets.__doc__

@@ -41,13 +41,15 @@ def _one():
 
 
 def finalize(df: DataFrame) -> DataFrame:
-    """Cast exact decimal money columns to double for output."""
+    """Output form of a report: exact decimal money cast to double, internal
+    columns (leading underscore) dropped."""
     return df.select(
         [
             F.col(f.name).cast("double").alias(f.name)
             if isinstance(f.dataType, T.DecimalType)
             else F.col(f.name)
             for f in df.schema.fields
+            if not f.name.startswith("_")
         ]
     )
 
@@ -231,9 +233,13 @@ def order_frequency_by_customer(star: Star, rounded: bool = True) -> DataFrame:
         F.count_distinct("order_key").alias("_o"),
         F.count_distinct("order_date").alias("_d"),
     )
-    value = ratio("_o", "_d") if rounded else F.try_divide(
-        F.col("_o").cast("double"), F.col("_d").cast("double"))
-    return agg.select("customer_name", value.alias("avg_order_frequency"))
+    exact = F.try_divide(F.col("_o").cast("double"), F.col("_d").cast("double"))
+    if not rounded:
+        return agg.select("customer_name", exact.alias("avg_order_frequency"))
+    # The exact ratio rides along as an internal column (dropped on output)
+    # so the frequency buckets can reuse this report instead of rebuilding it.
+    return agg.select("customer_name", ratio("_o", "_d").alias("avg_order_frequency"),
+                      exact.alias("_exact_frequency"))
 
 
 # ---------------------------------------------------------------- M1-M3
