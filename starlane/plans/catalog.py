@@ -166,6 +166,11 @@ def _over2(summary: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[St
     return plan
 
 
+def _preview_m1(m1: DataFrame) -> DataFrame:
+    """The first 10 rows of the fetched inventory mart, stable order."""
+    return L.preview(m1, 10, L.MART_PREVIEW_ORDER)
+
+
 def _frequency_buckets(star: Star) -> DataFrame:
     k5 = report_frame(star, "avg_order_frequency_by_customer")
     return I.frequency_buckets(
@@ -177,7 +182,7 @@ _frequency_buckets.__doc__ = I.frequency_buckets.__doc__
 
 # Report-level plans: Star -> DataFrame (money still exact decimal).
 STAR_PLANS: dict[str, Callable[[Star], DataFrame]] = {
-    "mart_preview": L.mart_preview,
+    "mart_preview": _over("mart_inventory_analysis", _preview_m1),
     "sales_by_month": R.sales_by_month,
     "sales_by_product": R.sales_by_product,
     "sales_by_category": R.sales_by_category,

@@ -96,7 +96,10 @@ def preview(df: DataFrame, n: int, order: list[str] | None = None) -> DataFrame:
     return df.orderBy(*(order or df.columns)).limit(n)
 
 
-def mart_preview(star: Star, n: int = 10) -> DataFrame:
-    """The first n rows of the inventory mart in a stable order."""
-    return preview(R.mart_inventory(star), n,
-                   ["product_key", "product_name", "category", "sub_category"])
+MART_PREVIEW_ORDER = ["product_key", "product_name", "category", "sub_category"]
+
+
+def mart_preview(star: Star, n: int = 10, m1: DataFrame | None = None) -> DataFrame:
+    """The first n rows of the inventory mart in a stable order (of the
+    given, already fetched mart when there is one)."""
+    return preview(m1 if m1 is not None else R.mart_inventory(star), n, MART_PREVIEW_ORDER)
