@@ -116,8 +116,8 @@ def report_frame(star: Star, name: str) -> DataFrame:
 
 
 def fetch_mart(star: Star, name: str) -> DataFrame:
-    """A data mart, built and written once per star, then served from
-    its written table (the dashboard's memoised fetch)."""
+    """A data mart in output form, built once per star and then served
+    from the cached report (the dashboard's memoised fetch)."""
     return R.finalize(report_frame(star, name))
 
 
