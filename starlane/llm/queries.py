@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlane.llm import line_dedup, ngram_join, quality_rules
+from starlane.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules, sharding
 from starlane.llm.text import ship_package
 
 
+SHARDS = 8
+
+
+def vocabulary_path() -> str:
+    """The public vocabulary file that the codec query uses."""
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,11 +31,36 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.doc_id", "n_lines", "n_removed", left.alias("left_sha256"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and the decoded text of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = bpe.encode_decode(docs, vocabulary_path(), ["doc_id"], "digest")
+    return done.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hit words and benchmark items found in every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = decontaminate.scan(docs, _table(spark, sf_dir, "benchmark"), ["doc_id"])
+    items = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return done.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, "contaminated")
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document under 5-word n-gram links."""
     return ngram_join.jaccard_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard, slot and the shard after growth of every document (law ``key``)."""
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    tree = sharding.even_tree(SHARDS)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    placed = sharding.assign(docs, tree).select("row.*", "shard")
+    grown = sharding.shard_of(F.col("doc_id"), sharding.with_new_shard(tree))
+    return sharding.slots(placed).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the base rule and the verdict on every document."""
     done = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), ["doc_id"])
@@ -36,7 +70,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_bpe": op3_bpe,
+    "op5_decontaminate": op5_decontaminate,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_hash_tree_sharding": op7_hash_tree_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
 
