@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlane.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules, sharding
+from starlane.llm import bpe, decontaminate, language_id, learning, line_dedup, ngram_join, quality_classifier, quality_rules, sharding, toxicity
 from starlane.llm.text import ship_package
 
 
@@ -31,6 +31,15 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.doc_id", "n_lines", "n_removed", left.alias("left_sha256"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from the rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = learning.fold(F.col("doc_id"), 3) == 1
+    model = language_id.fit(docs.filter(~held_out))
+    done = language_id.identify(docs.select("doc_id", "text"), model, ["doc_id"]).select("row.doc_id", "lang_pred", "score")
+    return done.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and the decoded text of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,6 +47,16 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = learning.fold(F.col("doc_id"), 4) == 2
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~held_out & F.col("quality").isNotNull())
+    model = quality_classifier.fit(docs.join(labels, "doc_id"), "quality")
+    done = quality_classifier.score(docs, model, ["doc_id"]).select("row.doc_id", "score")
+    return done.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, hit words and benchmark items found in every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -61,6 +80,16 @@ def op7_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.slots(placed).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = learning.fold(F.col("doc_id"), 4) == 2
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out & F.col("toxic").isNotNull())
+    model = toxicity.fit(docs.join(labels, "doc_id"), "toxic")
+    done = toxicity.score(docs, model, ["doc_id"]).select("row.doc_id", "score")
+    return done.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the base rule and the verdict on every document."""
     done = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), ["doc_id"])
@@ -70,10 +99,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_language_id": op2_language_id,
     "op3_bpe": op3_bpe,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_decontaminate": op5_decontaminate,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_hash_tree_sharding": op7_hash_tree_sharding,
+    "op8_toxicity": op8_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
 

@@ -1,0 +1,112 @@
+"""Trained operators: held-out accuracy on the small tables, and edge rows."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from starlane.llm import language_id, learning, quality_classifier, queries, toxicity
+
+SF = "/root/testdata/sf0.01"
+
+
+def labels(spark, column):
+    return {r.doc_id: r[column] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+
+
+def fold(doc_id, n):
+    return zlib.crc32(str(doc_id).encode()) % n
+
+
+def test_language_query(spark):
+    got = queries.op2_language_id(spark, SF).collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert len(got) == len(docs)
+    assert all(r.held_out == (fold(r.doc_id, 3) == 1) and 0 <= r.score <= 1 for r in got)
+    judged = [r.lang_pred == docs[r.doc_id].lang for r in got if r.held_out and len(docs[r.doc_id].text) > 40]
+    assert np.mean(judged) > 0.97
+
+
+def test_quality_query(spark):
+    truth = labels(spark, "quality")
+    got = queries.op4_quality_classifier(spark, SF).collect()
+    assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert all(r.held_out == (fold(r.doc_id, 4) == 2) and r.predicted == int(r.score >= 0.7) for r in got)
+    assert np.mean([r.predicted == truth[r.doc_id] for r in got if r.held_out and r.doc_id in truth]) > 0.95
+
+
+def test_toxicity_query(spark):
+    truth = labels(spark, "toxic")
+    got = queries.op8_toxicity(spark, SF).collect()
+    assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert all(r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in got)
+    assert np.mean([r.predicted == truth[r.doc_id] for r in got if r.held_out and r.doc_id in truth]) > 0.85
+
+
+def test_labels_of_held_out_rows_change_nothing(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    out = []
+    for kind, lang in (("a", F.col("lang")), ("b", F.when(learning.fold(F.col("doc_id"), 3) == 1, F.lit("xx")).otherwise(F.col("lang")))):
+        docs.withColumn("lang", lang).write.parquet(f"{tmp_path}/{kind}/documents.parquet")
+        out.append(sorted(map(tuple, queries.op2_language_id(spark, f"{tmp_path}/{kind}").collect())))
+    assert out[0] == out[1]
+
+
+@pytest.mark.parametrize("lang", [["aa", "bb"], ["aa"], []])
+def test_language_edges(spark, lang):
+    words = {"aa": "ab ba bab", "bb": "xy yx xyx"}
+    rows = [(i, " ".join([words[x]] * 5), x) for x in lang for i in range(8)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = [(1, None, 2), (1, None, 2), (2, "", 2), (3, "12 !", 2), (4, "BAB ab " * 100_000, 2), (None, "xyx YX", 2)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, score int")
+    got = language_id.identify(docs, model).select("row.doc_id", "row.score", F.col("lang_pred"), F.col("score").alias("p")).collect()
+    assert [r.score for r in got] == [2] * 6
+    assert [r.lang_pred for r in got[:4]] == ["und"] * 4 and [r.p for r in got[:4]] == [0.0] * 4
+    if lang == ["aa", "bb"]:
+        assert [r.lang_pred for r in got[4:]] == ["aa", "bb"]
+    assert language_id.identify(docs.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("both", [True, False])
+def test_binary_model_edges(spark, both):
+    rng = random.Random(1)
+    good = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(12)) for _ in range(80)]
+    bad = [t.replace(" ", "!! ").upper() + " zorgle" for t in good]
+    rows = [(i, t, 0) for i, t in enumerate(good)] + [(i + 100, t, 1) for i, t in enumerate(bad) if both] + [(900, None, None), (901, "", 0)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    odd = [(1, None), (1, None), (2, ""), (3, good[0] * 5000), (None, bad[0] * 3000), (5, "x" * 400_000)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string")
+    for module in (quality_classifier, toxicity):
+        model = module.fit(labelled, "y")
+        got = [r.score for r in module.score(docs, model).collect()]
+        assert len(got) == 6 and all(0 <= p <= 1 for p in got) and got[0] == got[1] == got[2]
+        if both:
+            assert got[4] > 0.5 > got[3]
+        else:
+            assert max(got) < 0.01
+        assert module.score(docs.limit(0), model).count() == 0
+
+
+def test_inserted_marks_keep_a_span_toxic():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("aeilnrst", k=rng.randint(3, 8)))
+    clean = [sorted({word() for _ in range(20)}) for _ in range(300)]
+    toxic = [sorted({word() for _ in range(20)} | {rng.choice(["zorgle", "quombat"])}) for _ in range(100)]
+    model = toxicity.learn(clean + toxic, np.array([0] * 300 + [1] * 100))
+    limit = max(model.margin(" ".join(x)) for x in clean)
+    for text in ("zorgle", "you zor*gle", "z o r g l e", "QUOMBAT!", "quom-bat", "zorgl e zorglle"):
+        assert model.margin(text) > limit, text
+
+
+def test_dual_coordinate_descent_reaches_the_primal_optimum():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 3))
+    y = np.where(x @ [1.0, -2.0, 0.5] + 0.3 * rng.normal(size=60) > 0, 1.0, -1.0)
+    w = learning.linear_svm([(np.arange(3), r) for r in x], y, np.ones(60), 3, epochs=500)
+
+    def primal(v):
+        return 0.5 * v @ v + np.maximum(0, 1 - y * (x @ v)).sum()
+
+    assert all(primal(w) <= primal(w + 0.01 * d) + 1e-3 for d in rng.normal(size=(200, 3)))
