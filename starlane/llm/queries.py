@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlane.llm import bpe, decontaminate, language_id, learning, line_dedup, ngram_join, quality_classifier, quality_rules, sharding, toxicity
+from starlane.llm import bpe, decontaminate, language_id, learning, license_scan, line_dedup, ngram_join, quality_classifier, quality_rules, sharding, toxicity
 from starlane.llm.text import ship_package
 
 
@@ -90,6 +90,24 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmed licence lines and families of every document, and its lines
+    that mention a licence without being confirmed."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.scan(docs, license_scan.fit(docs), ["doc_id"])
+    known = F.col("family") != license_scan.UNKNOWN
+    lines = found.groupBy("row.doc_id", "line").agg(F.bool_or(known).alias("known"), F.collect_set(F.when(known, F.col("family"))).alias("families"))
+    by_doc = lines.groupBy(F.col("doc_id").alias("id")).agg(
+        F.count(F.when(F.col("known"), 1)).alias("n_licensed"),
+        F.count(F.when(~F.col("known"), 1)).alias("n_unknown"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))).alias("families"),
+    )
+    joined = docs.select("doc_id").join(by_doc, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    none = F.lit(0).cast("long")
+    counts = [F.coalesce(c, none).alias(c) for c in ("n_licensed", "n_unknown")]
+    return joined.select("doc_id", *counts, F.coalesce(F.concat_ws(",", "families"), F.lit("")).alias("families"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the base rule and the verdict on every document."""
     done = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), ["doc_id"])
@@ -106,6 +124,7 @@ QUERIES = {
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_hash_tree_sharding": op7_hash_tree_sharding,
     "op8_toxicity": op8_toxicity,
+    "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
