@@ -13,8 +13,9 @@ documents link when ``100 * |A and B| >= percent * |A or B|``.
    large one only pairs with its hub, the member whose n-grams are the most
    frequent on average (an original rather than an altered copy).  Length
    and positional filters apply, and a pair leaves a task once.
-4. *Verification.*  The sets of the two nodes meet once: a suffix filter
-   (counts by hash range bound the overlap), then the exact intersection.
+4. *Verification.*  A suffix filter bounds the overlap of a pair by the counts
+   of its sets in each hash range; the sets of the pairs that are left meet
+   once, for the exact intersection.
 5. *The rest of large buckets.*  Members that ended in another component than
    their hub are paired with the members of other components, verified in
    the same way, and the components are formed again.  So no link that would
@@ -31,8 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starlane.llm import text as tx
@@ -43,8 +43,10 @@ N_WORDS = 5
 PERCENT = 75
 COUNT_BITS = 20  # bins of the frequency sketch
 CHUNKS = 256  # pieces in which the sketch is added up
-SMALL_BUCKET = 16  # up to here a bucket gives all its pairs
+SMALL_BUCKET = 4  # up to here a bucket gives all its pairs
+RANGES = 256  # hash ranges of the suffix filter
 FLUSH = 1_000_000  # postings a task holds before it hands them on
+NO_ID = (1 << 63) - 1  # stands for a null doc_id inside
 BROADCAST_IDS = 1_000_000  # document ids (8 MB) that may be broadcast
 
 _MASK = np.uint64((1 << COUNT_BITS) - 1)
@@ -69,6 +71,11 @@ def _signature(grams: np.ndarray) -> int:
     return int(tx.mix(np.array([mixed.sum(dtype=np.uint64) ^ np.uint64(len(grams) * 0x9E3779B1)]))[0].astype(np.int64))
 
 
+def _spread(grams: np.ndarray) -> bytes:
+    """How many n-grams fall into each of ``RANGES`` hash ranges (at most 255)."""
+    return np.minimum(np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
+
+
 def prefix_length(n, percent: int = PERCENT):
     """How many of the rarest n-grams of a set of ``n`` must be looked at."""
     return n - (n * percent + 99) // 100 + 1
@@ -79,29 +86,41 @@ def needed_overlap(na, nb, percent: int = PERCENT):
     return (percent * (na + nb) + 99 + percent) // (100 + percent)
 
 
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
 def _sketch(docs: DataFrame) -> DataFrame:
     def run(batches):
         counts = np.zeros(1 << COUNT_BITS, np.uint32)
         for batch in batches:
-            sizes, sigs = [], []
+            sizes, sigs, spread, bins, held = [], [], [], [], 0
             for grams in shingle_sets(batch.column(1)):
                 sizes.append(len(grams))
                 sigs.append(_signature(grams) if len(grams) else 0)
-                np.add.at(counts, (grams & _MASK).astype(np.int64), 1)
+                spread.append(_spread(grams))
+                bins.append((grams & _MASK).astype(np.int32))
+                held += len(grams)
+                if held > 1 << COUNT_BITS:
+                    counts += np.bincount(np.concatenate(bins), minlength=len(counts)).astype(np.uint32)
+                    bins, held = [], 0
+            if bins:
+                counts += np.bincount(np.concatenate(bins), minlength=len(counts)).astype(np.uint32)
             m = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64())],
-                ["chunk", "counts", "doc_id", "n", "sig"],
+                [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(spread, pa.binary())],
+                names,
             )
         if counts.any():
             parts = [c.tobytes() for c in counts.reshape(CHUNKS, -1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary()), *[pa.nulls(CHUNKS, pa.int64())] * 3],
-                ["chunk", "counts", "doc_id", "n", "sig"],
+                [pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary()), *[pa.nulls(CHUNKS, pa.int64())] * 3, pa.nulls(CHUNKS, pa.binary())],
+                names,
             )
 
-    out = "chunk int, counts binary, doc_id long, n long, sig long"
-    return write_and_read(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, out), "ngram-sketch")
+    out = "chunk int, counts binary, doc_id long, n long, sig long, spread binary"
+    names = [f.split()[0] for f in out.split(", ")]
+    return write_and_read(docs.select(_id().alias("doc_id"), "text").mapInArrow(run, out), "ngram-sketch")
 
 
 def _ranks(sketch: DataFrame) -> np.ndarray:
@@ -127,53 +146,42 @@ def _ranks(sketch: DataFrame) -> np.ndarray:
     return ranks.reshape(-1)
 
 
-def _pack(h: np.ndarray, node: np.ndarray, pos: np.ndarray, nodes: np.ndarray, groups: int):
-    """Postings sorted into hash ranges: (group, postings, nodes) as bytes.
+#: A posting: hash, node (its signature), set size, position, mean rank of the
+#: node's n-grams.  Bytes of the hash that the group implies are not stored.
+_POSTING = np.dtype([("h", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("centre", "<u2")])
+_STORED = np.array([*range(5), *range(8, _POSTING.itemsize)])
 
-    A posting is 5 bytes of hash, its node's place in ``nodes`` and its
-    position; like bytes are stored together, which compresses well.
-    """
-    group = ((h >> np.uint64(44)).astype(np.int64) * groups) >> 20
+
+def _pack(postings: np.ndarray, groups: int):
+    """Postings dealt into hash ranges, as ``(group, bytes)``; like bytes are
+    stored together, which compresses well."""
+    group = ((postings["h"] >> np.uint64(40)).astype(np.int64) * groups) >> 24
     order = np.argsort(group, kind="stable")
-    h, node, pos, group = h[order], node[order], pos[order], group[order]
+    postings, group = postings[order], group[order]
     edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        used, local = np.unique(node[a:b], return_inverse=True)
-        planes = [
-            np.ascontiguousarray(h[a:b]).view(np.uint8).reshape(-1, 8)[:, :6].T,
-            local.astype(np.uint32).view(np.uint8).reshape(-1, 4).T,
-            pos[a:b].astype(np.uint32).view(np.uint8).reshape(-1, 4).T,
-        ]
-        yield int(group[a]), b"".join(np.ascontiguousarray(p).tobytes() for p in planes), nodes[used].tobytes()
-
-
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    planes = np.frombuffer(raw, np.uint8).reshape(14, -1)
-    h = np.zeros((planes.shape[1], 8), np.uint8)
-    h[:, :6] = planes[:6].T
-    node = np.ascontiguousarray(planes[6:10].T).view(np.uint32).ravel()
-    pos = np.ascontiguousarray(planes[10:].T).view(np.uint32).ravel()
-    return h.view(np.uint64).ravel(), node, pos
+        planes = postings[a:b].view(np.uint8).reshape(b - a, -1)[:, _STORED].T
+        yield int(group[a]), np.ascontiguousarray(planes).tobytes()
 
 
-_NODE = np.dtype([("sig", np.int64), ("n", np.uint32), ("centre", np.uint16)])
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(len(_STORED), -1)
+    out = np.zeros((planes.shape[1], _POSTING.itemsize), np.uint8)
+    out[:, _STORED] = planes.T
+    return out.view(_POSTING).ravel()
 
 
 def _postings(docs: DataFrame, ranks, groups: int) -> DataFrame:
     def run(batches):
         table = ranks.value
         seen: set[int] = set()
-        hs, ids, places, nodes, held = [], [], [], [], 0
+        held: list[np.ndarray] = []
+        size = 0
 
         def flush():
-            nonlocal hs, ids, places, nodes, held
-            if held:
-                rows = list(_pack(np.concatenate(hs), np.repeat(np.arange(len(hs)), ids), np.concatenate(places), np.array(nodes, _NODE), groups))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-                    ["g", "postings", "nodes"],
-                )
-            hs, ids, places, nodes, held = [], [], [], [], 0
+            rows = list(_pack(np.concatenate(held), groups)) if held else []
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["g", "postings"])
 
         for batch in batches:
             for grams in shingle_sets(batch.column(0)):
@@ -183,24 +191,23 @@ def _postings(docs: DataFrame, ranks, groups: int) -> DataFrame:
                 if len(seen) < FLUSH:  # a memo of copies met in this task; a miss only costs a repeated posting
                     seen.add(sig)
                 rank = table[(grams & _MASK).astype(np.int64)]
-                p = prefix_length(n)
-                order = np.argsort(rank, kind="stable")[:p]  # grams are sorted, so ties go by hash
-                hs.append(grams[order])
-                ids.append(p)
-                places.append(np.arange(p, dtype=np.uint32))
-                nodes.append((sig, n, int(rank.mean() * 256)))
-                held += p
-                if held >= FLUSH:
-                    yield from flush()
-        yield from flush()
+                rows = np.empty(prefix_length(n), _POSTING)
+                rows["h"] = grams[np.argsort(rank, kind="stable")[: len(rows)]]  # grams are sorted, so ties go by hash
+                rows["sig"], rows["n"], rows["pos"], rows["centre"] = sig, n, np.arange(len(rows)), int(rank.mean() * 256)
+                held.append(rows)
+                size += len(rows)
+                if size >= FLUSH:
+                    yield flush()
+                    size = 0
+        yield flush()
 
-    return docs.select("text").mapInArrow(run, "g int, postings binary, nodes binary")
+    return docs.select("text").mapInArrow(run, "g int, postings binary")
 
 
-def _bucket_pairs(h, sig, n, pos, centre):
+def _bucket_pairs(rows: np.ndarray, small: int):
     """Candidate pairs of the buckets (runs of equal ``h``), and large buckets."""
-    order = np.lexsort((sig, -centre.astype(np.int64), h))
-    h, sig, n, pos, centre = h[order], sig[order], n[order], pos[order], centre[order]
+    rows = rows[np.lexsort((rows["sig"], -rows["centre"].astype(np.int64), rows["h"]))]
+    h, sig, n, pos = rows["h"], rows["sig"], rows["n"].astype(np.int64), rows["pos"].astype(np.int64)
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1])
     h, sig, n, pos = h[fresh], sig[fresh], n[fresh], pos[fresh]
@@ -209,19 +216,19 @@ def _bucket_pairs(h, sig, n, pos, centre):
     size, hub = np.repeat(sizes, sizes), np.repeat(starts, sizes)
     left, right = [], []
     at = np.arange(len(h))
-    big = size > SMALL_BUCKET
+    big = size > small
     star = at[big & (at != hub)]
     left.append(hub[star])
     right.append(star)
     rank_in = at - hub
-    for d in range(1, SMALL_BUCKET):
+    for d in range(1, small):
         a = at[~big & (rank_in + d < size)]
         if not len(a):
             break
         left.append(a)
         right.append(a + d)
     a, b = np.concatenate(left), np.concatenate(right)
-    na, nb = n[a].astype(np.int64), n[b].astype(np.int64)
+    na, nb = n[a], n[b]
     fits = np.minimum(na, nb) * 100 >= np.maximum(na, nb) * PERCENT
     fits &= np.minimum(na - pos[a], nb - pos[b]) >= needed_overlap(na, nb)
     a, b, na, nb = a[fits], b[fits], na[fits], nb[fits]
@@ -229,31 +236,26 @@ def _bucket_pairs(h, sig, n, pos, centre):
     lo, hi = np.where(swap, sig[b], sig[a]), np.where(swap, sig[a], sig[b])
     pairs, once = np.unique(np.stack([lo, hi], 1), axis=0, return_index=True)
     sums = (na + nb)[once]
-    return pairs[:, 0], pairs[:, 1], sums, (h[big].astype(np.int64), sig[hub[big]], sig[big], n[big].astype(np.int64), pos[big].astype(np.int64))
+    return pairs[:, 0], pairs[:, 1], sums, (h[big].astype(np.int64), sig[hub[big]], sig[big], n[big], pos[big])
 
 
 _FOUND = "a long, b long, total long, bucket long, hub long, node long, n long, pos long"
 
 
-def _meet(postings: DataFrame, partitions: int) -> DataFrame:
+def _meet(postings: DataFrame, partitions: int, small: int = SMALL_BUCKET) -> DataFrame:
     def run(batches):
         by_group: dict[int, list] = {}
         for batch in batches:
-            for g, raw, nodes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h, node, pos = _unpack(raw)
-                by_group.setdefault(g, []).append((h, pos, np.frombuffer(nodes, _NODE)[node]))
+            for g, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by_group.setdefault(g, []).append(_unpack(raw))
         for g in list(by_group):
-            parts = by_group.pop(g)
-            h = np.concatenate([p[0] for p in parts])
-            order = np.argsort(h, kind="stable")
-            h = h[order]
-            twin = np.zeros(len(h), bool)
-            twin[1:] = h[1:] == h[:-1]
+            rows = np.concatenate(by_group.pop(g))
+            rows = rows[np.argsort(rows["h"], kind="stable")]
+            twin = np.zeros(len(rows), bool)
+            twin[1:] = rows["h"][1:] == rows["h"][:-1]
             twin[:-1] |= twin[1:]
-            order = order[twin]  # an n-gram of one node only joins nothing
-            node = np.concatenate([p[2] for p in parts])[order]
-            pos = np.concatenate([p[1] for p in parts])[order].astype(np.int64)
-            a, b, total, big = _bucket_pairs(h[twin], node["sig"], node["n"], pos, node["centre"])
+            rows = rows[twin]  # an n-gram of one node only joins nothing
+            a, b, total, big = _bucket_pairs(rows, small)
             names = [f.split()[0] for f in _FOUND.split(", ")]
             none, big_none = pa.nulls(len(a), pa.int64()), pa.nulls(len(big[0]), pa.int64())
             if len(a):
@@ -264,11 +266,34 @@ def _meet(postings: DataFrame, partitions: int) -> DataFrame:
     return write_and_read(postings.repartition(partitions, "g").mapInArrow(run, _FOUND), "ngram-candidates")
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _suffix_filter(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Drop pairs whose counts by hash range already rule out the overlap."""
+    met = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+    spread = sketch.filter("n > 0").join(met, "sig", "left_semi").groupBy("sig", "n").agg(F.first("spread").alias("spread"))
+    left = spread.select(F.col("sig").alias("a"), F.col("spread").alias("x"), F.col("n").alias("na"))
+    right = spread.select(F.col("sig").alias("b"), F.col("spread").alias("y"), F.col("n").alias("nb"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "na", "nb")
+
+    def compare(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES) for c in (2, 3))
+            need = needed_overlap(batch.column(4).to_numpy(), batch.column(5).to_numpy())
+            full = (x == 255).any(1) | (y == 255).any(1)
+            at = pa.array(np.flatnonzero(full | (np.minimum(x, y).sum(1, dtype=np.int64) >= need)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+
+    return write_and_read(met.mapInArrow(compare, "a long, b long"), "ngram-filtered")
+
+
+def _verify(pairs: DataFrame, sketch: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` that link, each compared once."""
+    pairs = _suffix_filter(pairs, sketch)
     wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    ids = write_and_read(wanted.join(nodes, "sig").select("rep"), "ngram-wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    ids = sketch.filter("n > 0").join(wanted, "sig").groupBy("sig").agg(F.min("doc_id").alias("rep")).select("rep")
+    ids = write_and_read(ids, "ngram-wanted")
+    texts = docs.select(_id().alias("rep"), "text")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = texts.join(ids, "rep", "left_semi")
@@ -291,16 +316,12 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
     def compare(batches):
-        pivots = (np.arange(1, 32, dtype=np.uint64) << np.uint64(59)).astype(np.uint64)
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 need = needed_overlap(len(x), len(y))
-                cx = np.diff(np.searchsorted(x, pivots), prepend=0, append=len(x))
-                cy = np.diff(np.searchsorted(y, pivots), prepend=0, append=len(y))
-                if np.minimum(cx, cy).sum() >= need:
-                    keep[i] = len(np.intersect1d(x, y, assume_unique=True)) >= need
+                keep[i] = len(np.intersect1d(x, y, assume_unique=True)) >= need
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
@@ -326,7 +347,7 @@ def _rest(found: DataFrame, comps: DataFrame) -> DataFrame:
     return met.select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).distinct()
 
 
-def jaccard_groups(docs: DataFrame) -> DataFrame:
+def jaccard_groups(docs: DataFrame, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` (the
     smallest ``doc_id`` reachable by links, its own included)."""
     spark: SparkSession = docs.sparkSession
@@ -335,21 +356,21 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     ranks = spark.sparkContext.broadcast(_ranks(sketch))
     rows = sketch.filter("chunk IS NULL").select("doc_id", "n", "sig")
     nodes = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    found = _meet(_postings(docs, ranks, 4 * partitions), partitions)
-    pairs = found.filter("a IS NOT NULL").select("a", "b").distinct()
-    links = _verify(pairs, nodes, docs)
+    found = _meet(_postings(docs, ranks, partitions), partitions, small_bucket)
+    pairs = write_and_read(found.filter("a IS NOT NULL").select("a", "b").distinct(), "ngram-pairs")
+    links = _verify(pairs, sketch, docs)
     comps = components(links)
     rest = write_and_read(_rest(found, comps), "ngram-rest")
     if not rest.isEmpty():
-        more = _verify(rest, nodes, docs)
+        more = _verify(rest, sketch, docs)
         comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
     named = nodes.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(smallest, "comp").select("sig", "component_id")
     return rows.join(named, "sig", "left").select(
-        "doc_id",
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.nullif(F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")), F.lit(NO_ID)).alias("component_id"),
     )
 
 

@@ -46,12 +46,11 @@ def corpus(seed, groups, size):
     return [(i * 3 + 1, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("groups", "size", "bucket"), [(25, 5, 16), (6, 60, 4)])
-def test_against_all_pairs(spark, monkeypatch, groups, size, bucket):
-    monkeypatch.setattr(ngram_join, "SMALL_BUCKET", bucket)
+@pytest.mark.parametrize(("groups", "size", "bucket"), [(25, 5, 16), (6, 60, 1)])
+def test_against_all_pairs(spark, groups, size, bucket):
     rows = corpus(groups, groups, size)
     docs = spark.createDataFrame([(i, t, "other") for i, t in rows], "doc_id long, text string, sig string")
-    got = sorted(tuple(r) for r in ngram_join.jaccard_groups(docs).collect())
+    got = sorted(tuple(r) for r in ngram_join.jaccard_groups(docs, bucket).collect())
     assert got == brute(rows)
     kept = ngram_join.keep_one_per_group(docs)
     assert kept.columns == docs.columns
@@ -60,10 +59,10 @@ def test_against_all_pairs(spark, monkeypatch, groups, size, bucket):
 
 def test_edges(spark):
     long_text = " ".join(f"t{i}" for i in range(250_000))
-    rows = [(1, long_text), (2, long_text + " end"), (None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (9, None)]
+    rows = [(1, long_text), (2, long_text + " end"), (None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (9, None), (None, "p q r s t u"), (None, "P q r s\nt u")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(((r.doc_id or -1), r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(docs).collect())
-    assert got == [(-1, 2, 7), (1, 249_996, 1), (2, 249_997, 1), (7, 2, 7), (7, 2, 7), (9, 0, 9)]
+    got = sorted(((r.doc_id or -1), r.n_shingles, r.component_id or -1) for r in ngram_join.jaccard_groups(docs).collect())
+    assert got == [(-1, 2, -1), (-1, 2, -1), (-1, 2, 7), (1, 249_996, 1), (2, 249_997, 1), (7, 2, 7), (7, 2, 7), (9, 0, 9)]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.jaccard_groups(empty).count() == 0
     assert ngram_join.keep_one_per_group(empty).count() == 0
