@@ -16,7 +16,8 @@ stays where it first occurs; every other occurrence is removed.
 3. One window over each hash finds the lines that met.  A small bucket gives
    its pairs; in a large one every line is paired with the hub only, the
    indexed line that most documents hold.
-4. The texts of candidates are fetched once, and each pair is verified once
+4. The texts of candidates are fetched once, and each pair is verified once:
+   all but ``TAU`` of ``PIECES`` parts must be found near their place, then
    by banded bit-parallel edit distance (a band of ``2 * TAU + 1`` bits, as a
    fold over the code points; lines beyond ``LONG`` use the built-in banded
    ``levenshtein``, which needs less memory).
@@ -43,6 +44,7 @@ TAU = 2
 MIN_CHARS = 20
 SMALL_BUCKET = 16
 LONG = 4096
+PIECES = 8  # parts of a line of which a pair must share all but TAU
 BROADCAST_ROWS = 1_000_000  # ids or short rows (tens of MB) that may be broadcast
 LAST = (1 << 63) - 1  # stands for a null doc_id, which sorts last
 
@@ -154,6 +156,18 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _pieces_found(a: Column, b: Column) -> Column:
+    """How many of ``PIECES`` even parts of ``a`` occur in ``b`` within ``TAU``
+    places of where they are in ``a``: an edit spoils one part at most."""
+    size = F.floor(F.char_length(a) / PIECES).cast("int")
+    found = F.lit(0)
+    for i in range(PIECES):
+        start = size * i + 1
+        around = F.substring(b, F.greatest(start - TAU, F.lit(1)), size + 2 * TAU)
+        found = found + F.contains(around, F.substring(a, start, size)).cast("int")
+    return found
+
+
 def within_tau(x: Column, y: Column) -> Column:
     """Whether two lines of at least ``TAU`` code points are within ``TAU`` edits."""
     long_first = F.char_length(x) >= F.char_length(y)
@@ -161,6 +175,7 @@ def within_tau(x: Column, y: Column) -> Column:
     banded = _let(F.split(a, ""), lambda p: _let(F.split(b, ""), lambda t: _bit_parallel(p, t)))
     return (
         F.when(F.abs(F.char_length(x) - F.char_length(y)) > TAU, F.lit(False))
+        .when(_pieces_found(x, y) < PIECES - TAU, F.lit(False))
         .when(F.char_length(a) > LONG, F.levenshtein(x, y, TAU) >= 0)
         .otherwise(banded <= TAU)
     )
