@@ -3,14 +3,14 @@
 These follow the original definitions literally -- naive joins with their
 fan-out, ``dense_rank`` windows for the surrogate keys, chained null-safe
 lookups followed by DISTINCT for the fact -- so they check the Spark plans'
-rewrites rather than repeat them.  Money is summed as DECIMAL(12,2) and
-leaves as DOUBLE; ratios are rounded to 6 places; integer sums are cast to
+rewrites rather than repeat them.  Money is summed as DECIMAL(20,6) and
+leaves as DOUBLE in cents; quotients are rounded to 6 places; integer sums are cast to
 BIGINT (DuckDB would return HUGEINT).
 """
 
 from __future__ import annotations
 
-MONEY = "CAST({} AS DECIMAL(12,2))"
+from starlane.plans.registry import REPORTS as REPORTS_OF
 
 FLAT = r"""
 flat0 AS (
@@ -118,32 +118,32 @@ REPORTS = r"""
 a1 AS (
   SELECT CAST(year(d.order_date) AS BIGINT) AS order_year,
          CAST(month(d.order_date) AS BIGINT) AS order_month,
-         SUM(CAST(f.sales AS DECIMAL(12,2))) AS total_sales,
+         SUM(CAST(f.sales AS DECIMAL(20,6))) AS total_sales,
          COUNT(DISTINCT f.order_key) AS total_orders
   FROM fact_sales f LEFT JOIN dim_orders d ON f.order_key = d.order_key
   GROUP BY 1, 2
 ),
 a2 AS (
   SELECT f.product_key, p.product_name, p.category, p.sub_category,
-         SUM(CAST(f.sales AS DECIMAL(12,2))) AS total_sales,
+         SUM(CAST(f.sales AS DECIMAL(20,6))) AS total_sales,
          COUNT(DISTINCT f.order_key) AS total_orders
   FROM fact_sales f LEFT JOIN dim_products p ON f.product_key = p.product_key
   GROUP BY f.product_key, p.product_name, p.category, p.sub_category
 ),
 a3 AS (
-  SELECT p.category, SUM(CAST(f.sales AS DECIMAL(12,2))) AS total_sales,
+  SELECT p.category, SUM(CAST(f.sales AS DECIMAL(20,6))) AS total_sales,
          COUNT(DISTINCT f.order_key) AS total_orders
   FROM fact_sales f LEFT JOIN dim_products p ON f.product_key = p.product_key
   GROUP BY p.category
 ),
 a4 AS (
-  SELECT p.sub_category AS subcategory, SUM(CAST(f.sales AS DECIMAL(12,2))) AS total_sales,
+  SELECT p.sub_category AS subcategory, SUM(CAST(f.sales AS DECIMAL(20,6))) AS total_sales,
          COUNT(DISTINCT f.order_key) AS total_orders
   FROM fact_sales f LEFT JOIN dim_products p ON f.product_key = p.product_key
   GROUP BY p.sub_category
 ),
 a5 AS (
-  SELECT r.state AS region, SUM(CAST(f.sales AS DECIMAL(12,2))) AS total_revenue,
+  SELECT r.state AS region, SUM(CAST(f.sales AS DECIMAL(20,6))) AS total_revenue,
          COUNT(DISTINCT f.order_key) AS total_orders
   FROM fact_sales f LEFT JOIN dim_regions r ON f.region_key = r.region_key
   GROUP BY r.state
@@ -159,23 +159,23 @@ k1 AS (
 ),
 k2 AS (
   SELECT p.category, COUNT(f.product_key) AS total_sales,
-         SUM(CAST(f.sales AS DECIMAL(12,2))) AS total_revenue,
-         round(CAST(SUM(CAST(f.sales AS DECIMAL(12,2))) AS DOUBLE) / NULLIF(COUNT(f.sales), 0), 6)
+         SUM(CAST(f.sales AS DECIMAL(20,6))) AS total_revenue,
+         round(CAST(SUM(CAST(f.sales AS DECIMAL(20,6))) AS DOUBLE) / NULLIF(COUNT(f.sales), 0), 6)
            AS avg_revenue_per_sale
   FROM fact_sales f LEFT JOIN dim_products p ON f.product_key = p.product_key
   GROUP BY p.category
 ),
 k3 AS (
   SELECT p.category, p.sub_category, COUNT(f.product_key) AS total_sales,
-         SUM(CAST(f.sales AS DECIMAL(12,2))) AS total_revenue,
-         round(CAST(SUM(CAST(f.sales AS DECIMAL(12,2))) AS DOUBLE) / NULLIF(COUNT(f.sales), 0), 6)
+         SUM(CAST(f.sales AS DECIMAL(20,6))) AS total_revenue,
+         round(CAST(SUM(CAST(f.sales AS DECIMAL(20,6))) AS DOUBLE) / NULLIF(COUNT(f.sales), 0), 6)
            AS avg_revenue_per_sale
   FROM fact_sales f LEFT JOIN dim_products p ON f.product_key = p.product_key
   GROUP BY p.category, p.sub_category
 ),
 k4 AS (
   SELECT p.category,
-         round(CAST(SUM(CAST(f.sales AS DECIMAL(12,2))) AS DOUBLE) / NULLIF(COUNT(f.sales), 0), 6)
+         round(CAST(SUM(CAST(f.sales AS DECIMAL(20,6))) AS DOUBLE) / NULLIF(COUNT(f.sales), 0), 6)
            AS avg_order_value
   FROM fact_sales f LEFT JOIN dim_products p ON f.product_key = p.product_key
   GROUP BY p.category
@@ -192,14 +192,14 @@ k5 AS (SELECT customer_name, round(avg_order_frequency, 6) AS avg_order_frequenc
 m1 AS (
   SELECT p.product_key, p.product_name, p.category, p.sub_category,
          COUNT(DISTINCT f.order_key) AS total_orders,
-         SUM(CAST(f.sales AS DECIMAL(12,2))) AS total_sales_revenue
+         SUM(CAST(f.sales AS DECIMAL(20,6))) AS total_sales_revenue
   FROM fact_sales f JOIN dim_products p ON f.product_key = p.product_key
   GROUP BY p.product_key, p.product_name, p.category, p.sub_category
 ),
 m2 AS (
   SELECT f.order_key, d.order_id, c.customer_id, c.customer_name, p.product_name,
          r.region AS region_name,
-         SUM(CAST(f.sales AS DECIMAL(12,2))) AS total_sales,
+         SUM(CAST(f.sales AS DECIMAL(20,6))) AS total_sales,
          COUNT(f.order_key) AS total_orders
   FROM fact_sales f
   LEFT JOIN dim_orders d ON f.order_key = d.order_key
@@ -211,7 +211,7 @@ m2 AS (
 m3 AS (
   SELECT f.order_key, d.order_id, c.customer_id, c.customer_name,
          r.region AS region_name, s.ship_mode,
-         SUM(CAST(f.sales AS DECIMAL(12,2))) AS total_sales,
+         SUM(CAST(f.sales AS DECIMAL(20,6))) AS total_sales,
          COUNT(f.order_key) AS total_orders,
          CAST(round(AVG(date_diff('day', d.order_date, s.ship_date))) AS BIGINT) AS avg_shipping_days
   FROM fact_sales f
@@ -222,7 +222,7 @@ m3 AS (
   GROUP BY 1, 2, 3, 4, 5, 6
 ),
 x1 AS (
-  SELECT c.segment, SUM(CAST(f.sales AS DECIMAL(12,2))) AS total_sales,
+  SELECT c.segment, SUM(CAST(f.sales AS DECIMAL(20,6))) AS total_sales,
          COUNT(DISTINCT f.order_key) AS total_orders
   FROM fact_sales f LEFT JOIN dim_customers c ON f.customer_key = c.customer_key
   GROUP BY c.segment
@@ -245,7 +245,7 @@ def _out(cte: str) -> str:
     cols = _MONEY_COLS[cte]
     if not cols:
         return f"SELECT * FROM {cte}"
-    repl = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+    repl = ", ".join(f"CAST(round({c}, 2) AS DOUBLE) AS {c}" for c in cols)
     return f"SELECT * REPLACE ({repl}) FROM {cte}"
 
 
@@ -267,21 +267,11 @@ _FREQ_BUCKET = (
     "WHEN avg_order_frequency <= 3 THEN '2-3' ELSE '3+' END"
 )
 
-_REPORT_CTES = [
-    ("aggregations", "aggregate_sales_by_month", "agg_sales_monthly", "a1"),
-    ("aggregations", "aggregate_sales_by_product", "agg_sales_product", "a2"),
-    ("aggregations", "aggregate_sales_by_category", "agg_sales_category", "a3"),
-    ("aggregations", "aggregate_sales_by_subcategory", "agg_sales_subcategory", "a4"),
-    ("aggregations", "aggregate_revenue_by_region", "agg_revenue_region", "a5"),
-    ("kpis", "calculate_lead_time", "kpi_lead_time", "k1"),
-    ("kpis", "product_category_performance", "kpi_product_category_performance", "k2"),
-    ("kpis", "product_subcategory_performance", "kpi_product_subcategory_performance", "k3"),
-    ("kpis", "avg_order_value_per_category", "kpi_avg_order_value_per_category", "k4"),
-    ("kpis", "avg_order_frequency_by_customer", "kpi_avg_order_frequency_by_customer", "k5"),
-    ("marts", "mart_inventory_analysis", "mart_inventory_analysis", "m1"),
-    ("marts", "mart_order_fulfillment", "mart_order_fulfillment", "m2"),
-    ("marts", "mart_shipping_logistics", "mart_shipping_logistics", "m3"),
-]
+_CTE_OF = dict(zip((n for group in REPORTS_OF.values() for n in group), "a1 a2 a3 a4 a5 k1 k2 k3 k4 k5 m1 m2 m3".split(), strict=True))
+_REPORT_CTES = [(g, n, t, _CTE_OF[n]) for g, group in REPORTS_OF.items() for n, (t, _) in group.items()]
+
+# Columns of each report table.
+_WIDTH = dict(zip("a1 a2 a3 a4 a5 k1 k2 k3 k4 k5 m1 m2 m3".split(), (4, 6, 3, 3, 3, 4, 4, 5, 2, 2, 6, 8, 9), strict=True))
 
 FINAL: dict[str, str] = {
     "flat_scan": "SELECT * FROM flat",
@@ -293,7 +283,7 @@ FINAL: dict[str, str] = {
         "SELECT f.*, d.order_date FROM fact_sales f JOIN dim_orders d ON f.order_key = d.order_key"
     ),
     "mart_preview": (
-        "SELECT * REPLACE (CAST(total_sales_revenue AS DOUBLE) AS total_sales_revenue) FROM m1 "
+        "SELECT * REPLACE (CAST(round(total_sales_revenue, 2) AS DOUBLE) AS total_sales_revenue) FROM m1 "
         "ORDER BY product_key, product_name, category, sub_category LIMIT 10"
     ),
     "impute_postal_code": "SELECT * FROM imputed",
@@ -339,16 +329,16 @@ FINAL: dict[str, str] = {
     "mart_shipping": _out("m3"),
     "sales_by_segment": _out("x1"),
     "headline_kpis": (
-        "SELECT CAST(SUM(CAST(sales AS DECIMAL(12,2))) AS DOUBLE) AS total_sales, "
+        "SELECT CAST(round(SUM(CAST(sales AS DECIMAL(20,6))), 2) AS DOUBLE) AS total_sales, "
         "COUNT(DISTINCT order_key) AS total_orders, "
-        "round(CAST(SUM(CAST(sales AS DECIMAL(12,2))) AS DOUBLE) / "
+        "round(CAST(SUM(CAST(sales AS DECIMAL(20,6))) AS DOUBLE) / "
         "NULLIF(COUNT(DISTINCT order_key), 0), 6) AS avg_order_value FROM fact_sales"
     ),
     "top_products": (
         _out("a2") + " ORDER BY total_sales DESC, product_key, product_name, category, sub_category LIMIT 10"
     ),
     "category_revenue_share": (
-        "SELECT category, CAST(s AS DOUBLE) AS total_sales_revenue, " + _share("s") + " AS revenue_share "
+        "SELECT category, CAST(round(s, 2) AS DOUBLE) AS total_sales_revenue, " + _share("s") + " AS revenue_share "
         "FROM (SELECT category, SUM(total_sales_revenue) AS s FROM m1 GROUP BY category)"
     ),
     "top_subcategories_by_orders": (
@@ -357,15 +347,15 @@ FINAL: dict[str, str] = {
         "ORDER BY total_orders DESC, sub_category LIMIT 10"
     ),
     "sales_by_region": (
-        "SELECT region_name, CAST(SUM(total_sales) AS DOUBLE) AS total_sales FROM m2 GROUP BY region_name"
+        "SELECT region_name, CAST(round(SUM(total_sales), 2) AS DOUBLE) AS total_sales FROM m2 GROUP BY region_name"
     ),
     "top_customers_share": (
-        "SELECT customer_name, CAST(s AS DOUBLE) AS total_sales, " + _share("s") + " AS sales_share FROM "
+        "SELECT customer_name, CAST(round(s, 2) AS DOUBLE) AS total_sales, " + _share("s") + " AS sales_share FROM "
         "(SELECT customer_name, SUM(total_sales) AS s FROM m2 WHERE customer_name IS NOT NULL "
         "GROUP BY customer_name ORDER BY s DESC, customer_name LIMIT 5)"
     ),
     "shipping_sample": (
-        "SELECT * EXCLUDE (_h) FROM (SELECT * REPLACE (CAST(total_sales AS DOUBLE) AS total_sales), "
+        "SELECT * EXCLUDE (_h) FROM (SELECT * REPLACE (CAST(round(total_sales, 2) AS DOUBLE) AS total_sales), "
         + _GRAIN_MD5 + " AS _h FROM m3 ORDER BY _h LIMIT 100) ORDER BY CAST(order_id AS VARCHAR), _h"
     ),
     "shipping_days_by_mode": (
@@ -373,7 +363,7 @@ FINAL: dict[str, str] = {
         "round(AVG(avg_shipping_days), 6) AS avg_shipping_days FROM m3 GROUP BY ship_mode"
     ),
     "region_sales_share": (
-        "SELECT region_name, CAST(s AS DOUBLE) AS total_sales, " + _share("s") + " AS sales_share "
+        "SELECT region_name, CAST(round(s, 2) AS DOUBLE) AS total_sales, " + _share("s") + " AS sales_share "
         "FROM (SELECT region_name, SUM(total_sales) AS s FROM m3 GROUP BY region_name)"
     ),
     "category_line_count": (
@@ -383,7 +373,7 @@ FINAL: dict[str, str] = {
         "FROM k3 GROUP BY category"
     ),
     "category_performance_share": (
-        "SELECT source, category, CAST(s AS DOUBLE) AS total_revenue, "
+        "SELECT source, category, CAST(round(s, 2) AS DOUBLE) AS total_revenue, "
         + _share("s", "source") + " AS revenue_share FROM ("
         "SELECT 'category_performance' AS source, category, SUM(total_revenue) AS s FROM k2 GROUP BY category "
         "UNION ALL SELECT 'subcategory_performance', category, SUM(total_revenue) FROM k3 GROUP BY category)"
@@ -404,15 +394,45 @@ FINAL: dict[str, str] = {
         "GROUP BY 1 ORDER BY customers DESC, frequency_range"
     ),
     "sales_by_year": (
-        "SELECT order_year, CAST(SUM(total_sales) AS DOUBLE) AS total_sales FROM a1 GROUP BY order_year"
+        "SELECT order_year, CAST(round(SUM(total_sales), 2) AS DOUBLE) AS total_sales FROM a1 GROUP BY order_year"
     ),
     "orders_by_year": (
         "SELECT order_year, CAST(SUM(total_orders) AS BIGINT) AS total_orders FROM a1 GROUP BY order_year"
     ),
     "state_revenue_share": (
-        "SELECT region, CAST(total_revenue AS DOUBLE) AS total_revenue, total_orders, "
+        "SELECT region, CAST(round(total_revenue, 2) AS DOUBLE) AS total_revenue, total_orders, "
         + _share("total_revenue") + " AS revenue_share FROM a5"
     ),
+    "stored_reports": " UNION ALL ".join(
+        f"SELECT '{n}' AS report, count(*) AS row_count, CAST({_WIDTH[c]} AS BIGINT) AS columns FROM {c}"
+        for _, n, _, c in _REPORT_CTES
+    ),
+    "written_layouts": " UNION ALL ".join(
+        f"SELECT '{name}' AS layout, count(*) AS row_count, count(DISTINCT d.order_date) AS days, "
+        "CAST(round(SUM(CAST(f.sales AS DECIMAL(20,6))), 2) AS DOUBLE) AS total_sales "
+        f"FROM fact_sales f {how} JOIN dim_orders d ON f.order_key = d.order_key"
+        for name, how in (("fact_sales_partitioned", "LEFT"), ("fact_sales_partitioned_clustered", ""))
+    ),
+    "star_tables": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) AS row_count, CAST(SUM({k}) AS BIGINT) AS key_sum FROM {t}"
+        for t, k in (("fact_sales", "order_key"), ("dim_orders", "order_key"), ("dim_shipping", "ship_key"),
+                     ("dim_customers", "customer_key"), ("dim_regions", "region_key"), ("dim_products", "product_key"))
+    ),
+    "raw_preview": "SELECT * FROM flat ORDER BY row_id, product_id, ship_date_s, sales LIMIT 10",
+    "quarantined_rows": (
+        "SELECT row_id, order_id, '31/02/1995' AS order_date_s, "
+        "CAST(strptime(ship_date_s, '%d/%m/%Y') AS DATE) AS ship_date, sales "
+        "FROM (SELECT DISTINCT * REPLACE ('31/02/1995' AS order_date_s) FROM imputed WHERE CAST(order_id AS BIGINT) % 50 = 0)"
+    ),
+    "batch_summary": (
+        "SELECT (SELECT count(*) FROM flat) AS rows_in, (SELECT count(*) FROM flat) - b.n - g.n AS duplicates_removed, "
+        "b.n AS quarantined, b.n AS quarantine_rows, g.n AS lines, g.late AS invalid_dates, f.n AS fact_rows, "
+        "CAST(13 AS BIGINT) AS reports, CAST(0 AS BIGINT) AS failed, CAST(2 AS BIGINT) AS layouts FROM "
+        "(SELECT count(*) AS n FROM (SELECT DISTINCT * REPLACE ('31/02/1995' AS order_date_s) FROM imputed WHERE CAST(order_id AS BIGINT) % 50 = 0)) b, "
+        "(SELECT count(*) AS n, count(*) FILTER (WHERE ship_date < order_date) AS late FROM parsed WHERE CAST(order_id AS BIGINT) % 50 <> 0) g, "
+        "(SELECT count(*) AS n FROM (SELECT DISTINCT sales, order_id, ship_date, customer_id, postal_code, product_id "
+        "FROM parsed WHERE CAST(order_id AS BIGINT) % 50 <> 0)) f"
+    ),
     "report_row_counts": " UNION ALL ".join(
         f"SELECT '{g}' AS report_group, '{n}' AS report, '{t}' AS output_table, "
         f"count(*) AS row_count FROM {c}"

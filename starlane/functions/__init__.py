@@ -6,7 +6,6 @@ from starlane.functions.money import (
     MONEY,
     money,
     money_avg,
-    money_out,
     money_sum,
     ratio,
     round_half_away,
@@ -19,7 +18,6 @@ __all__ = [
     "MONEY",
     "money",
     "money_avg",
-    "money_out",
     "money_sum",
     "ratio",
     "round_half_away",

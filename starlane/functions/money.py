@@ -1,7 +1,11 @@
-"""Exact money arithmetic and rounding.
-
-Sales are summed as decimal(12,2) so that sums do not depend on the order
-in which partitions are combined; results leave as double.
+"""Exact money arithmetic.
+
+Sales are summed as ``MONEY`` decimals, so sums do not depend on the order in
+which partitions are combined.  Six decimals and fourteen digits before the
+point hold any price that a source states to a millionth; a line that does not
+fit stops the job instead of vanishing from a sum.  Sums widen to
+``decimal(30,6)``, weighted sums to ``decimal(38,6)``.  Nothing is rounded
+here; results leave as double.
 """
 
 from __future__ import annotations
@@ -9,17 +13,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(12,2)"
-# Sum of money: decimal(22,2) after Spark's widening; kept as is until output.
-AVG_SCALE = 6
+MONEY = "decimal(20,6)"
 
 
 def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def money(col: str | Column) -> Column:
-    return _c(col).cast(MONEY)
+def money(col: str | Column, kind: str = MONEY) -> Column:
+    """A source value as exact money; an error (in ANSI mode or not) when
+    ``kind`` cannot hold it."""
+    exact = _c(col).try_cast(kind)
+    message = F.concat(F.lit(f"money value does not fit {kind}: "), _c(col).cast("string"))
+    return F.when(_c(col).isNotNull() & exact.isNull(), F.raise_error(message).cast(kind)).otherwise(exact)
 
 
 def money_sum(col: str | Column) -> Column:
@@ -27,18 +33,13 @@ def money_sum(col: str | Column) -> Column:
     return F.sum(money(col))
 
 
-def money_out(col: str | Column) -> Column:
-    """Decimal money -> double for output."""
-    return _c(col).cast("double")
-
-
-def ratio(num: str | Column, den: str | Column, scale: int = AVG_SCALE) -> Column:
-    """num / den as double rounded to ``scale``; null when den is 0 or null."""
-    return F.round(F.try_divide(_c(num).cast("double"), _c(den).cast("double")), scale)
+def ratio(num: str | Column, den: str | Column) -> Column:
+    """num / den as double; null when den is 0 or null."""
+    return F.try_divide(_c(num).cast("double"), _c(den).cast("double"))
 
 
 def money_avg(sum_col: str | Column, count_col: str | Column) -> Column:
-    """Average from an exact sum and a count, rounded to 6 places."""
+    """Average from an exact sum and a count."""
     return ratio(sum_col, count_col)
 
 

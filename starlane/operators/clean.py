@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starlane.functions.dates import parse_day_first
+from starlane.session import write_and_read
 
 
 def mode_value(df: DataFrame, col: str) -> DataFrame:
     """One-row frame holding the most frequent non-null value of ``col``.
 
-    Ties go to the smallest value.  Counting is a distributed group-by with
-    map-side partial counts; the pick is a global max over one small struct
-    per group, so no task ever holds more than one group's worth of state.
+    Ties go to the smallest value, and the column keeps its type.  Counting is
+    a distributed group-by with map-side partial counts; the pick is a
+    per-partition top-1.
     """
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    # max over (count, -value) == highest count, then smallest value.
-    best = counts.agg(F.max(F.struct(F.col("_n"), (-F.col(col)).alias("_neg"))).alias("_best"))
-    return best.select((-F.col("_best._neg")).alias(col))
+    return counts.orderBy(F.desc("_n"), F.asc(col)).limit(1).select(col)
 
 
 def impute_mode(df: DataFrame, col: str = "postal_code") -> DataFrame:
@@ -100,12 +101,48 @@ def drop_if_present(df: DataFrame, col: str) -> DataFrame:
     return df.drop(col)
 
 
+@dataclass(frozen=True)
+class Cleaned:
+    """What cleaning makes of the flat rows.  ``flat`` rows are ``deduped``
+    rows and exact duplicates; ``deduped`` rows are ``lines`` and, where dates
+    are read leniently, ``quarantined`` ones."""
+
+    flat: DataFrame
+    deduped: DataFrame
+    lines: DataFrame
+    quarantined: DataFrame
+
+    def report(self) -> dict[str, int]:
+        """Row counts that add up, and the lines shipped before their order date."""
+        rows_in, deduped, lines = self.flat.count(), self.deduped.count(), self.lines.count()
+        return {
+            "rows_in": rows_in,
+            "duplicates_removed": rows_in - deduped,
+            "quarantined": self.quarantined.count(),
+            "lines": lines,
+            "invalid_dates": invalid_date_count(self.lines).first().invalid_rows,
+        }
+
+
+def clean_parts(flat: DataFrame, strict: bool = True) -> Cleaned:
+    """T8 with everything it sets aside.  The source is read once: its rows,
+    and then the deduplicated ones, are written as Parquet, and the mode and
+    all counts come from those."""
+    flat = write_and_read(flat, "flat")
+    deduped = write_and_read(dedupe_rows(impute_mode(flat, "postal_code")), "deduped")
+    parsed = parse_dates(deduped, strict=strict)
+    good, bad = (parsed, deduped.limit(0)) if strict else quarantine_dates(parsed)
+    return Cleaned(flat, deduped, drop_if_present(good, "row_id"), bad)
+
+
 def clean_flat(flat: DataFrame, strict: bool = True) -> DataFrame:
     """Impute postal code -> drop duplicates -> parse dates -> drop row id.
 
     Duplicates are removed while ``row_id`` is still present, so two lines
     count as duplicates only when their row ids agree too.  Rows shipped
     before their order date are counted by ``invalid_date_count`` but kept.
+    Lenient reading leaves out rows whose dates do not parse; ``clean_parts``
+    hands them over and counts them.
     """
     imputed = impute_mode(flat, "postal_code")
     deduped = dedupe_rows(imputed)

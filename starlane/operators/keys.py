@@ -13,10 +13,10 @@ window would pull every key into one task, so the rank is built in pieces:
    prefix offsets that are broadcast back; the finished map is written once
    more so its many lookups are plain scans.
 
-Several key domains (one per dimension) share one pass: a single scan
-stacks the values as (domain, value) with one typed value column per data
-type, so each domain keeps its own type's ordering, and offsets are summed
-per domain.
+Several key domains (one per dimension) share one pass: the natural keys of
+the already distinct dimensions are stacked as (domain, value) with one typed
+value column per data type, so each domain keeps its own type's ordering, and
+offsets are summed per domain.  Rows of the fact's grain are not read.
 
 Nothing grows with the data except the distributed steps.
 """
@@ -39,34 +39,30 @@ def _slot(type_name: str) -> str:
 
 
 def dense_codes_many(
-    values: DataFrame,
-    specs: dict[str, str],
+    domains: dict[str, tuple[DataFrame, str]],
     num_partitions: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Dense 0-based codes for several columns of ``values`` in one pass.
+    """Dense 0-based codes for several key domains in one pass.
 
-    ``specs`` maps natural column -> key name.  Returns key name ->
+    ``domains`` maps key name -> (frame, natural column).  Returns key name ->
     ``(natural column, key)`` with one row per distinct non-null value.
     Null is not in a map; callers turn a failed lookup into -1.
     """
-    spark = values.sparkSession
+    frames = list(domains.values())
+    spark = frames[0][0].sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    types = {c: values.schema[c].dataType.simpleString() for c in specs}
-    slots = sorted(set(types.values()))
-
-    # One scan: each row becomes one (domain, typed value) entry per spec;
-    # only the slot of the domain's type is filled, so a null natural key
-    # leaves every slot null and is dropped.
-    entries = F.array(*[
-        F.struct(
+    types = [df.schema[c].dataType.simpleString() for df, c in frames]
+    slots = sorted(set(types))
+
+    # Only the slot of a domain's type is filled.
+    parts = [
+        df.where(F.col(c).isNotNull()).select(
             F.lit(i).alias("_dom"),
-            *[(F.col(c) if types[c] == t else F.lit(None).cast(t)).alias(_slot(t)) for t in slots],
+            *[(F.col(c) if types[i] == t else F.lit(None).cast(t)).alias(_slot(t)) for t in slots],
         )
-        for i, c in enumerate(specs)
-    ])
-    present = reduce(lambda a, b: a | b, [F.col(_slot(t)).isNotNull() for t in slots])
-    stacked = (values.select(F.explode(entries).alias("_e")).select("_e.*")
-               .where(present).distinct())
+        for i, (df, c) in enumerate(frames)
+    ]
+    stacked = reduce(DataFrame.unionByName, parts).distinct()
     order = [F.col("_dom").asc()] + [F.col(_slot(t)).asc() for t in slots]
     ranged = (
         stacked.repartitionByRange(n, *order)
@@ -80,7 +76,7 @@ def dense_codes_many(
         F.shiftright(F.col("_mid"), _POS_BITS).alias("_part"),
         F.col("_mid").bitwiseAND(F.lit(_POS_MASK)).alias("_pos"),
     )
-    # One row per (partition, domain): bounded by n * len(specs), safe to
+    # One row per (partition, domain): bounded by n * len(domains), safe to
     # rank in one task per domain and to broadcast.
     sizes = located.groupBy("_part", "_dom").agg(
         F.count(F.lit(1)).alias("_size"), F.min("_pos").alias("_first")
@@ -99,9 +95,9 @@ def dense_codes_many(
     coded = write_and_read(coded, "key_map")
     return {
         key: coded.where(F.col("_dom") == i).select(
-            F.col(_slot(types[c])).alias(c), F.col("_key").alias(key)
+            F.col(_slot(types[i])).alias(c), F.col("_key").alias(key)
         )
-        for i, (c, key) in enumerate(specs.items())
+        for i, (key, (_, c)) in enumerate(domains.items())
     }
 
 
@@ -112,7 +108,7 @@ def dense_codes(
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Map each distinct non-null ``col`` value to its 0-based sorted rank."""
-    return dense_codes_many(values, {col: key}, num_partitions)[key]
+    return dense_codes_many({key: (values, col)}, num_partitions)[key]
 
 
 def attach_key(df: DataFrame, codes: DataFrame, col: str, key: str) -> DataFrame:

@@ -51,16 +51,21 @@ class Star:
             {n: (lambda df=df, n=n: write_and_read(df, n)) for n, df in self.tables().items()}))
 
 
-def key_maps(clean: DataFrame) -> dict[str, DataFrame]:
+def distinct_dimensions(clean: DataFrame) -> dict[str, DataFrame]:
+    """The distinct rows of each dimension, still without keys."""
+    return {name: clean.select(cols).distinct() for name, (cols, _, _) in DIMENSIONS.items()}
+
+
+def key_maps(dims: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Natural key -> surrogate key for all five dimensions, one
-    distributed dense-rank pass over the stacked key domains."""
-    return dense_codes_many(clean, {natural: key for _, natural, key in DIMENSIONS.values()})
+    distributed dense-rank pass over the keys of the distinct dimensions."""
+    return dense_codes_many({key: (dims[name], natural) for name, (_, natural, key) in DIMENSIONS.items()})
 
 
-def build_dimension(clean: DataFrame, name: str, codes: DataFrame) -> DataFrame:
+def build_dimension(rows: DataFrame, name: str, codes: DataFrame) -> DataFrame:
     """Distinct dim rows with their surrogate key."""
     cols, natural, key = DIMENSIONS[name]
-    return attach_key(clean.select(cols).distinct(), codes, natural, key).select(*cols, key)
+    return attach_key(rows, codes, natural, key).select(*cols, key)
 
 
 def build_fact(clean: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
@@ -90,12 +95,16 @@ def build_fact(clean: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
 def build_star(clean: DataFrame, stage_clean: bool = True) -> Star:
     """Clean flat lines -> fact_sales + five dimensions (lazy frames).
 
-    The cleaned lines feed eleven scans (five maps, five dims, the fact), so
-    by default they are written once (Parquet) first, so each scan reads
-    only the columns it needs.
+    The cleaned lines feed six scans (five dimensions and the fact), so by
+    default they are written once (Parquet) first, so each scan reads only
+    the columns it needs.  The distinct dimensions are written next: the key
+    maps and the finished dimensions come from those.
     """
     if stage_clean:
         clean = write_and_read(clean, "clean_lines")
-    maps = key_maps(clean)
-    dims = {name: build_dimension(clean, name, maps[spec[2]]) for name, spec in DIMENSIONS.items()}
+    rows = distinct_dimensions(clean)
+    if stage_clean:
+        rows = run_concurrently({n: (lambda df=df, n=n: write_and_read(df, f"{n}_rows")) for n, df in rows.items()})
+    maps = key_maps(rows)
+    dims = {name: build_dimension(rows[name], name, maps[spec[2]]) for name, spec in DIMENSIONS.items()}
     return Star(fact_sales=build_fact(clean, maps), **dims)

@@ -10,40 +10,75 @@ per star and cached (``registry.report_frame``).
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starlane.functions.money import money_sum
 from starlane.operators import clean as C
 from starlane.operators.star import DIMENSIONS, Star, build_star
 from starlane.plans import insights as I
 from starlane.plans import layout as L
 from starlane.plans import reports as R
-from starlane.plans.registry import report_frame, report_row_counts
-from starlane.session import scratch_path
+from starlane.plans.registry import REPORTS, release, report_frame, report_row_counts, run_all, run_batch
+from starlane.session import input_state, remove_path, scratch_path
 from starlane.sources.flat import read_flat_csv, standin_flat, write_flat_csv
 from starlane.sources.tables import read_tables, write_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_STARS: dict[tuple[str, str], Star] = {}
-_CSV: dict[tuple[str, str, str], str] = {}
+SOURCES = ("lineitem", "orders", "customer", "nation", "region", "part")
+
+_STARS: dict[tuple[str, str], tuple[tuple, Star, list[str]]] = {}
+_CSV: dict[tuple[str, str], tuple[tuple, str]] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    return input_state(spark, [f"{sf_dir}/{t}.parquet" for t in SOURCES])
 
 
 def star_for(spark: SparkSession, sf_dir: str) -> Star:
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    if key not in _STARS:
-        clean = C.clean_flat(standin_flat(spark, sf_dir))
-        _STARS[key] = build_star(clean).written()
-    return _STARS[key]
+    """The star of an input folder, built once while its files stay the same.
+    When they change, the star is built again and the old one deleted."""
+    key, state = (spark.sparkContext.applicationId, sf_dir.rstrip("/")), _state(spark, sf_dir)
+    held = _STARS.get(key)
+    if held is None or held[0] != state:
+        star = build_star(C.clean_flat(standin_flat(spark, sf_dir)))
+        where = write_tables(star.tables(), scratch_path(spark, f"star-{uuid.uuid4().hex[:12]}"))
+        _STARS[key] = state, Star(**read_tables(spark, where)), list(where.values())
+        if held is not None:
+            release(held[1])
+            for path in held[2]:
+                remove_path(spark, path)
+    return _STARS[key][1]
+
+
+# Doubles that are quotients; two engines may differ in their last bit.
+QUOTIENTS = ("avg_revenue_per_sale", "avg_order_value", "avg_order_frequency", "revenue_share", "sales_share")
+
+
+def compared(df: DataFrame) -> DataFrame:
+    """Output of a registered query: rounded where it is compared with another
+    engine (sums to cents, quotients to six places), and only there."""
+    columns = []
+    for f in df.schema.fields:
+        if f.name.startswith("_"):
+            continue
+        c = F.col(f.name)
+        if f.dataType.typeName() == "decimal":
+            c = F.round(c, 2).cast("double")
+        elif f.dataType.typeName() == "double" and (f.name in QUOTIENTS or f.name == "avg_shipping_days"):
+            c = F.round(c, 6)
+        columns.append(c.alias(f.name))
+    return df.select(columns)
 
 
 def _on_star(plan: Callable[[Star], DataFrame]) -> Query:
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return R.finalize(plan(star_for(spark, sf_dir)))
+        return compared(plan(star_for(spark, sf_dir)))
     q.__doc__ = plan.__doc__
     return q
 
@@ -55,12 +90,15 @@ def flat_scan(spark, sf_dir):
 
     The stand-in lines are exported as CSV once per session (with the
     original header names) and read back through the CSV reader."""
-    key = ("csv", spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    if key not in _CSV:
+    key, state = (spark.sparkContext.applicationId, sf_dir.rstrip("/")), _state(spark, sf_dir)
+    held = _CSV.get(key)
+    if held is None or held[0] != state:
         path = scratch_path(spark, f"flat_csv_{uuid.uuid4().hex[:12]}")
         write_flat_csv(standin_flat(spark, sf_dir), path)
-        _CSV[key] = path
-    return read_flat_csv(spark, _CSV[key])
+        _CSV[key] = state, path
+        if held is not None:
+            remove_path(spark, held[1])
+    return read_flat_csv(spark, _CSV[key][1])
 
 
 def impute_postal_code(spark, sf_dir):
@@ -98,6 +136,82 @@ def clean_flat(spark, sf_dir):
     return C.clean_flat(standin_flat(spark, sf_dir))
 
 
+def _with_bad_dates(spark, sf_dir):
+    """The stand-in with an order date that no calendar has on the lines of
+    every 50th order (on top of its planted duplicates)."""
+    flat = standin_flat(spark, sf_dir)
+    bad = F.col("order_id").cast("bigint") % 50 == 0
+    return flat.withColumn("order_date_s", F.when(bad, F.lit("31/02/1995")).otherwise(F.col("order_date_s")))
+
+
+def quarantined_rows(spark, sf_dir):
+    """T4: lines that lenient reading sets aside, with the text that did not parse."""
+    deduped = C.dedupe_rows(C.impute_mode(_with_bad_dates(spark, sf_dir), "postal_code"))
+    _, bad = C.quarantine_dates(C.parse_dates(deduped, strict=False))
+    return bad.select("row_id", "order_id", "order_date_s", "ship_date", "sales")
+
+
+def batch_summary(spark, sf_dir):
+    """A whole lenient batch over lines with bad dates -- cleaning counts,
+    and how many reports and layouts it wrote."""
+    path = scratch_path(spark, f"batch-{uuid.uuid4().hex[:12]}")
+    out = run_batch(_with_bad_dates(spark, sf_dir), path, strict=False)
+    lines = spark.read.parquet(out["tables"]["fact_sales"]).agg(F.count(F.lit(1)).alias("fact_rows"))
+    stored = spark.read.parquet(out["quarantine"]).agg(F.count(F.lit(1)).alias("quarantine_rows"))
+    counts = [F.lit(v).cast("bigint").alias(k) for k, v in out["rows"].items()]
+    written = [
+        F.lit(sum(map(len, out["reports"].values()))).cast("bigint").alias("reports"),
+        F.lit(len(out["errors"])).cast("bigint").alias("failed"),
+        F.lit(len(out["layouts"])).cast("bigint").alias("layouts"),
+    ]
+    return lines.crossJoin(stored).select("fact_rows", "quarantine_rows", *counts, *written)  # one row each
+
+
+def stored_reports(spark, sf_dir):
+    """Every report run into its table by ``run_all`` and read back;
+    rows and columns of each table."""
+    star, base = star_for(spark, sf_dir), scratch_path(spark, f"stored-{uuid.uuid4().hex[:12]}")
+    parts = []
+    for group in REPORTS:
+        results, errors = run_all(star, group, base)
+        if errors:
+            raise RuntimeError(f"reports failed: {errors}")
+        for name, df in results.items():
+            columns = F.lit(len(df.columns)).cast("bigint").alias("columns")
+            parts.append(df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("report"), "row_count", columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def written_layouts(spark, sf_dir):
+    """Both layouts written together; rows, days and sales of each."""
+    where = L.write_layouts(star_for(spark, sf_dir), scratch_path(spark, f"layouts-{uuid.uuid4().hex[:12]}"))
+    parts = [
+        L.read_layout(spark, path).agg(
+            F.count(F.lit(1)).alias("row_count"), F.count_distinct("order_date").alias("days"), money_sum("sales").alias("total_sales")
+        ).select(F.lit(name).alias("layout"), "row_count", "days", "total_sales")
+        for name, path in where.items()
+    ]
+    return compared(reduce(DataFrame.unionByName, parts))
+
+
+def raw_preview(spark, sf_dir):
+    """The first 10 lines of the raw file, in the order of their ids."""
+    return L.preview(flat_scan(spark, sf_dir), 10, ["row_id", "product_id", "ship_date_s", "sales"])
+
+
+def star_tables(spark, sf_dir):
+    """All six star tables written together and read back; rows and key
+    sums of each."""
+    star = star_for(spark, sf_dir)
+    where = write_tables(star.tables(), scratch_path(spark, f"six-{uuid.uuid4().hex[:12]}"))
+    keys = {"fact_sales": "order_key", **{name: key for name, (_, _, key) in DIMENSIONS.items()}}
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("row_count"), F.sum(keys[name]).alias("key_sum")).select(F.lit(name).alias("table_name"), "row_count", "key_sum")
+        for name, df in read_tables(spark, where).items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ------------------------------------------------------------ star
 
 def _dim(name: str) -> Query:
@@ -171,15 +285,6 @@ def _preview_m1(m1: DataFrame) -> DataFrame:
     return L.preview(m1, 10, L.MART_PREVIEW_ORDER)
 
 
-def _frequency_buckets(star: Star) -> DataFrame:
-    k5 = report_frame(star, "avg_order_frequency_by_customer")
-    return I.frequency_buckets(
-        k5.select("customer_name", F.col("_exact_frequency").alias("avg_order_frequency")))
-
-
-_frequency_buckets.__doc__ = I.frequency_buckets.__doc__
-
-
 # Report-level plans: Star -> DataFrame (money still exact decimal).
 STAR_PLANS: dict[str, Callable[[Star], DataFrame]] = {
     "mart_preview": _over("mart_inventory_analysis", _preview_m1),
@@ -209,7 +314,7 @@ STAR_PLANS: dict[str, Callable[[Star], DataFrame]] = {
     "category_line_count": _over2(I.category_line_count),
     "category_performance_share": _over2(I.category_performance_share),
     "lead_time_histogram": _over("calculate_lead_time", I.lead_time_histogram),
-    "frequency_buckets": _frequency_buckets,
+    "frequency_buckets": _over("avg_order_frequency_by_customer", I.frequency_buckets),
     "sales_by_year": _over("aggregate_sales_by_month", I.sales_by_year),
     "orders_by_year": _over("aggregate_sales_by_month", I.orders_by_year),
     "state_revenue_share": _over("aggregate_revenue_by_region", I.state_revenue_share),
@@ -241,7 +346,7 @@ def _report(query_name: str) -> Query:
     report = REPORT_OF[query_name]
 
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return R.finalize(report_frame(star_for(spark, sf_dir), report))
+        return compared(report_frame(star_for(spark, sf_dir), report))
     q.__doc__ = STAR_PLANS[query_name].__doc__
     return q
 
@@ -261,6 +366,7 @@ QUERIES: dict[str, Query] = {
     "invalid_date_rows": invalid_date_rows,
     "invalid_date_count": invalid_date_count,
     "clean_flat": clean_flat,
+    "quarantined_rows": quarantined_rows,
     # star
     "dim_orders": _dim("dim_orders"),
     "dim_shipping": _dim("dim_shipping"),
@@ -306,4 +412,9 @@ QUERIES: dict[str, Query] = {
     "state_revenue_share": _on_star(STAR_PLANS["state_revenue_share"]),
     # registry
     "report_row_counts": _on_star(STAR_PLANS["report_row_counts"]),
+    "stored_reports": stored_reports,
+    "batch_summary": batch_summary,
+    "written_layouts": written_layouts,
+    "star_tables": star_tables,
+    "raw_preview": raw_preview,
 }

@@ -93,7 +93,7 @@ def shipping_days_by_mode(m3: DataFrame) -> DataFrame:
     average shipping days from M3."""
     return m3.groupBy("ship_mode").agg(
         F.sum("avg_shipping_days").alias("sum_shipping_days"),
-        F.round(F.avg("avg_shipping_days"), 6).alias("avg_shipping_days"),
+        F.avg("avg_shipping_days").alias("avg_shipping_days"),
     )
 
 
@@ -153,9 +153,7 @@ def lead_time_histogram(k1: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
 def frequency_buckets(k5: DataFrame) -> DataFrame:
     """Customers per order-frequency bucket, most frequent first.
 
-    ``k5`` must carry the unrounded ratio
-    (``reports.order_frequency_by_customer(star, rounded=False)``) so that
-    bucket edges are decided on the exact value."""
+    Bucket edges are decided on the exact ratio."""
     counted = k5.groupBy(frequency_bucket("avg_order_frequency").alias("frequency_range")).agg(
         F.count(F.lit(1)).alias("customers"))
     return counted.orderBy(F.col("customers").desc(), "frequency_range")

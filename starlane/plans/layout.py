@@ -5,10 +5,11 @@ it, so a date filter prunes whole folders (``PartitionFilters`` in the
 plan).  The clustered layout also sorts each file by the three most
 filtered keys, so Parquet min/max statistics skip row groups.
 
-Writes go through a REBALANCE on the partition column: AQE sizes the write
-tasks from real shuffle statistics, splitting a hot date across several
-tasks and merging quiet ones, so one busy day never lands in one task and a
-thousand quiet days do not make a thousand tiny tasks.
+The partitioned layout goes through a REBALANCE on the partition column: AQE
+sizes the write tasks from real shuffle statistics, splitting a hot date across
+several tasks and merging quiet ones.  The clustered layout is range-partitioned
+by date and cluster keys, so the files of a hot date hold disjoint key ranges
+and min/max statistics skip between files as well.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starlane.functions.money import money_sum
 from starlane.operators.star import Star
-from starlane.plans import reports as R
 
 CLUSTER_KEYS = ["customer_key", "product_key", "region_key"]
 MAX_RECORDS_PER_FILE = 5_000_000
@@ -53,7 +54,7 @@ def write_clustered(star: Star, path: str, by: str = "day") -> str:
     """Fact + order date (INNER join), partitioned by order date and
     sorted within each file by customer, product and region key."""
     df, part = _partition_column(fact_with_order_date(star, "inner"), by)
-    df = df.hint("rebalance", part).sortWithinPartitions(part, *CLUSTER_KEYS)
+    df = df.repartitionByRange(part, *CLUSTER_KEYS).sortWithinPartitions(part, *CLUSTER_KEYS)
     (df.write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
        .partitionBy(part).parquet(path))
     return path
@@ -62,8 +63,10 @@ def write_clustered(star: Star, path: str, by: str = "day") -> str:
 def write_bucketed(star: Star, table: str, buckets: int = 64) -> str:
     """S6, catalog form: partitioned by date, bucketed and sorted by customer
     key, so joins and aggregations on customer_key read co-located buckets
-    without a shuffle."""
-    df = fact_with_order_date(star, "inner")
+    without a shuffle.  A bucket of a date is written by one task, so there
+    are at most dates x buckets files."""
+    bucket = F.pmod(F.hash("customer_key"), F.lit(buckets))
+    df = fact_with_order_date(star, "inner").repartition("order_date", bucket)
     (df.write.mode("overwrite").partitionBy("order_date")
        .bucketBy(buckets, "customer_key").sortBy(*CLUSTER_KEYS).saveAsTable(table))
     return table
@@ -87,7 +90,7 @@ def sales_between(spark: SparkSession, path: str, start: str, end: str) -> DataF
     the matching date folders are read."""
     df = read_layout(spark, path)
     return (df.where(F.col("order_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-              .groupBy("order_date").agg(F.sum(F.col("sales").cast("decimal(12,2)")).alias("total_sales")))
+              .groupBy("order_date").agg(money_sum("sales").alias("total_sales")))
 
 
 def preview(df: DataFrame, n: int, order: list[str] | None = None) -> DataFrame:
@@ -97,9 +100,3 @@ def preview(df: DataFrame, n: int, order: list[str] | None = None) -> DataFrame:
 
 
 MART_PREVIEW_ORDER = ["product_key", "product_name", "category", "sub_category"]
-
-
-def mart_preview(star: Star, n: int = 10, m1: DataFrame | None = None) -> DataFrame:
-    """The first n rows of the inventory mart in a stable order (of the
-    given, already fetched mart when there is one)."""
-    return preview(m1 if m1 is not None else R.mart_inventory(star), n, MART_PREVIEW_ORDER)

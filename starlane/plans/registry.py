@@ -8,15 +8,16 @@ with the reports that failed and why (a failure never stops the group).
 
 from __future__ import annotations
 
+import uuid
 import weakref
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starlane.operators.star import Star
 from starlane.plans import reports as R
+from starlane.session import remove_path, scratch_path
 from starlane.sources.tables import read_table, write_tables
 
 Plan = Callable[[Star], DataFrame]
@@ -86,7 +87,12 @@ def run(star: Star, name: str, base: str | None = None, ordered: bool = False) -
 
 def run_all(star: Star, group: str, base: str | None = None
             ) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Run every report of a group; return (results, errors)."""
+    """Run every report of a group; return (results, errors).
+
+    Every report is executed here, so one that fails while it runs counts as
+    failed: results are written as tables below ``base``, or below the reliable
+    scratch folder when there is none."""
+    base = base or scratch_path(star.fact_sales.sparkSession, f"reports-{uuid.uuid4().hex[:12]}")
     results, errors = {}, {}
     for name in REPORTS[group]:
         try:
@@ -96,36 +102,38 @@ def run_all(star: Star, group: str, base: str | None = None
     return results, errors
 
 
-_BUILT: "weakref.WeakKeyDictionary[Star, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
+_BUILT: "weakref.WeakKeyDictionary[Star, dict[str, tuple[str, DataFrame]]]" = weakref.WeakKeyDictionary()
 
 
 def report_frame(star: Star, name: str) -> DataFrame:
     """A report built once per star and kept for reuse -- the dashboard's
     memoised fetch, so several charts over one report do not rebuild it.
 
-    The frame is persisted (memory, spilling to disk).  This is a cache,
-    not a lineage cut: its lineage starts at the star tables, which are
-    written to reliable storage, so blocks lost with an executor are simply
-    recomputed.  Money keeps its exact decimal type, so charts can
-    re-aggregate it exactly.  ``rebuild_marts`` drops the cache."""
+    The report is written as a table below the reliable checkpoint folder, so
+    it outlives any executor and fact-sized reports fill no executor disks.
+    Money keeps its exact decimal type, so charts can re-aggregate it exactly.
+    ``release`` deletes the tables."""
     memo = _BUILT.setdefault(star, {})
     if name not in memo:
         _, plan = _find(name)
-        memo[name] = plan(star).persist(StorageLevel.MEMORY_AND_DISK)
-    return memo[name]
+        df = plan(star)
+        path = scratch_path(df.sparkSession, f"report-{name}-{uuid.uuid4().hex[:12]}")
+        df.write.parquet(path)
+        memo[name] = path, df.sparkSession.read.schema(df.schema).parquet(path)
+    return memo[name][1]
 
 
 def fetch_mart(star: Star, name: str) -> DataFrame:
     """A data mart in output form, built once per star and then served
-    from the cached report (the dashboard's memoised fetch)."""
+    from the stored report (the dashboard's memoised fetch)."""
     return R.finalize(report_frame(star, name))
 
 
 def release(star: Star) -> None:
-    """Unpersist every report cached for ``star`` (e.g. once a dashboard
-    session ends, or before a rebuild)."""
-    for df in _BUILT.pop(star, {}).values():
-        df.unpersist()
+    """Delete every report kept for ``star`` (e.g. once a dashboard session
+    ends, or before a rebuild)."""
+    for path, df in _BUILT.pop(star, {}).values():
+        remove_path(df.sparkSession, path)
 
 
 def rebuild_marts(star: Star) -> dict[str, DataFrame]:
@@ -137,13 +145,17 @@ def rebuild_marts(star: Star) -> dict[str, DataFrame]:
 def run_batch(flat: DataFrame, base: str, strict: bool = True) -> dict[str, object]:
     """The whole batch -- clean, model, load the star, run every report
     group into its tables, write both fact layouts.  Returns where things
-    went and which reports failed."""
-    from starlane.operators.clean import clean_flat
+    went, which reports failed, and the row counts of the cleaning: rows read
+    are duplicates removed, quarantined rows and lines.  Rows whose dates do
+    not parse (lenient reading only) are written to ``quarantine``."""
+    from starlane.operators.clean import clean_parts
     from starlane.operators.star import build_star
     from starlane.plans.layout import write_layouts
 
     root = base.rstrip("/")
-    star = build_star(clean_flat(flat, strict=strict))
+    cleaned = clean_parts(flat, strict=strict)
+    quarantine = write_tables({"quarantine": cleaned.quarantined}, root)["quarantine"]
+    star = build_star(cleaned.lines)
     tables = write_tables(star.tables(), f"{root}/star")
     star = Star(**{n: read_table(flat.sparkSession, p) for n, p in tables.items()})
     errors: dict[str, str] = {}
@@ -153,7 +165,7 @@ def run_batch(flat: DataFrame, base: str, strict: bool = True) -> dict[str, obje
         reports[group] = sorted(results)
         errors.update(errs)
     layouts = write_layouts(star, f"{root}/layouts")
-    return {"tables": tables, "reports": reports, "errors": errors, "layouts": layouts}
+    return {"rows": cleaned.report(), "quarantine": quarantine, "tables": tables, "reports": reports, "errors": errors, "layouts": layouts}
 
 
 def report_row_counts(star: Star) -> DataFrame:

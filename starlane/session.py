@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,6 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 T = TypeVar("T")
 
@@ -57,7 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder the cluster names.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is.  Only when nothing is configured (local tests) do we pick a
+    used as is; without it this raises, because executors could not read
+    what others wrote to their own disks.  Only a local master (tests) gets a
     fresh scratch folder.
     """
     sc = spark.sparkContext
@@ -66,6 +69,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="starlane-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -89,6 +94,21 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table that is no longer needed, in whatever file
+    system it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def input_state(spark: SparkSession, paths: list[str]) -> tuple:
+    """Number of files below ``paths`` and a checksum of their names, sizes and
+    times, read from listings only."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    state = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first()
+    return tuple(state)
+
+
 def run_concurrently(actions: dict[str, Callable[[], T]], max_workers: int = 8) -> dict[str, T]:
     """Run independent Spark actions from a few driver threads so their jobs
     share the cluster; results by name, the first failure re-raised."""

@@ -42,34 +42,55 @@ CSV_HEADER = [
 ]
 
 
-# The same schema under the export's header names.
-CSV_SCHEMA = T.StructType(
-    [T.StructField(h, f.dataType, f.nullable) for h, f in zip(CSV_HEADER, FLAT_SCHEMA.fields)]
+# Fields as text under the export's header names; types are applied after null tokens.
+CSV_SCHEMA = T.StructType([T.StructField(h, T.StringType()) for h in CSV_HEADER])
+
+# Texts that common CSV readers take for a missing value.
+NULL_TOKENS = (
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+    "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
 
-def read_flat_csv(spark: SparkSession, path: str) -> DataFrame:
+def _field(header: str, field: T.StructField, tokens: tuple[str, ...]):
+    text = F.when(~F.col(f"`{header}`").isin(*tokens), F.col(f"`{header}`")) if tokens else F.col(f"`{header}`")
+    if isinstance(field.dataType, T.StringType):
+        return text.alias(field.name)
+    typed = F.trim(text).try_cast(field.dataType)
+    wrong = F.raise_error(F.concat(F.lit(f"{header} is not a number: "), text)).cast(field.dataType)
+    return F.when(text.isNotNull() & typed.isNull(), wrong).otherwise(typed).alias(field.name)
+
+
+def read_flat_csv(
+    spark: SparkSession, path: str, multi_line: bool = False, null_tokens: tuple[str, ...] = NULL_TOKENS
+) -> DataFrame:
     """Read flat CSV order lines with a header and an explicit schema.
 
     No inference pass: the schema is fixed, so a 100 TB input is read once
-    and every file gets the same types.  Every file's header is checked
-    against the expected names (``enforceSchema`` off), a malformed line
-    fails the read, and columns come out in snake_case.
+    and every file gets the same types.  Quotes inside quoted fields are
+    doubled, as CSV writers do.  ``multi_line`` allows line ends inside quoted
+    fields; such files cannot be split, so it is off by default.  Fields that
+    are empty or one of ``null_tokens`` are null.  Every file's header is
+    checked against the expected names (``enforceSchema`` off), a malformed line
+    or number fails the read, and columns come out in snake_case.
     """
     raw = (
         spark.read.schema(CSV_SCHEMA)
         .option("header", True)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multi_line)
         .csv(path)
     )
-    return raw.select([F.col(f"`{h}`").alias(c) for h, c in zip(CSV_HEADER, FLAT_COLUMNS)])
+    return raw.select([_field(h, f, null_tokens) for h, f in zip(CSV_HEADER, FLAT_SCHEMA.fields)])
 
 
 def write_flat_csv(df: DataFrame, path: str) -> None:
-    """Write flat rows as CSV with the original header names."""
+    """Write flat rows as CSV with the original header names, quotes doubled."""
     renamed = df.select([F.col(c).alias(h) for c, h in zip(FLAT_COLUMNS, CSV_HEADER)])
-    renamed.write.mode("overwrite").option("header", True).csv(path)
+    renamed.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

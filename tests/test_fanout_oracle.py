@@ -9,8 +9,8 @@ from fixtures import flat_arrow, flat_frame
 from starlane.checks import duckdb_sql as D
 from starlane.checks.compare import diff, duck_records
 from starlane.operators import clean as C
-from starlane.plans.catalog import STAR_PLANS
-from starlane.plans.reports import finalize
+from starlane.plans import registry
+from starlane.plans.catalog import STAR_PLANS, compared
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +52,7 @@ def test_star_tables(fixture_star, duck, name):
 
 @pytest.mark.parametrize("name", sorted(STAR_PLANS))
 def test_report(fixture_star, duck, name):
-    _check(finalize(STAR_PLANS[name](fixture_star)), duck, name)
+    _check(compared(STAR_PLANS[name](fixture_star)), duck, name)
 
 
 def test_fixture_really_fans_out(fixture_star):
@@ -80,6 +80,12 @@ def no_broadcast(spark):
 
 @pytest.mark.parametrize("name", ["lead_time", "mart_fulfillment", "mart_shipping", "revenue_by_state",
                                   "sales_by_month", "order_frequency_by_customer", "mart_inventory"])
-def test_report_with_sort_merge_joins(fixture_star, duck, no_broadcast, name):
+def test_report_with_sort_merge_joins(fixture_star, duck, no_broadcast, name, capsys):
     """Same answers when every join is a shuffle join (the large-scale plan)."""
-    _check(finalize(STAR_PLANS[name](fixture_star)), duck, name)
+    registry.release(fixture_star)
+    df = compared(STAR_PLANS[name](fixture_star))
+    _check(df, duck, name)
+    df.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan
+    assert "BroadcastHashJoin" not in plan and "InMemoryTableScan" not in plan and "report-" not in plan

@@ -54,7 +54,7 @@ def test_many_domains_one_pass(spark):
             for _ in range(3000)]
     df = spark.createDataFrame(rows, "s string, x double, i long").repartition(9)
     from starlane.operators.keys import dense_codes_many
-    maps = dense_codes_many(df, {"s": "ks", "x": "kx", "i": "ki"}, num_partitions=6)
+    maps = dense_codes_many({"ks": (df, "s"), "kx": (df, "x"), "ki": (df, "i")}, num_partitions=6)
     for col, key in [("s", "ks"), ("x", "kx"), ("i", "ki")]:
         got = {r[col]: r[key] for r in maps[key].collect()}
         assert got == _dense_rank(df, col), col
@@ -69,6 +69,6 @@ def test_keys_independent_of_partitioning(spark):
     base = spark.createDataFrame(rows, "s string, x double")
     runs = []
     for parts, n in [(3, 4), (17, 9), (1, 23)]:
-        maps = dense_codes_many(base.repartition(parts), {"s": "ks", "x": "kx"}, num_partitions=n)
+        maps = dense_codes_many({"ks": (base.repartition(parts), "s"), "kx": (base, "x")}, num_partitions=n)
         runs.append(({r.s: r.ks for r in maps["ks"].collect()}, {r.x: r.kx for r in maps["kx"].collect()}))
     assert runs[0] == runs[1] == runs[2]

@@ -10,8 +10,7 @@ import tempfile
 import pytest
 
 from starlane.plans import layout as L
-from starlane.plans.catalog import STAR_PLANS
-from starlane.plans.reports import finalize
+from starlane.plans.catalog import STAR_PLANS, compared
 
 
 def plan_of(df) -> str:
@@ -23,7 +22,7 @@ def plan_of(df) -> str:
 
 @pytest.mark.parametrize("name", sorted(STAR_PLANS))
 def test_no_python_udf(fixture_star, name):
-    plan = plan_of(finalize(STAR_PLANS[name](fixture_star)))
+    plan = plan_of(compared(STAR_PLANS[name](fixture_star)))
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
         assert node not in plan
 
@@ -47,7 +46,7 @@ def test_clustered_layout_sorted_within_files(spark, fixture_star):
 
 
 def test_fact_scan_reads_only_needed_columns(fixture_star):
-    plan = plan_of(finalize(STAR_PLANS["category_performance"](fixture_star)))
+    plan = plan_of(compared(STAR_PLANS["category_performance"](fixture_star)))
     fact_scans = [line for line in plan.splitlines()
                   if line.startswith("ReadSchema") and "sales" in line and "product_key" in line]
     assert fact_scans, plan
@@ -56,7 +55,7 @@ def test_fact_scan_reads_only_needed_columns(fixture_star):
 
 def test_eager_aggregation_below_join(fixture_star):
     """K2 aggregates the fact per product before the dimension join."""
-    plan = plan_of(finalize(STAR_PLANS["category_performance"](fixture_star)))
+    plan = plan_of(compared(STAR_PLANS["category_performance"](fixture_star)))
     tree = plan.split("\n\n")[0]
     join_at = min(i for i, l in enumerate(tree.splitlines()) if "Join" in l)
     below = tree.splitlines()[join_at:]
@@ -84,7 +83,7 @@ def test_bucketed_layout_joins_without_fact_shuffle(spark, fixture_star):
 def test_single_partition_only_over_grouped_data(fixture_star, name):
     """Any move of data into one partition sits directly on an aggregate
     (grouped, bounded rows) -- never on raw fact or dimension rows."""
-    lines = plan_of(finalize(STAR_PLANS[name](fixture_star))).split("\n\n")[0].splitlines()
+    lines = plan_of(compared(STAR_PLANS[name](fixture_star))).split("\n\n")[0].splitlines()
     for i, line in enumerate(lines):
         if "Exchange SinglePartition" in line:
             child = lines[i + 1]

@@ -17,7 +17,7 @@ from starlane.checks.compare import diff, duck_records
 from starlane.operators.clean import clean_flat
 from starlane.operators.star import DIMENSIONS, build_star
 from starlane.plans import reports as R
-from starlane.plans.catalog import STAR_PLANS, star_for
+from starlane.plans.catalog import STAR_PLANS, compared, star_for
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMOKE_DIR), reason="test tables not present")
 
@@ -114,7 +114,7 @@ def test_random_flat_matches_naive_sql(spark, seed):
     con.register("flat", flat_arrow(rows))
     names = ["fact_sales", "dim_regions", "dim_shipping"] + sorted(STAR_PLANS)
     for name in names:
-        df = getattr(star, name) if name.startswith(("fact_", "dim_")) else R.finalize(STAR_PLANS[name](star))
+        df = getattr(star, name) if name.startswith(("fact_", "dim_")) else compared(STAR_PLANS[name](star))
         got = [r.asDict() for r in df.collect()]
         orows, ocols = duck_records(con.sql(D.over_flat(name)))
         problem = diff(got, df.columns, orows, ocols)

@@ -14,8 +14,7 @@ from starlane.checks import duckdb_sql as D
 from starlane.checks.compare import diff, duck_records
 from starlane.operators.clean import clean_flat
 from starlane.operators.star import build_star
-from starlane.plans.catalog import STAR_PLANS
-from starlane.plans.reports import finalize
+from starlane.plans.catalog import STAR_PLANS, compared
 
 
 def _hot_rows():
@@ -56,7 +55,7 @@ def skew_conf(spark):
 def test_hot_order_split_and_exact(spark, skew_conf, name):
     rows = _hot_rows()
     star = build_star(clean_flat(flat_frame(spark, rows))).written()
-    df = finalize(STAR_PLANS[name](star))
+    df = compared(STAR_PLANS[name](star))
     got = [r.asDict() for r in df.collect()]
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):

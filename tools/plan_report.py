@@ -19,8 +19,9 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from starlane.operators.clean import clean_flat  # noqa: E402
-from starlane.operators.star import DIMENSIONS, build_dimension, build_fact, key_maps  # noqa: E402
+from starlane.operators.star import DIMENSIONS, build_dimension, build_fact, distinct_dimensions, key_maps  # noqa: E402
 from starlane.plans.catalog import STAR_PLANS, star_for  # noqa: E402
+from starlane.plans.registry import release  # noqa: E402
 from starlane.session import write_and_read  # noqa: E402
 from starlane.sources.flat import standin_flat  # noqa: E402
 from starlane.plans.reports import finalize  # noqa: E402
@@ -84,7 +85,8 @@ def main() -> None:
     spark = get_session("local[8]", shuffle_partitions=8)
     star = star_for(spark, sf_dir)
     clean = write_and_read(clean_flat(standin_flat(spark, sf_dir)), "clean_lines")
-    maps = key_maps(clean)
+    rows_of = {n: write_and_read(df, n) for n, df in distinct_dimensions(clean).items()}
+    maps = key_maps(rows_of)
     build_rows = []
     rows = []
     for mode in ("default", "no broadcast"):
@@ -92,11 +94,12 @@ def main() -> None:
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
             spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
         for name, plan in STAR_PLANS.items():
+            release(star)  # no report kept from an earlier plan
             s = summary(final_plan(finalize(plan(star))))
             rows.append((name, mode, s))
         build_rows.append(("fact_sales", mode, summary(final_plan(build_fact(clean, maps)), CLEAN_COLS)))
         for dim, spec in DIMENSIONS.items():
-            df = build_dimension(clean, dim, maps[spec[2]])
+            df = build_dimension(rows_of[dim], dim, maps[spec[2]])
             build_rows.append((dim, mode, summary(final_plan(df), CLEAN_COLS)))
     lines = [
         "# Final physical plans of the reports",
