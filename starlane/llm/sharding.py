@@ -104,12 +104,12 @@ def slots(rows: DataFrame) -> DataFrame:
     """Add ``slot``: the number of each row in its ``shard``, from 0."""
     columns = rows.columns
     bucket = F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
-    kinds = rows.withColumn("bucket", bucket).groupBy(*columns, "bucket").agg(F.count("*").alias("times"))
-    sizes = kinds.groupBy("shard", "bucket").agg(F.sum("times").alias("size"))
-    before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select("shard", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    inside = W.partitionBy("shard", "bucket").orderBy(*columns).rowsBetween(W.unboundedPreceding, -1)
-    kinds = kinds.withColumn("ahead", F.coalesce(F.sum("times").over(inside), F.lit(0)))
-    first = F.col("start") + F.col("ahead")
-    placed = kinds.join(sizes, ["shard", "bucket"])
-    return placed.select(*columns, F.explode(F.sequence(first, first + F.col("times") - 1)).alias("slot"))
+    kinds = rows.withColumn("_bucket", bucket).groupBy(*columns, "_bucket").agg(F.count("*").alias("_times"))
+    sizes = kinds.groupBy("shard", "_bucket").agg(F.sum("_times").alias("_size"))
+    before = W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select("shard", "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = W.partitionBy("shard", "_bucket").orderBy(*columns).rowsBetween(W.unboundedPreceding, -1)
+    kinds = kinds.withColumn("_ahead", F.coalesce(F.sum("_times").over(inside), F.lit(0)))
+    first = F.col("_start") + F.col("_ahead")
+    placed = kinds.join(sizes, ["shard", "_bucket"])
+    return placed.select(*columns, F.explode(F.sequence(first, first + F.col("_times") - 1)).alias("slot"))
