@@ -26,13 +26,15 @@ from starlane.plans import reports as R
 from starlane.plans.registry import REPORTS, release, report_frame, report_row_counts, run_all, run_batch
 from starlane.session import input_state, remove_path, scratch_path
 from starlane.sources.flat import read_flat_csv, standin_flat, write_flat_csv
-from starlane.sources.tables import read_tables, write_tables
+from starlane.sources.tables import read_tables, write_keyed, write_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SOURCES = ("lineitem", "orders", "customer", "nation", "region", "part")
 
-_STARS: dict[tuple[str, str], tuple[tuple, Star, list[str]]] = {}
+ORDER_KEYED = ("fact_sales", "dim_orders")
+
+_STARS: dict[tuple[str, str], tuple[tuple, Star, str]] = {}
 _CSV: dict[tuple[str, str], tuple[tuple, str]] = {}
 
 
@@ -46,13 +48,20 @@ def star_for(spark: SparkSession, sf_dir: str) -> Star:
     key, state = (spark.sparkContext.applicationId, sf_dir.rstrip("/")), _state(spark, sf_dir)
     held = _STARS.get(key)
     if held is None or held[0] != state:
-        star = build_star(C.clean_flat(standin_flat(spark, sf_dir)))
-        where = write_tables(star.tables(), scratch_path(spark, f"star-{uuid.uuid4().hex[:12]}"))
-        _STARS[key] = state, Star(**read_tables(spark, where)), list(where.values())
+        tables = build_star(C.clean_flat(standin_flat(spark, sf_dir))).tables()
+        run = uuid.uuid4().hex[:12]
+        base = scratch_path(spark, f"star-{run}")
+        # The fact and the order dimension meet on order_key in most reports.
+        keyed = {name: tables.pop(name) for name in ORDER_KEYED}
+        written = read_tables(spark, write_tables(tables, base))
+        for name, df in keyed.items():
+            written[name] = write_keyed(df, f"starlane_{name}_{run}", f"{base}/{name}", "order_key")
+        _STARS[key] = state, Star(**written), run
         if held is not None:
             release(held[1])
-            for path in held[2]:
-                remove_path(spark, path)
+            for name in ORDER_KEYED:
+                spark.sql(f"DROP TABLE IF EXISTS starlane_{name}_{held[2]}")
+            remove_path(spark, scratch_path(spark, f"star-{held[2]}"))
     return _STARS[key][1]
 
 

@@ -30,6 +30,17 @@ def write_tables(tables: dict[str, DataFrame], base: str | None = None) -> dict[
     return run_concurrently({n: (lambda n=n, df=df: write(n, df)) for n, df in tables.items()})
 
 
+def write_keyed(df: DataFrame, table: str, path: str, key: str) -> DataFrame:
+    """Write ``df`` bucketed and sorted by ``key`` as an external table and read it
+    back.  Tables keyed alike join and group on the key without a shuffle;
+    each bucket is one file, and there are as many as shuffle partitions."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(buckets, key).write.mode("overwrite").option("path", path)
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 def read_table(spark: SparkSession, location: str) -> DataFrame:
     """Read a whole table back (lazy)."""
     if "/" in location:
