@@ -16,11 +16,15 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def class_sample(labelled: DataFrame, label: str, per_class: int) -> DataFrame:
     """Up to ``per_class`` rows of each label, those of the smallest hash of
-    ``doc_id``.  The limit applies in each task before the shuffle, so a hot
-    class never meets in one."""
-    order = W.partitionBy(label).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
-    ranked = labelled.withColumn("_rank", F.row_number().over(order))
-    return ranked.filter(F.col("_rank") <= per_class).drop("_rank")
+    ``doc_id``.  The class sizes give a bound for the hash that hardly more rows
+    can stay below, so only about that many meet, however large a class is."""
+    sizes = labelled.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_size"))
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 11).cast("double") / float(1 << 53)
+    enough = per_class + 4 * per_class**0.5 + 10
+    low = labelled.join(sizes, F.col(label) == F.col("_label")).withColumn("_draw", draw).filter(F.col("_draw") * F.col("_size") <= enough)
+    order = W.partitionBy(label).orderBy("_draw", "doc_id")
+    ranked = low.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_class)
+    return ranked.select(labelled.columns)
 
 
 def linear_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, size: int, epochs: int = 20, seed: int = 0) -> np.ndarray:

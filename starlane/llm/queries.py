@@ -85,7 +85,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = learning.fold(F.col("doc_id"), 4) == 2
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out & F.col("toxic").isNotNull())
-    model = toxicity.fit(docs.join(labels, "doc_id"), "toxic")
+    model = toxicity.fit(docs, labels, "toxic")
     done = toxicity.score(docs, model, ["doc_id"]).select("row.doc_id", "score")
     return done.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

@@ -39,8 +39,8 @@ from starlane.llm import learning, text as tx
 
 ORDER, REACH, DECAY = 3, 3, 0.6
 SLOT_BITS = 18
-SAMPLE = 3000
-CHARS = 20_000
+SAMPLE = 2000
+CHARS = 12_000
 LANDMARKS = 200  # of each kind
 CLEAN_SPANS = 8_000  # clean examples, drawn from those of the sample
 ROUNDS = 2
@@ -218,14 +218,16 @@ def learn(texts: list[list[str]], y: np.ndarray, seed: int = 7) -> Model:
     return model
 
 
-def fit(labelled: DataFrame, label: str) -> Model:
-    """Learn from ``doc_id``, ``text`` and a 0/1 column ``label``."""
-    usable = labelled.filter(F.col(label).isin(0, 1)).select("doc_id", "text", F.col(label).cast("int").alias("y"))
+def fit(docs: DataFrame, labels: DataFrame, label: str) -> Model:
+    """Learn from ``doc_id`` and ``text`` of ``docs`` and the 0/1 column
+    ``label`` of ``labels``, by ``doc_id``.  The sample is drawn from the labels
+    alone, so only its texts are fetched."""
+    usable = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
     sizes = {r.y: r["count"] for r in usable.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return constant(1.0 if 1 in sizes else 0.0)
-    chosen = F.broadcast(learning.class_sample(usable.select("doc_id", "y"), "y", SAMPLE))
-    sample = usable.join(chosen, ["doc_id", "y"], "left_semi").filter(F.char_length("text") <= CHARS)
+    chosen = F.broadcast(learning.class_sample(usable, "y", SAMPLE))
+    sample = docs.select("doc_id", "text").join(chosen, "doc_id").filter(F.char_length("text") <= CHARS)
 
     def make():
         return lambda texts: [pa.array([_span_list(t.as_py()) for t in texts], pa.list_(pa.string()))]
