@@ -11,16 +11,18 @@ stays where it first occurs; every other occurrence is removed.
 2. A line is cut into ``TAU + 1`` even segments; a line within ``TAU`` edits
    keeps one of them whole.  Each line probes, for its own length and up to
    ``TAU`` less, the substrings that can equal a segment (multi-match-aware
-   windows around the segment's place).  Only hashes of (length, segment,
-   substring) and of the line are shuffled, never its text.
-3. One window over each hash finds the lines that met.  A small bucket gives
-   its pairs; in a large one every line is paired with the hub only, the
-   indexed line that most documents hold.
+   windows around the segment's place).  Here only hashes are shuffled: of
+   (length, segment, substring) and of the line.
+3. One window over each hash finds the lines that met (a bucket is sorted and
+   spilled, never held in memory).  A small bucket gives its pairs; in a
+   large one every line is paired with the hub only, the indexed line that
+   most documents hold.
 4. The texts of candidates are fetched once, and each pair is verified once:
-   all but ``TAU`` of ``PIECES`` parts must be found near their place, then
-   by banded bit-parallel edit distance (a band of ``2 * TAU + 1`` bits, as a
-   fold over the code points; lines beyond ``LONG`` use the built-in banded
-   ``levenshtein``, which needs less memory).
+   all but ``TAU`` of ``PIECES`` parts must be found near their place, equal
+   ends are cut off, and what is left is measured by banded bit-parallel edit
+   distance (a band of ``2 * TAU + 1`` bits, as a fold over the code points;
+   lines beyond ``LONG`` use the built-in banded ``levenshtein``, which needs
+   less memory).
 5. Lines of large buckets that are not in their hub's component are compared
    with the lines of other components there, past a filter on the parities
    of their characters and bigrams, and verified in the same way.
@@ -168,16 +170,40 @@ def _pieces_found(a: Column, b: Column) -> Column:
     return found
 
 
+def _without_ends(a: Column, b: Column, body) -> Column:
+    """``body`` of two texts without leading and trailing parts (sixteenths of
+    the shorter) that are equal in both: they do not change the distance."""
+    parts = 16
+    size = F.floor(F.least(F.char_length(a), F.char_length(b)) / parts).cast("int")
+
+    def equal(side) -> Column:
+        same = [F.when(side(a, size * k) == side(b, size * k), k).otherwise(0) for k in range(1, parts - 1)]
+        return F.greatest(*same)
+
+    def cut(ends: Column) -> Column:
+        head = size * ends.head
+        tail = size * F.least(ends.tail, F.lit(parts - 2) - ends.head)
+        inner = lambda t: F.substring(t, head + 1, F.char_length(t) - head - tail)
+        return _let(F.struct(inner(a).alias("a"), inner(b).alias("b")), lambda rest: body(rest.a, rest.b))
+
+    return _let(F.struct(equal(F.left).alias("head"), equal(F.right).alias("tail")), cut)
+
+
+def _distance(a: Column, b: Column) -> Column:
+    """Edit distance, right up to ``TAU``: bit-parallel but for very short rests."""
+    long_first = F.char_length(a) >= F.char_length(b)
+    p, t = F.when(long_first, a).otherwise(b), F.when(long_first, b).otherwise(a)
+    banded = _let(F.split(p, ""), lambda x: _let(F.split(t, ""), lambda y: _bit_parallel(x, y)))
+    return F.when(F.least(F.char_length(a), F.char_length(b)) <= 2 * TAU, F.levenshtein(a, b)).otherwise(banded)
+
+
 def within_tau(x: Column, y: Column) -> Column:
-    """Whether two lines of at least ``TAU`` code points are within ``TAU`` edits."""
-    long_first = F.char_length(x) >= F.char_length(y)
-    a, b = F.when(long_first, x).otherwise(y), F.when(long_first, y).otherwise(x)
-    banded = _let(F.split(a, ""), lambda p: _let(F.split(b, ""), lambda t: _bit_parallel(p, t)))
+    """Whether two lines are within ``TAU`` edits."""
     return (
         F.when(F.abs(F.char_length(x) - F.char_length(y)) > TAU, F.lit(False))
         .when(_pieces_found(x, y) < PIECES - TAU, F.lit(False))
-        .when(F.char_length(a) > LONG, F.levenshtein(x, y, TAU) >= 0)
-        .otherwise(banded <= TAU)
+        .when(F.char_length(x) > LONG, F.levenshtein(x, y, TAU) >= 0)
+        .otherwise(_without_ends(x, y, _distance) <= TAU)
     )
 
 

@@ -85,7 +85,7 @@ def test_bit_parallel_distance(spark):
     rng = random.Random(5)
     pairs = []
     for _ in range(400):
-        a = "".join(rng.choices("ab", k=rng.randint(2, 14)))
+        a = "".join(rng.choices("ab", k=rng.randint(2, 60)))
         pairs.append((a, edited(rng, a, rng.randint(0, min(4, len(a) - 2))) if rng.random() < 0.7 else "".join(rng.choices("ab", k=rng.randint(2, 14)))))
     pairs = [(a, b) for a, b in pairs if min(len(a), len(b)) >= 2]
     got = spark.createDataFrame(pairs, "x string, y string").select("x", "y", line_dedup.within_tau(F.col("x"), F.col("y")).alias("near")).collect()
