@@ -118,14 +118,16 @@ def constant(p: float) -> Model:
     return Model(np.zeros(SLOTS), np.zeros(SLOTS), 0.0, (1e-3, float(np.log(p / (1 - p)))))
 
 
-def fit(labelled: DataFrame, label: str) -> Model:
-    """Learn from ``doc_id``, ``text`` and a 0/1 column ``label``."""
-    usable = labelled.filter(F.col(label).isin(0, 1)).select("doc_id", "text", F.col(label).cast("int").alias("y"))
+def fit(docs: DataFrame, labels: DataFrame, label: str) -> Model:
+    """Learn from ``doc_id`` and ``text`` of ``docs`` and the 0/1 column
+    ``label`` of ``labels``, by ``doc_id``.  The sample is drawn from the labels
+    alone, so only its texts are fetched."""
+    usable = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
     sizes = {r.y: r["count"] for r in usable.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return constant(1.0 if 1 in sizes or not sizes else 0.0)
-    chosen = F.broadcast(learning.class_sample(usable.select("doc_id", "y"), "y", SAMPLE))
-    sample = usable.join(chosen, ["doc_id", "y"], "left_semi").filter(F.coalesce(F.char_length("text"), F.lit(0)) <= CHARS)
+    chosen = F.broadcast(learning.class_sample(usable, "y", SAMPLE))
+    sample = docs.select("doc_id", "text").join(chosen, "doc_id").filter(F.coalesce(F.char_length("text"), F.lit(0)) <= CHARS)
 
     def make():
         scratch = np.zeros(SLOTS, np.uint8)

@@ -79,7 +79,7 @@ def test_binary_model_edges(spark, both):
     odd = [(1, None), (1, None), (2, ""), (3, good[0] * 5000), (None, bad[0] * 3000), (5, "x" * 400_000)]
     docs = spark.createDataFrame(odd, "doc_id long, text string")
     for module in (quality_classifier, toxicity):
-        model = module.fit(labelled, "y")
+        model = module.fit(labelled.select("doc_id", "text"), labelled.select("doc_id", "y"), "y")
         got = [r.score for r in module.score(docs, model).collect()]
         assert len(got) == 6 and all(0 <= p <= 1 for p in got) and got[0] == got[1] == got[2]
         if both:
