@@ -49,7 +49,7 @@ CLEAN_COLS = {"order_id", "ship_mode", "customer_id", "customer_name", "segment"
 
 
 def _scan_cols(line: str) -> set[str]:
-    m = re.search(r"FileScan parquet \[([^\]]*)\]", line)
+    m = re.search(r"FileScan parquet [^\[]*\[([^\]]*)\]", line)
     return {re.sub(r"#\d+L?", "", c) for c in m.group(1).split(",")} if m else set()
 
 
@@ -59,7 +59,7 @@ def summary(plan: str, big: set[str] = FACT_COLS) -> dict[str, str]:
     fact_cols, fact_side = "", 0
     for i, line in enumerate(lines):
         if is_fact[i]:
-            m = re.search(r"FileScan parquet \[([^\]]*)\]", line)
+            m = re.search(r"FileScan parquet [^\[]*\[([^\]]*)\]", line)
             fact_cols = re.sub(r"#\d+L?", "", m.group(1)) if m else ""
         if re.search(r"Exchange (hash|range)partitioning", line):
             d = _depth(line)
