@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_BYTES = 1 << 20
+ROWS = 1000  # texts that a task works on at once
 
 _PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
@@ -177,8 +178,8 @@ def annotate(
     def run(batches):
         work = make()
         for batch in batches:
-            rows = batch.column(0)
-            if len(rows):
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.column(0).slice(at, ROWS)
                 out = work(pc.struct_field(rows, [carried.index(text)]))
                 yield pa.RecordBatch.from_arrays([rows, *out], names)
 
