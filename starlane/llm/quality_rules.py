@@ -14,9 +14,12 @@ judged per language and source.  A statistic vector is
 
 each ratio smoothed by ``PRIOR`` ordinary characters, so that short texts are
 not judged on a handful of them.  In each group the estimate starts from
-medians and absolute deviations, and concentration steps follow: order the
-documents by Mahalanobis distance, keep the nearer ``SUBSET``, take their mean
-and covariance again.  The covariance is then scaled so that the median
+medians and absolute deviations, and from the documents on either side of the
+median of each component: a cluster that stands apart in some component is
+outside one of those halves.  From every start concentration steps follow: order
+the documents by Mahalanobis distance, keep the nearer ``SUBSET``, take their
+mean and covariance again.  After ``SCREEN`` steps the ``BEST`` starts of each
+group by determinant go on, until the determinant stays, and the least counts.  Its covariance is then scaled so that the median
 distance is what a normal vector would have, re-estimated once over all
 documents within the 97.5 % quantile, and documents beyond ``CUTOFF`` go.
 
@@ -34,6 +37,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from starlane.session import materialize, write_and_read
@@ -44,8 +48,10 @@ MIN_WORDS = 10
 REPEAT_PERCENT = 20
 PRIOR = 200
 MIN_GROUP = 100
-SUBSET = 0.75
-STEPS = 3
+SUBSET = 0.5
+STEPS = 30  # at most; large groups end at SETTLED
+SETTLED = 1e-4  # change of the logarithm of the determinant
+SCREEN, BEST = 2, 2  # after so many steps only so many starts of a group go on
 #: Least standard deviation of each component: many texts have none of a mark.
 FLOORS = (0.25, 0.04, 0.05, 0.05, 0.06)
 D = len(FLOORS)
@@ -130,6 +136,7 @@ def _vector() -> list[Column]:
 
 X = [f"x{i}" for i in range(D)]
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
+ESTIMATE = [*[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i, j in PAIRS]]
 
 
 def _groups(stats: DataFrame) -> DataFrame:
@@ -146,8 +153,9 @@ def _groups(stats: DataFrame) -> DataFrame:
     return sizes.select(F.col("lang").alias("gl"), F.col("source").alias("gs"), named.alias("grp"))
 
 
-def _distance(points: DataFrame, estimate: DataFrame, how: str = "inner") -> DataFrame:
-    """Add the squared Mahalanobis distance ``d2`` by forward substitution."""
+def _distance(points: DataFrame, estimate: DataFrame, how: str = "inner", kept: list[str] | None = None) -> DataFrame:
+    """Add the squared Mahalanobis distance ``d2`` by forward substitution, and
+    the ``kept`` columns of the estimate."""
     out = points.join(estimate, "grp", how)
     for i in range(D):
         rest = F.col(X[i]) - F.col(f"m{i}")
@@ -155,25 +163,31 @@ def _distance(points: DataFrame, estimate: DataFrame, how: str = "inner") -> Dat
             rest = rest - F.col(f"l{i}{j}") * F.col(f"z{j}")
         out = out.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
     square = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, D)), F.col("z0") * F.col("z0"))
-    return out.select(*points.columns, (square / F.col("scale")).alias("d2"))
+    return out.select(*points.columns, *(kept or []), (square / F.col("scale")).alias("d2"))
 
 
 def _estimate(points: DataFrame) -> DataFrame:
-    """Mean and lower Cholesky factor of the covariance of each group."""
+    """Mean, lower Cholesky factor and log-determinant of the covariance of
+    each group and start."""
     sums = [F.avg(X[i]).alias(f"m{i}") for i in range(D)]
     sums += [F.covar_pop(X[i], X[j]).alias(f"c{i}{j}") for i, j in PAIRS]
-    out = points.groupBy("grp").agg(*sums)
+    out = points.groupBy("grp", "start").agg(*sums)
     for j in range(D):
         for i in range(j, D):
             rest = F.col(f"c{i}{j}") + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0))
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("grp", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i, j in PAIRS], F.lit(1.0).alias("scale"))
+    return out.select("grp", "start", *ESTIMATE, F.lit(1.0).alias("scale"), _log_det().alias("det"))
 
 
-def _start(points: DataFrame) -> DataFrame:
-    """Coordinate-wise medians and absolute deviations."""
+def _log_det() -> Column:
+    return 2 * sum((F.log(f"l{i}{i}") for i in range(1, D)), F.log("l00"))
+
+
+def _starts(points: DataFrame) -> DataFrame:
+    """Coordinate-wise medians and absolute deviations (start 0), and the
+    estimates of the documents on either side of each median."""
     middle = points.groupBy("grp").agg(*[F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(X)])
     middle = materialize(middle)
     off = points.join(middle, "grp").groupBy("grp")
@@ -181,27 +195,51 @@ def _start(points: DataFrame) -> DataFrame:
     factors = [
         (F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FLOORS[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in PAIRS
     ]
-    return middle.join(spread, "grp").select("grp", *[f"m{i}" for i in range(D)], *factors, F.lit(1.0).alias("scale"))
+    medians = middle.join(spread, "grp").select("grp", F.lit(0).alias("start"), *[f"m{i}" for i in range(D)], *factors, F.lit(1.0).alias("scale"))
+    sides = [F.when(F.col(x) <= F.col(f"m{i}"), 2 * i + 1) for i, x in enumerate(X)]
+    sides += [F.when(F.col(x) >= F.col(f"m{i}"), 2 * i + 2) for i, x in enumerate(X)]
+    halves = points.join(middle, "grp").select("grp", *X, F.explode(F.array_compact(F.array(*sides))).alias("start"))
+    return medians.withColumn("det", _log_det()).unionByName(_estimate(halves))
 
 
 def _within(points: DataFrame, estimate: DataFrame, share: float) -> DataFrame:
-    measured = _distance(points, estimate)
-    limit = measured.groupBy("grp").agg(F.percentile_approx("d2", share).alias("limit"))
-    return measured.join(materialize(limit), "grp").filter("d2 <= limit").drop("limit", "d2")
+    measured = _distance(points, estimate, kept=["start"])
+    limit = measured.groupBy("grp", "start").agg(F.percentile_approx("d2", share).alias("limit"))
+    return measured.join(write_and_read(limit, "quality-limit"), ["grp", "start"]).filter("d2 <= limit").drop("limit", "d2")
+
+
+def _concentrated(points: DataFrame, estimate: DataFrame) -> DataFrame:
+    """The estimate of each group with the least determinant, of those that
+    concentration steps reach from its starts."""
+    reached = []
+    for step in range(1 + STEPS):
+        before = estimate.select("grp", "start", F.col("det").alias("before"))
+        now = write_and_read(_estimate(_within(points, estimate, SUBSET)).join(before, ["grp", "start"]), "quality-step")
+        if step + 1 == SCREEN:
+            rank = F.row_number().over(W.partitionBy("grp").orderBy("det", "start"))
+            now = write_and_read(now.withColumn("rank", rank).filter(F.col("rank") <= BEST).drop("rank"), "quality-best")
+        settled = F.abs(F.col("det") - F.col("before")) <= SETTLED
+        reached.append(now.filter(settled).drop("before"))
+        estimate = now.filter(~settled).drop("before")
+        if estimate.isEmpty():
+            break
+    found = estimate
+    for part in reached:
+        found = found.unionByName(part)
+    best = found.groupBy("grp").agg(F.min(F.struct("det", "start", *ESTIMATE, "scale")).alias("e"))
+    return best.select("grp", "e.start", *[F.col("e").getField(c).alias(c) for c in ESTIMATE], "e.scale")
 
 
 def robust_estimates(points: DataFrame) -> DataFrame:
     """One row per group: mean, Cholesky factor and scale of its MCD estimate."""
-    estimate = materialize(_start(points))
-    for share in (0.5, *[SUBSET] * STEPS):
-        estimate = materialize(_estimate(_within(points, estimate, share)))
+    estimate = materialize(_concentrated(points, materialize(_starts(points))))
 
     def scaled(e: DataFrame) -> DataFrame:
         middle = _distance(points, e).groupBy("grp").agg(F.percentile_approx("d2", 0.5).alias("half"))
         return materialize(e.drop("scale").join(middle, "grp").withColumn("scale", F.greatest(F.col("half") / CHI_MEDIAN, F.lit(1.0))).drop("half"))
 
-    near = _distance(points, scaled(estimate)).filter(F.col("d2") <= CHI_975).drop("d2")
-    return scaled(materialize(_estimate(near)))
+    near = _distance(points, scaled(estimate), kept=["start"]).filter(F.col("d2") <= CHI_975).drop("d2")
+    return scaled(materialize(_estimate(near).drop("start", "det")))
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -219,7 +257,7 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         stats = stats.withColumn(name, F.when(~F.col("base_failed"), value))
     points = stats.filter("NOT base_failed").select("grp", *X)
     large = points.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_GROUP).select("grp")
-    estimates = robust_estimates(points.join(materialize(large), "grp"))
+    estimates = robust_estimates(write_and_read(points.join(materialize(large), "grp"), "quality-points"))
     judged = _distance(stats, estimates, "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
     return judged.withColumn("kept", kept).drop("grp", "lang", "source", *X)

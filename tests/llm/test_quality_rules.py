@@ -125,3 +125,19 @@ def test_long_text_and_clean_documents(spark):
     good = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").select("doc_id")
     judged = queries.op10_quality_rules(spark, sf)
     assert judged.join(good, "doc_id").filter("NOT base_failed AND NOT kept").count() <= 2
+
+
+@pytest.mark.parametrize("share", [0.35, 0.45])
+@pytest.mark.parametrize("copies", [True, False])
+def test_a_large_bad_cluster_of_one_source_goes(spark, share, copies):
+    rng = random.Random(9)
+    vocab = ["alpha", "Be", "c", "delta", "Echo", "gamma", "end.", "why?", "seventh", "of"]
+    bad = int(400 * share)
+    rows = [(i, " ".join(rng.choices(vocab, k=rng.randint(60, 200)))) for i in range(400 - bad)]
+    for i in range(bad):
+        first, size = (0, 90) if copies else (rng.randrange(1000), rng.randint(70, 150))
+        rows.append((1000 + i, " ".join(f"BUY{first + k}!%$" for k in range(size))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    got = Q.judge(docs).select("row.doc_id", "base_failed", "kept").collect()
+    assert not any(r.base_failed or r.kept for r in got if r.doc_id >= 1000)
+    assert sum(r.kept for r in got if not r.base_failed) >= 0.97 * sum(not r.base_failed for r in got if r.doc_id < 1000)
