@@ -12,8 +12,9 @@ from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-T = TypeVar("T")
+R = TypeVar("R")
 
 # Settings that matter at scale.  AQE re-plans joins at runtime from real
 # shuffle sizes (sort-merge -> broadcast only when the measured side is below
@@ -87,11 +88,20 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     it back.  Cuts lineage like ``materialize`` but keeps a columnar file:
     later scans prune columns, push filters and report their real size to
     the broadcast decision."""
-    spark = df.sparkSession
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    return read_table_of(df.sparkSession, write_table(df, name), df.schema)
+
+
+def write_table(df: DataFrame, name: str) -> str:
+    """Write ``df`` as Parquet under a new path of the reliable checkpoint
+    folder; the path, for ``remove_path`` once nothing reads it any more."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
-    # The schema is known: skip footer-based schema inference on read-back.
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def read_table_of(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Read a written table; its schema is known, so no footer is opened for it."""
+    return spark.read.schema(schema).parquet(path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -109,7 +119,7 @@ def input_state(spark: SparkSession, paths: list[str]) -> tuple:
     return tuple(state)
 
 
-def run_concurrently(actions: dict[str, Callable[[], T]], max_workers: int = 8) -> dict[str, T]:
+def run_concurrently(actions: dict[str, Callable[[], R]], max_workers: int = 8) -> dict[str, R]:
     """Run independent Spark actions from a few driver threads so their jobs
     share the cluster; results by name, the first failure re-raised."""
     if len(actions) <= 1:
