@@ -6,10 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlane.llm import bpe, decontaminate, language_id, learning, license_scan, line_dedup, ngram_join, quality_classifier, quality_rules, sharding, toxicity
+from starlane.llm import (
+    bpe,
+    conversations,
+    decontaminate,
+    html_extract,
+    language_id,
+    learning,
+    license_scan,
+    line_dedup,
+    ngram_join,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    toxicity,
+    vector_codes,
+)
 from starlane.llm.text import ship_package
 
-
 SHARDS = 8
 
 
@@ -115,6 +129,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.doc_id", *counts, "base_failed", "kept", "d2")
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    done = html_extract.main_text(pages, keep=["page_id", "url"])
+    return done.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and errors of every usable embedding, with books fitted on all of them."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    done = vector_codes.compress(vectors, keep=["vec_id"])
+    return done.select("row.vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of the repaired rows of every
+    conversation, after the damage that the contract states."""
+    return conversations.repair(conversations.damage(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -126,12 +160,44 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_html_extract": op11_html_extract,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
+
+
+def _vector_codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """Plain Lloyd rounds: all distances, the least of each part, means of groups."""
+    with_parts = [
+        """v AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding AS e, len(embedding) // 8 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda q: q IS NULL OR NOT isfinite(q))) = 0),
+places AS (SELECT r, vec_id, label, w, e, unnest(range(0, len(e))) AS i FROM v),
+x AS (SELECT r, vec_id, label, i // w AS pos, i % w AS k, CAST(floor(4096 * CAST(e[i + 1] AS DOUBLE)) AS BIGINT) AS c FROM places),
+b0 AS (SELECT pos, r - 1 AS entry, k, c FROM x WHERE r <= 16)"""
+    ]
+    nearest = """SELECT r, pos, min(16 * d + entry) AS best FROM (
+  SELECT x.r, x.pos, b.entry, CAST(sum((x.c - b.c) * (x.c - b.c)) AS BIGINT) AS d FROM x JOIN b{n} b ON b.pos = x.pos AND b.k = x.k GROUP BY ALL) GROUP BY ALL"""
+    for n in range(rounds):
+        with_parts.append(f"a{n} AS ({nearest.format(n=n)})")
+        with_parts.append(f"""s{n} AS (SELECT x.pos, a.best % 16 AS entry, x.k, CAST(sum(x.c) AS BIGINT) AS s, count(*) AS n
+  FROM x JOIN a{n} a ON a.r = x.r AND a.pos = x.pos GROUP BY ALL)""")
+        with_parts.append(f"""b{n + 1} AS (SELECT b.pos, b.entry, b.k, coalesce((s.s - (s.s % s.n + s.n) % s.n) // s.n, b.c) AS c
+  FROM b{n} b LEFT JOIN s{n} s ON s.pos = b.pos AND s.entry = b.entry AND s.k = b.k)""")
+    return f"""WITH {", ".join(with_parts)},
+a{rounds} AS ({nearest.format(n=rounds)}),
+coded AS (SELECT r, string_agg(printf('%02x', best % 16), '' ORDER BY pos) AS code, CAST(sum(best // 16) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT v.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY pos, entry, k)) FROM b{rounds}) AS codebooks_sha256
+FROM coded JOIN v USING (r)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ITEM_WORD}') AS w FROM documents),
@@ -163,4 +229,5 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, links.b FROM
 SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, min(reach.b) AS component_id
 FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id GROUP BY 1, 2
 """,
+    "op12_vector_codes": _vector_codes_sql(),
 }

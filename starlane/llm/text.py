@@ -155,22 +155,24 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
-def annotate(
-    docs: DataFrame,
+def annotate_rows(
+    table: DataFrame,
     make: Callable[[], Callable[[pa.Array], list[pa.Array]]],
     schema: str,
-    keep: list[str] | None = None,
-    text: str = "text",
+    keep: list[str] | None,
+    column: str,
+    rows: int = ROWS,
 ) -> DataFrame:
-    """Add columns computed from the text by ``make()(texts)``.
+    """Add columns computed from one column by ``make()(values)``.
 
     The kept columns travel as one struct ``row``, so the new names can never
     clash with theirs; the result has ``row`` and the new columns.
     ``make`` runs once in each task and may load models there.
     """
-    columns = docs.columns if keep is None else keep
-    carried = columns if text in columns else [*columns, text]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"))
+    columns = table.columns if keep is None else keep
+    carried = columns if column in columns else [*columns, column]
+    quoted = [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in carried]
+    packed = table.select(F.struct(*quoted).alias("row"))
     added = T._parse_datatype_string(schema)
     types = T.StructType([packed.schema["row"], *added.fields])
     names = [f.name for f in types.fields]
@@ -178,12 +180,23 @@ def annotate(
     def run(batches):
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                rows = batch.column(0).slice(at, ROWS)
-                out = work(pc.struct_field(rows, [carried.index(text)]))
-                yield pa.RecordBatch.from_arrays([rows, *out], names)
+            for at in range(0, batch.num_rows, rows):
+                some = batch.column(0).slice(at, rows)
+                out = work(pc.struct_field(some, [carried.index(column)]))
+                yield pa.RecordBatch.from_arrays([some, *out], names)
 
     done = packed.mapInArrow(run, types)
     if len(carried) != len(columns):
         done = done.withColumn("row", F.struct(*[F.col("row").getField(c).alias(c) for c in columns]))
     return done
+
+
+def annotate(
+    docs: DataFrame,
+    make: Callable[[], Callable[[pa.Array], list[pa.Array]]],
+    schema: str,
+    keep: list[str] | None = None,
+    text: str = "text",
+) -> DataFrame:
+    """``annotate_rows`` for the text column of documents."""
+    return annotate_rows(docs, make, schema, keep, text)
