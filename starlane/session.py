@@ -104,6 +104,18 @@ def read_table_of(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).parquet(path)
 
 
+def write_file(spark: SparkSession, name: str, content: bytes) -> str:
+    """Write a small file under the reliable checkpoint folder; its path."""
+    path = scratch_path(spark, name)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    try:
+        out.write(content)
+    finally:
+        out.close()
+    return path
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a written table that is no longer needed, in whatever file
     system it lies."""
