@@ -43,13 +43,39 @@ def estimate(x):
     return x.mean(0), np.linalg.cholesky(np.cov(x.T, bias=True) + np.diag(np.square(Q.FLOORS)))
 
 
+def step(x, now):
+    """A concentration step: the points up to the part of an octave that reaches half."""
+    mean, factor, middle = now
+    d = distances(x, mean, factor)
+    part = np.floor(np.clip(np.log2(np.maximum(d, 1e-30) / middle), -Q.OCTAVES, Q.OCTAVES) * Q.FINE).astype(int)
+    near = np.array([2 * (part < k).sum() < len(part) for k in part])
+    return (*estimate(x[near]), 2 ** ((part[near].max() + 0.5) / Q.FINE) * middle)
+
+
+def log_det(now):
+    return 2 * np.log(np.diag(now[1])).sum()
+
+
+def concentrated(x, starts, steps, least):
+    out = []
+    for now in starts:
+        for done in range(1, steps + 1):
+            before, now = now, step(x, now)
+            if done >= least and log_det(before) - log_det(now) <= Q.SETTLED:
+                break
+        out.append(now)
+    return out
+
+
 def robust(x):
     mean = np.array([quantile(c, 0.5) for c in x.T])
     spread = np.array([max(1.4826 * quantile(abs(c - m), 0.5), f) for c, m, f in zip(x.T, mean, Q.FLOORS, strict=True)])
-    now = mean, np.diag(spread)
-    for share in (0.5, *[Q.SUBSET] * Q.STEPS):
-        d = distances(x, *now)
-        now = estimate(x[d <= quantile(d, share)])
+    starts = [(mean, np.diag(spread))]
+    for i, m in enumerate(mean):
+        starts += [estimate(x[x[:, i] <= m]), estimate(x[x[:, i] >= m])]
+    reached = concentrated(x, [(*s, Q.CHI_MEDIAN) for s in starts], Q.SCREEN, Q.SCREEN)
+    best = sorted(reached, key=log_det)[: Q.BEST]
+    now = min(concentrated(x, concentrated(x, best, Q.STEPS, 1), Q.STEPS, 2), key=log_det)[:2]
     scale = max(quantile(distances(x, *now), 0.5) / Q.CHI_MEDIAN, 1)
     now = estimate(x[distances(x, *now) / scale <= Q.CHI_975])
     return (*now, max(quantile(distances(x, *now), 0.5) / Q.CHI_MEDIAN, 1))
@@ -59,7 +85,7 @@ def corpus():
     rng = random.Random(4)
     vocab = ["alpha", "Be", "c", "délta", "Écho", "𝄞x", "end."]
     rows = []
-    for i in range(330):
+    for i in range(560):
         words = rng.choices(vocab, k=rng.choice([0, 4, 5, 9, 10, 60, 200]))
         if i % 11 == 0:
             words = [w.upper() + "!!" for w in words]
@@ -70,35 +96,35 @@ def corpus():
         text = "".join(w + rng.choice([" ", " ", "\n", "\t ", "\x0b"]) for w in words)
         if i % 5 == 0:
             text += "\nsame line\nsame line\n \n\n"
-        lang, source = ("en", "hot") if i < 180 else rng.choice([("en", "s1"), ("fr", None), (None, "s2")])
+        lang, source = ("en", "hot") if i < 300 else rng.choice([("en", "s1"), ("en", "s2"), ("fr", None), (None, "s2")])
         rows.append((i, text, lang, source, "x"))
     return [*rows, (1000, None, "en", "hot", "x"), (None, "", None, None, "x"), (1, rows[1][1], "en", "hot", "x")]
 
 
 def test_against_brute_force(spark):
     rows = corpus()
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, d2 string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, d2 string").withColumn("a.b", F.lit(1))
     got = Q.judge(docs).select("row.doc_id", "row.text", F.col("row.d2").alias("own"), *["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], "n_upper", "n_marks", "base_failed", "d2", "kept").collect()
     assert len(got) == len(rows) and all(r.own == "x" for r in got)
     measured = [counts(t) for _, t, _, _, _ in rows]
     failed = [c[0] < 10 or 100 * c[4] > 20 * c[0] for c in measured]
     sizes = Counter((r[2], r[3]) for r, f in zip(rows, failed, strict=True) if not f)
-    pools = Counter()
+    languages = Counter()
     for (lang, source), n in sizes.items():
-        if n < Q.MIN_GROUP:
-            pools[lang] += n
+        languages[lang] += n
 
     def group(lang, source):
         if sizes[lang, source] >= Q.MIN_GROUP:
             return lang, source
-        return (lang,) if pools[lang] >= Q.MIN_GROUP else ()
+        return (lang,) if languages[lang] >= Q.MIN_GROUP else ()
 
     groups = {}
     for r, c, f in zip(rows, measured, failed, strict=True):
         if not f:
-            groups.setdefault(group(r[2], r[3]), []).append(vector(c))
-    models = {g: robust(np.array(x)) for g, x in groups.items() if len(x) >= Q.MIN_GROUP}
-    assert models
+            for g in ((r[2], r[3]), (r[2],), ()):
+                groups.setdefault(g, []).append(vector(c))
+    models = {g: robust(np.array(groups[g])) for g in {group(r[2], r[3]) for r, f in zip(rows, failed, strict=True) if not f}}
+    assert {len(g) for g in models} == {0, 1, 2}
     want = Counter()
     for r, c, f in zip(rows, measured, failed, strict=True):
         model = models.get(group(r[2], r[3]))
@@ -141,3 +167,25 @@ def test_a_large_bad_cluster_of_one_source_goes(spark, share, copies):
     got = Q.judge(docs).select("row.doc_id", "base_failed", "kept").collect()
     assert not any(r.base_failed or r.kept for r in got if r.doc_id >= 1000)
     assert sum(r.kept for r in got if not r.base_failed) >= 0.97 * sum(not r.base_failed for r in got if r.doc_id < 1000)
+
+
+def test_spam_in_a_rare_language_goes(spark):
+    rng = random.Random(5)
+    vocab = ["alpha", "Be", "c", "delta", "Echo", "gamma", "end.", "why?", "seventh", "of"]
+    rows = [(i, " ".join(rng.choices(vocab, k=rng.randint(60, 200))), "en" if i % 2 else "fr") for i in range(600)]
+    rows += [(1000 + i, " ".join(f"#{rng.randrange(10**6)}$%" for _ in range(80)), "xx") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s"))
+    got = {r.doc_id: r.kept for r in Q.judge(docs).select("row.doc_id", "kept").collect()}
+    assert not any(got[1000 + i] for i in range(90))
+    assert sum(got[i] for i in range(600)) >= 580
+
+
+def test_sampled_starts_lead_to_the_estimate_of_all(spark, monkeypatch):
+    rng = random.Random(6)
+    vocab = ["alpha", "Be", "c", "delta", "Echo", "gamma", "end.", "why?", "seventh", "of"]
+    rows = [(i, " ".join(rng.choices(vocab, k=rng.randint(60, 200))) + ("!%" * 60 if i % 3 == 0 else "")) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    whole = {r.doc_id: (r.kept, r.d2) for r in Q.judge(docs).select("row.doc_id", "kept", "d2").collect()}
+    monkeypatch.setattr(Q, "SAMPLE", 200)
+    sampled = {r.doc_id: (r.kept, r.d2) for r in Q.judge(docs).select("row.doc_id", "kept", "d2").collect()}
+    assert all(whole[i][0] == sampled[i][0] and whole[i][1] == pytest.approx(sampled[i][1], rel=0.05, abs=0.1) for i in whole)
