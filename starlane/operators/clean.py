@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from starlane.functions.dates import parse_day_first
-from starlane.session import write_and_read
+from starlane.session import read_table_of, remove_path, write_table
 
 
 def mode_value(df: DataFrame, col: str) -> DataFrame:
@@ -103,36 +103,55 @@ def drop_if_present(df: DataFrame, col: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Cleaned:
-    """What cleaning makes of the flat rows.  ``flat`` rows are ``deduped``
-    rows and exact duplicates; ``deduped`` rows are ``lines`` and, where dates
-    are read leniently, ``quarantined`` ones."""
+    """What cleaning makes of the flat rows, stored: the ``lines``, the
+    ``quarantined`` rows, and the counts observed while they were written."""
 
-    flat: DataFrame
-    deduped: DataFrame
     lines: DataFrame
     quarantined: DataFrame
+    counts: dict[str, int]
+    paths: tuple[str, ...]  # of what is stored
+
+    def release(self) -> None:
+        """Delete what is stored, once everything made from it is written."""
+        for path in self.paths:
+            remove_path(self.lines.sparkSession, path)
 
     def report(self) -> dict[str, int]:
         """Row counts that add up, and the lines shipped before their order date."""
-        rows_in, deduped, lines = self.flat.count(), self.deduped.count(), self.lines.count()
-        return {
-            "rows_in": rows_in,
-            "duplicates_removed": rows_in - deduped,
-            "quarantined": self.quarantined.count(),
-            "lines": lines,
-            "invalid_dates": invalid_date_count(self.lines).first().invalid_rows,
-        }
+        return dict(self.counts)
+
+
+def _staged(df: DataFrame, name: str, *metrics: Column) -> tuple[str, DataFrame, dict[str, object]]:
+    """Write ``df``; its path, the table read back, and the aggregates of its rows
+    that were taken while they were written."""
+    seen = Observation(name)
+    path = write_table(df.observe(seen, F.count(F.lit(1)).alias("rows"), *metrics), name)
+    return path, read_table_of(df.sparkSession, path, df.schema), seen.get
 
 
 def clean_parts(flat: DataFrame, strict: bool = True) -> Cleaned:
-    """T8 with everything it sets aside.  The source is read once: its rows,
-    and then the deduplicated ones, are written as Parquet, and the mode and
-    all counts come from those."""
-    flat = write_and_read(flat, "flat")
-    deduped = write_and_read(dedupe_rows(impute_mode(flat, "postal_code")), "deduped")
+    """T8 with everything it sets aside.  The source is read once and no job
+    only counts: the mode and all counts are observed by the writes (the mode as
+    a mergeable table of value counts, with as many entries as the column has values)."""
+    fills = [F.mode("postal_code", deterministic=True).alias("mode")] if "postal_code" in flat.columns else []
+    flat_path, rows, of_flat = _staged(flat, "flat", *fills)
+    if fills:
+        mode = F.lit(of_flat["mode"]).cast(flat.schema["postal_code"].dataType)
+        rows = rows.withColumn("postal_code", F.coalesce("postal_code", mode))
+    deduped_path, deduped, of_deduped = _staged(dedupe_rows(rows), "deduped")
+    remove_path(flat.sparkSession, flat_path)
     parsed = parse_dates(deduped, strict=strict)
     good, bad = (parsed, deduped.limit(0)) if strict else quarantine_dates(parsed)
-    return Cleaned(flat, deduped, drop_if_present(good, "row_id"), bad)
+    wrong = F.count_if(F.col("ship_date") < F.col("order_date")).alias("invalid_dates")
+    lines_path, lines, of_lines = _staged(drop_if_present(good, "row_id"), "clean_lines", wrong)
+    counts = {
+        "rows_in": of_flat["rows"],
+        "duplicates_removed": of_flat["rows"] - of_deduped["rows"],
+        "quarantined": of_deduped["rows"] - of_lines["rows"],
+        "lines": of_lines["rows"],
+        "invalid_dates": of_lines["invalid_dates"],
+    }
+    return Cleaned(lines, bad, counts, (deduped_path, lines_path))
 
 
 def clean_flat(flat: DataFrame, strict: bool = True) -> DataFrame:

@@ -37,9 +37,10 @@ class Star:
     dim_customers: DataFrame
     dim_regions: DataFrame
     dim_products: DataFrame
+    keyed: bool = False  # fact and order dimension lie in buckets of order_key
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "keyed"}
 
     def written(self) -> "Star":
         """Write every table once (Parquet, reliable folder) and read back.
@@ -92,15 +93,16 @@ def build_fact(clean: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
     return fact.select("sales", *FACT_KEYS)
 
 
-def build_star(clean: DataFrame, stage_clean: bool = True) -> Star:
+def build_star(clean: DataFrame, stage_clean: bool = True, stored: bool = False) -> Star:
     """Clean flat lines -> fact_sales + five dimensions (lazy frames).
 
     The cleaned lines feed six scans (five dimensions and the fact), so by
     default they are written once (Parquet) first, so each scan reads only
     the columns it needs.  The distinct dimensions are written next: the key
-    maps and the finished dimensions come from those.
+    maps and the finished dimensions come from those.  ``stored`` says that the
+    lines are a stored table already, as ``clean_parts`` leaves them.
     """
-    if stage_clean:
+    if stage_clean and not stored:
         clean = write_and_read(clean, "clean_lines")
     rows = distinct_dimensions(clean)
     if stage_clean:

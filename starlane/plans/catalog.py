@@ -48,7 +48,8 @@ def star_for(spark: SparkSession, sf_dir: str) -> Star:
     key, state = (spark.sparkContext.applicationId, sf_dir.rstrip("/")), _state(spark, sf_dir)
     held = _STARS.get(key)
     if held is None or held[0] != state:
-        tables = build_star(C.clean_flat(standin_flat(spark, sf_dir))).tables()
+        cleaned = C.clean_parts(standin_flat(spark, sf_dir))
+        tables = build_star(cleaned.lines, stored=True).tables()
         run = uuid.uuid4().hex[:12]
         base = scratch_path(spark, f"star-{run}")
         # The fact and the order dimension meet on order_key in most reports.
@@ -56,7 +57,8 @@ def star_for(spark: SparkSession, sf_dir: str) -> Star:
         written = read_tables(spark, write_tables(tables, base))
         for name, df in keyed.items():
             written[name] = write_keyed(df, f"starlane_{name}_{run}", f"{base}/{name}", "order_key")
-        _STARS[key] = state, Star(**written), run
+        cleaned.release()
+        _STARS[key] = state, Star(**written, keyed=True), run
         if held is not None:
             release(held[1])
             for name in ORDER_KEYED:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starlane.operators.star import Star
+from starlane.plans import lattice
 from starlane.plans import reports as R
 from starlane.session import remove_path, scratch_path
 from starlane.sources.tables import read_table, write_tables
@@ -59,6 +60,12 @@ ORDER: dict[str, list[str]] = {
 }
 
 
+#: Reports that are rolled up from the stored aggregates.
+ROLLED_UP = {name for group in REPORTS.values() for name in group} - {
+    "calculate_lead_time", "mart_order_fulfillment", "mart_shipping_logistics"
+}
+
+
 def _sort_cols(spec: list[str]):
     return [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in spec]
 
@@ -96,6 +103,8 @@ def run_all(star: Star, group: str, base: str | None = None
     results, errors = {}, {}
     for name in REPORTS[group]:
         try:
+            if name in ROLLED_UP:
+                lattice.store(star)  # once: the fact is not read again for these reports
             results[name] = run(star, name, base)
         except Exception as exc:  # keep going, like the original batch
             errors[name] = f"{type(exc).__name__}: {exc}"
@@ -116,6 +125,8 @@ def report_frame(star: Star, name: str) -> DataFrame:
     memo = _BUILT.setdefault(star, {})
     if name not in memo:
         _, plan = _find(name)
+        if name in ROLLED_UP:
+            lattice.store(star)
         df = plan(star)
         path = scratch_path(df.sparkSession, f"report-{name}-{uuid.uuid4().hex[:12]}")
         df.write.parquet(path)
@@ -130,15 +141,20 @@ def fetch_mart(star: Star, name: str) -> DataFrame:
 
 
 def release(star: Star) -> None:
-    """Delete every report kept for ``star`` (e.g. once a dashboard session
-    ends, or before a rebuild)."""
+    """Delete every report kept for ``star``, and the aggregates they are rolled up
+    from (e.g. once a dashboard session ends)."""
+    _forget_reports(star)
+    lattice.release(star)
+
+
+def _forget_reports(star: Star) -> None:
     for path, df in _BUILT.pop(star, {}).values():
         remove_path(df.sparkSession, path)
 
 
 def rebuild_marts(star: Star) -> dict[str, DataFrame]:
     """Drop the memoised reports of ``star`` and build the three marts again."""
-    release(star)
+    _forget_reports(star)
     return {name: fetch_mart(star, name) for name in REPORTS["marts"]}
 
 
@@ -155,7 +171,7 @@ def run_batch(flat: DataFrame, base: str, strict: bool = True) -> dict[str, obje
     root = base.rstrip("/")
     cleaned = clean_parts(flat, strict=strict)
     quarantine = write_tables({"quarantine": cleaned.quarantined}, root)["quarantine"]
-    star = build_star(cleaned.lines)
+    star = build_star(cleaned.lines, stored=True)
     tables = write_tables(star.tables(), f"{root}/star")
     star = Star(**{n: read_table(flat.sparkSession, p) for n, p in tables.items()})
     errors: dict[str, str] = {}

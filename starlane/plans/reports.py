@@ -6,11 +6,13 @@ dimension is LEFT joined on its surrogate key (M1 inner), and because a key
 can repeat across dimension rows, a join multiplies fact rows.  SUM and
 COUNT see those copies, COUNT DISTINCT and MIN/MAX do not.
 
-The plans do not materialise that fan-out.  Two rewrites keep results
+The plans do not materialise that fan-out.  Three rewrites keep results
 identical while moving less data:
 
 * eager aggregation -- the fact is aggregated to the grain of the join keys
   (map-side partial aggregation first) before it meets a dimension;
+* stored roll-ups -- reports at the grain of orders or products are rolled up
+  from the aggregates of ``plans.lattice``;
 * weighted dimensions -- a dimension is reduced to
   ``(key, reported attributes, copies)`` and ``copies`` multiplies sums and
   counts instead of repeating rows.
@@ -28,6 +30,7 @@ from pyspark.sql import types as T
 from starlane.functions.dates import days_between
 from starlane.functions.money import money, money_avg, money_sum, ratio, round_half_away
 from starlane.operators.star import Star
+from starlane.plans import lattice
 
 
 _DIM_OF_KEY = {
@@ -74,21 +77,43 @@ def _w(col: str = "_w"):
     return F.coalesce(F.col(col), F.lit(1).cast("bigint"))
 
 
-def _sales_orders_by(fact: DataFrame, dim: DataFrame, key: str, attrs: list[str],
-                     how: str = "left") -> DataFrame:
-    """SUM(sales) and COUNT(DISTINCT order_key) per dimension attributes.
+def _by_product_attribute(star: Star, dim: DataFrame, attrs: list[str]) -> DataFrame:
+    """SUM(sales) and COUNT(DISTINCT order_key) per product attributes.
 
-    The fact meets the weighted dimension directly (a broadcast when AQE
-    measures it small, so the fact is never shuffled for the join); partial
-    aggregation on (attrs, order) runs in the same stage, then distinct
-    orders are counted in a second, small aggregation.
+    Orders and products meet the weighted dimension directly (a broadcast when
+    AQE measures it small); an order has several products, so its distinct
+    count is by bitmaps or by pairs, whichever takes less (``plans.lattice``).
     """
-    joined = fact.select(key, "order_key", "sales").join(weighted_dim(dim, key, attrs), key, how)
-    per_order = joined.groupBy(*attrs, "order_key").agg(
-        F.sum(money("sales") * _w()).alias("_s"))
-    return per_order.groupBy(*attrs).agg(
-        F.sum("_s").alias("total_sales"), F.count(_one()).alias("total_orders")
-    )
+    wd = weighted_dim(dim, "product_key", attrs)
+    joined = lattice.order_products(star).select("product_key", "order_key", "_s").join(wd, "product_key", "left")
+    rows = joined.select(*attrs, "order_key", (F.col("_s") * _w()).alias("_s"))
+    bitmaps = lattice.bitmaps_pay(star, dim.select(*attrs).distinct().count() + 1)
+    return lattice.distinct_orders(rows, attrs, bitmaps)
+
+
+def _by_party_attribute(star: Star, dim: DataFrame, key: str, attrs: list[str]) -> DataFrame:
+    """SUM(sales) and COUNT(DISTINCT order_key) per attributes of a dimension of
+    which nearly every order has one key: such orders are summed and counted per
+    key, inside their bucket, before they meet the dimension."""
+    wd = weighted_dim(dim, key, attrs)
+    alone = lattice.alone_by_key(star, key).join(wd, key, "left")
+    out = alone.groupBy(*attrs).agg(F.sum(F.col("_s") * _w()).alias("_s"), F.sum("_o").alias("_o"))
+    if not lattice.orders_may_share(star, key):
+        return out
+    shared = lattice.shared_pairs(star, key).join(wd, key, "left")
+    rows = shared.select(*attrs, "order_key", (F.col("_s") * _w()).alias("_s"))
+    both = out.unionByName(lattice.distinct_orders(rows, attrs, bitmaps=False))
+    return both.groupBy(*attrs).agg(F.sum("_s").alias("_s"), F.sum("_o").alias("_o"))
+
+
+def _per_order(star: Star) -> DataFrame:
+    return lattice.order_parties(star).groupBy("order_key").agg(F.sum("_s").alias("_s"))
+
+
+def _orders_per_product(star: Star) -> DataFrame:
+    """Sales and distinct orders per product key: a row of the roll-up is one of both."""
+    rows = lattice.order_products(star).groupBy("product_key")
+    return rows.agg(F.sum("_s").alias("_s"), F.count(_one()).alias("_o"))
 
 
 # ---------------------------------------------------------------- A1-A5
@@ -100,9 +125,10 @@ def sales_by_month(star: Star) -> DataFrame:
         F.year("order_date").cast("bigint").alias("order_year"),
         F.month("order_date").cast("bigint").alias("order_month"),
     )
-    per_order = star.fact_sales.groupBy("order_key").agg(money_sum("sales").alias("_s"))
-    # One exchange on order_key serves both the grouping and the join.
-    months = weighted_dim(dates.repartition("order_key"), "order_key", ["order_year", "order_month"])
+    per_order = _per_order(star)
+    if not star.keyed:  # one exchange on order_key serves both the grouping and the join
+        dates = dates.repartition("order_key")
+    months = weighted_dim(dates, "order_key", ["order_year", "order_month"])
     joined = per_order.join(months, "order_key", "left")
     return joined.groupBy("order_year", "order_month").agg(
         F.sum(F.col("_s") * _w()).alias("total_sales"),
@@ -112,10 +138,7 @@ def sales_by_month(star: Star) -> DataFrame:
 
 def sales_by_product(star: Star) -> DataFrame:
     """A2: sales and distinct orders per product key and description."""
-    per_key = (
-        star.fact_sales.groupBy("product_key", "order_key").agg(money_sum("sales").alias("_s"))
-        .groupBy("product_key").agg(F.sum("_s").alias("_s"), F.count(_one()).alias("_o"))
-    )
+    per_key = _orders_per_product(star)
     attrs = ["product_name", "category", "sub_category"]
     dim = weighted_dim(star.dim_products, "product_key", ["product_id", *attrs], star_dim=True)
     joined = per_key.join(dim, "product_key", "left")
@@ -127,20 +150,22 @@ def sales_by_product(star: Star) -> DataFrame:
 
 def sales_by_category(star: Star) -> DataFrame:
     """A3: sales and distinct orders per category."""
-    return _sales_orders_by(star.fact_sales, star.dim_products, "product_key", ["category"])
+    out = _by_product_attribute(star, star.dim_products, ["category"])
+    return out.select("category", F.col("_s").alias("total_sales"), F.col("_o").alias("total_orders"))
 
 
 def sales_by_subcategory(star: Star) -> DataFrame:
     """A4: sales and distinct orders per sub-category (named ``subcategory``)."""
     dim = star.dim_products.withColumnRenamed("sub_category", "subcategory")
-    return _sales_orders_by(star.fact_sales, dim, "product_key", ["subcategory"])
+    out = _by_product_attribute(star, dim, ["subcategory"])
+    return out.select("subcategory", F.col("_s").alias("total_sales"), F.col("_o").alias("total_orders"))
 
 
 def revenue_by_state(star: Star) -> DataFrame:
     """A5: revenue and distinct orders per state (reported as ``region``)."""
     dim = star.dim_regions.select("region_key", F.col("state").alias("region"))
-    out = _sales_orders_by(star.fact_sales, dim, "region_key", ["region"])
-    return out.withColumnRenamed("total_sales", "total_revenue")
+    out = _by_party_attribute(star, dim, "region_key", ["region"])
+    return out.select("region", F.col("_s").alias("total_revenue"), F.col("_o").alias("total_orders"))
 
 
 # ---------------------------------------------------------------- K1-K5
@@ -171,6 +196,9 @@ def lead_time(star: Star) -> DataFrame:
 
 
 def _per_product(star: Star) -> DataFrame:
+    if lattice.stored(star):
+        rows = lattice.order_products(star).groupBy("product_key")
+        return rows.agg(*[F.sum(c).alias(c) for c in ("_n", "_s", "_ns")])
     return star.fact_sales.groupBy("product_key").agg(
         F.count(_one()).alias("_n"),
         money_sum("sales").alias("_s"),
@@ -219,19 +247,34 @@ def avg_order_value_by_category(star: Star) -> DataFrame:
 def order_frequency_by_customer(star: Star) -> DataFrame:
     """K5: distinct orders / distinct order dates per customer name.
 
-    Only distinct counts: dimension copies do not matter, so the fact is
-    reduced to distinct (order, customer) pairs and the order dimension is
-    joined as it is.  A zero divisor gives null.
+    Dimension copies do not matter to distinct counts.  Orders of one customer
+    key are counted per key, and the key's order dates kept as a set (bounded
+    by the calendar), inside the order buckets; keys then meet their names, and
+    sets and counts merge per name.  Orders with several customer keys are made
+    distinct per name.  A zero divisor gives null.
     """
-    pairs = star.fact_sales.select("order_key", "customer_key").distinct()
-    names = star.dim_customers.select("customer_key", "customer_name").distinct()
-    dates = star.dim_orders.select("order_key", "order_date")
-    joined = pairs.join(names, "customer_key", "left").join(dates, "order_key", "left")
-    agg = joined.groupBy("customer_name").agg(
-        F.count_distinct("order_key").alias("_o"),
-        F.count_distinct("order_date").alias("_d"),
-    )
-    return agg.select("customer_name", ratio("_o", "_d").alias("avg_order_frequency"))
+    key = "customer_key"
+    parties = lattice.order_parties(star).groupBy("order_key", key).agg(F.count(_one()).alias("_rows"))
+    keys = parties.groupBy("order_key").agg(F.count(_one()).alias("_k"))
+    dates = star.dim_orders.groupBy("order_key").agg(F.collect_set("order_date").alias("_dates"))
+    pairs = parties.join(keys, "order_key").join(dates, "order_key", "left")
+
+    def merged(rows: DataFrame, by: str, orders) -> DataFrame:
+        """Orders and the set of dates of each ``by``; a row's orders go with its first date."""
+        one = rows.select(by, orders.alias("_o"), F.posexplode_outer("_dates").alias("_at", "_date"))
+        first = F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_o"))
+        return one.groupBy(by).agg(F.sum(first).alias("_o"), F.collect_set("_date").alias("_dates"))
+
+    names = star.dim_customers.select(key, "customer_name").distinct()
+    per_key = merged(pairs, key, (F.col("_k") == 1).cast("bigint"))
+    out = merged(per_key.join(names, key, "left"), "customer_name", F.col("_o"))
+    out = out.select("customer_name", "_o", F.size("_dates").cast("bigint").alias("_d"))
+    if lattice.orders_may_share(star, key):
+        shared = lattice.shared_pairs(star, key).join(names, key, "left").select("customer_name", "order_key").distinct()
+        counts = shared.groupBy("customer_name").agg(F.count(_one()).alias("_o"))
+        both = out.unionByName(counts.withColumn("_d", F.lit(0).cast("bigint")))
+        out = both.groupBy("customer_name").agg(F.sum("_o").alias("_o"), F.max("_d").alias("_d"))
+    return out.select("customer_name", ratio("_o", "_d").alias("avg_order_frequency"))
 
 
 # ---------------------------------------------------------------- M1-M3
@@ -239,10 +282,7 @@ def order_frequency_by_customer(star: Star) -> DataFrame:
 def mart_inventory(star: Star) -> DataFrame:
     """M1: distinct orders and revenue per product row (INNER join)."""
     attrs = ["product_name", "category", "sub_category"]
-    per_key = (
-        star.fact_sales.groupBy("product_key", "order_key").agg(money_sum("sales").alias("_s"))
-        .groupBy("product_key").agg(F.sum("_s").alias("_s"), F.count(_one()).alias("_o"))
-    )
+    per_key = _orders_per_product(star)
     dim = weighted_dim(star.dim_products, "product_key", ["product_id", *attrs], star_dim=True)
     joined = per_key.join(dim, "product_key", "inner")
     return joined.groupBy("product_key", *attrs).agg(
@@ -251,40 +291,31 @@ def mart_inventory(star: Star) -> DataFrame:
     )
 
 
-def _order_mart(star: Star, early: list[tuple[DataFrame, str, list[str]]],
+def _order_mart(star: Star, large: list[tuple[DataFrame, str, list[str]]],
                 order_attrs: list[str],
-                late: list[tuple[DataFrame, str, list[str]]] = ()) -> tuple[DataFrame, object]:
-    """Fact joined to weighted dimensions around the order dimension.
-
-    ``early`` dimensions (possibly large: customers, products) are joined
-    first, then the order dimension -- at scale a sort-merge join on
-    order_key, whose output is hash-partitioned by order_key so the caller's
-    GROUP BY (which starts with order_key) adds no exchange -- and then the
-    ``late`` ones: small dimensions whose rows fan out (ship modes per ship
-    date, region names per postal code).  Broadcast joins keep the order_key
-    partitioning, so fanned-out rows go straight into the aggregation and
-    are never shuffled.
+                small: list[tuple[DataFrame, str, list[str]]] = ()) -> tuple[DataFrame, object]:
+    """Fact joined to the weighted order dimension and then to the others.
+
+    The order dimension comes first: on an order-keyed star both lie in buckets
+    of order_key, so the join moves nothing.  ``small`` dimensions, whose rows fan out (ship modes per
+    ship date, region names per postal code), are broadcast if their size is within a bound,
+    and keep the rows where they are, too.  Each ``large`` one
+    (customers, products) that cannot be broadcast then
+    costs one shuffle of rows that have not fanned out yet.
 
     Returns the joined rows and the combined weight (product of the dim row
     counts behind each joined row).
     """
-    joined = star.fact_sales
-    weight = F.lit(1).cast("bigint")
-
-    def attach(df, i, dim, key, attrs):
-        wname = f"_w{i}"
-        wd = weighted_dim(dim, key, attrs, star_dim=dim is getattr(star, _DIM_OF_KEY[key]))
-        return df.join(wd.withColumnRenamed("_w", wname), key, "left"), _w(wname)
+    def attach(df, i, dim, key, attrs, hint):
+        wname, table = f"_w{i}", _DIM_OF_KEY[key]
+        wd = weighted_dim(dim, key, attrs, star_dim=dim is getattr(star, table)).withColumnRenamed("_w", wname)
+        return df.join(lattice.bounded(star, wd, table) if hint else wd, key, "left"), _w(wname)
 
-    for i, (dim, key, attrs) in enumerate(early):
-        joined, w = attach(joined, i, dim, key, attrs)
-        weight = weight * w
     orders = weighted_dim(star.dim_orders, "order_key", order_attrs, star_dim=True) \
         .withColumnRenamed("_w", "_wo")
-    joined = joined.join(orders, "order_key", "left")
-    weight = weight * _w("_wo")
-    for i, (dim, key, attrs) in enumerate(late, start=len(early)):
-        joined, w = attach(joined, i, dim, key, attrs)
+    joined, weight = star.fact_sales.join(orders, "order_key", "left"), _w("_wo")
+    for i, (spec, hint) in enumerate([(d, False) for d in large] + [(d, True) for d in small]):
+        joined, w = attach(joined, i, *spec, hint)
         weight = weight * w
     return joined, weight
 
@@ -298,12 +329,12 @@ def mart_fulfillment(star: Star) -> DataFrame:
     regions = star.dim_regions.withColumnRenamed("region", "region_name")
     joined, w = _order_mart(
         star,
-        early=[
+        large=[
             (star.dim_customers, "customer_key", ["customer_id", "customer_name"]),
             (star.dim_products, "product_key", ["product_name"]),
         ],
         order_attrs=["order_id", "order_date"],
-        late=[(regions, "region_key", ["region_name"])],
+        small=[(regions, "region_key", ["region_name"])],
     )
     return joined.groupBy(
         "order_key", "order_id", "customer_id", "customer_name", "product_name", "region_name"
@@ -327,9 +358,9 @@ def mart_shipping(star: Star) -> DataFrame:
     regions = star.dim_regions.withColumnRenamed("region", "region_name")
     joined, w = _order_mart(
         star,
-        early=[(star.dim_customers, "customer_key", ["customer_id", "customer_name"])],
+        large=[(star.dim_customers, "customer_key", ["customer_id", "customer_name"])],
         order_attrs=["order_id", "order_date"],
-        late=[
+        small=[
             (regions, "region_key", ["region_name"]),
             (star.dim_shipping, "ship_key", ["ship_mode", "ship_date"]),
         ],
@@ -356,13 +387,13 @@ def mart_shipping(star: Star) -> DataFrame:
 
 def sales_by_segment(star: Star) -> DataFrame:
     """Sales and distinct orders per customer segment."""
-    return _sales_orders_by(star.fact_sales, star.dim_customers, "customer_key", ["segment"])
+    out = _by_party_attribute(star, star.dim_customers, "customer_key", ["segment"])
+    return out.select("segment", F.col("_s").alias("total_sales"), F.col("_o").alias("total_orders"))
 
 
 def headline_kpis(star: Star) -> DataFrame:
     """Total sales, distinct orders and sales per order, one row."""
-    per_order = star.fact_sales.groupBy("order_key").agg(money_sum("sales").alias("_s"))
-    agg = per_order.agg(F.sum("_s").alias("total_sales"), F.count(_one()).alias("total_orders"))
+    agg = _per_order(star).agg(F.sum("_s").alias("total_sales"), F.count(_one()).alias("total_orders"))
     return agg.select(
         "total_sales", "total_orders",
         money_avg("total_sales", "total_orders").alias("avg_order_value"),

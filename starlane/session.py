@@ -104,23 +104,64 @@ def read_table_of(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path in it, as the JVM sees them."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system, system.makeQualified(target)
+
+
 def write_file(spark: SparkSession, name: str, content: bytes) -> str:
     """Write a small file under the reliable checkpoint folder; its path."""
     path = scratch_path(spark, name)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    _put(spark, path, content)
+    return path
+
+
+def _put(spark: SparkSession, path: str, content: bytes) -> None:
+    system, target = _hadoop(spark, path)
+    out = system.create(target)
     try:
         out.write(content)
     finally:
         out.close()
-    return path
+
+
+def replace_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """Put a small file in the place of another in one step: readers find the
+    old content or the new one."""
+    fresh = f"{path}.{uuid.uuid4().hex[:12]}"
+    _put(spark, fresh, content)
+    (_, source), (_, target) = _hadoop(spark, fresh), _hadoop(spark, path)
+    fs = spark._jvm.org.apache.hadoop.fs
+    how = getattr(fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(how, 1)
+    options[0] = how.OVERWRITE
+    fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(source, target, options)
+
+
+def file_content(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, or None if there is none."""
+    system, target = _hadoop(spark, path)
+    if not system.exists(target):
+        return None
+    stream = system.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, target = _hadoop(spark, path)
+    return system.exists(target)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a written table that is no longer needed, in whatever file
     system it lies."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = _hadoop(spark, path)
+    system.delete(target, True)
 
 
 def input_state(spark: SparkSession, paths: list[str]) -> tuple:

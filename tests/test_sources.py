@@ -6,12 +6,14 @@ import os
 import tempfile
 from dataclasses import replace
 
+import pytest
 from fixtures import flat_frame
+from pyspark.sql import functions as F
 
 from starlane.checks.compare import diff
 from starlane.plans import registry
 from starlane.sources.flat import FLAT_COLUMNS, read_flat_csv, write_flat_csv
-from starlane.sources.tables import read_tables, write_tables
+from starlane.sources.tables import read_table, read_tables, write_tables
 
 
 def _rows(df):
@@ -128,3 +130,25 @@ def test_release_deletes_the_stored_report(spark, fixture_star):
     assert os.path.isdir(folder)
     registry.release(fixture_star)
     assert not os.path.isdir(folder)
+
+
+def test_a_failed_write_leaves_the_old_table(spark):
+    base = tempfile.mkdtemp(prefix="starlane-versions-")
+    first = write_tables({"t": spark.range(100).toDF("x")}, base)["t"]
+    half = spark.range(0, 100, 1, 4).select(F.when(F.col("id") < 90, F.col("id")).otherwise(F.raise_error(F.lit("killed")).cast("bigint")).alias("x"))
+    with pytest.raises(Exception, match="killed"):
+        write_tables({"t": half}, base)
+    assert read_table(spark, f"{base}/t").count() == 100 and read_table(spark, first).count() == 100
+    assert sorted(n for n in os.listdir(f"{base}/t") if n.startswith("v-")) == [os.path.basename(first)]
+
+
+def test_a_reader_keeps_its_version_and_older_ones_go(spark):
+    base = tempfile.mkdtemp(prefix="starlane-versions-")
+    write = lambda n: write_tables({"t": spark.range(n).toDF("x")}, base)["t"]
+    write(1)
+    begun = read_table(spark, f"{base}/t")
+    write(2)
+    assert begun.count() == 1 and read_table(spark, f"{base}/t").count() == 2
+    write(3)
+    assert read_table(spark, f"{base}/t").count() == 3
+    assert len([n for n in os.listdir(f"{base}/t") if n.startswith("v-")]) == 2
