@@ -19,6 +19,9 @@ DIMENSIONS = {
     "dim_products": (["product_id", "category", "sub_category", "product_name"], "product_id", "product_key"),
 }
 
+#: Tables that meet on the order key in most reports.
+ORDER_KEYED = ("fact_sales", "dim_orders")
+
 FACT_KEYS = ["order_key", "ship_key", "customer_key", "region_key", "product_key"]
 
 

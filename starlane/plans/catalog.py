@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from starlane.functions.money import money_sum
 from starlane.operators import clean as C
-from starlane.operators.star import DIMENSIONS, Star, build_star
+from starlane.operators.star import DIMENSIONS, ORDER_KEYED, Star, build_star
 from starlane.plans import insights as I
 from starlane.plans import layout as L
 from starlane.plans import reports as R
@@ -32,8 +32,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SOURCES = ("lineitem", "orders", "customer", "nation", "region", "part")
 
-ORDER_KEYED = ("fact_sales", "dim_orders")
-
 _STARS: dict[tuple[str, str], tuple[tuple, Star, str]] = {}
 _CSV: dict[tuple[str, str], tuple[tuple, str]] = {}
 
@@ -52,7 +50,6 @@ def star_for(spark: SparkSession, sf_dir: str) -> Star:
         tables = build_star(cleaned.lines, stored=True).tables()
         run = uuid.uuid4().hex[:12]
         base = scratch_path(spark, f"star-{run}")
-        # The fact and the order dimension meet on order_key in most reports.
         keyed = {name: tables.pop(name) for name in ORDER_KEYED}
         written = read_tables(spark, write_tables(tables, base))
         for name, df in keyed.items():

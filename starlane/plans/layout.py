@@ -14,6 +14,8 @@ and min/max statistics skip between files as well.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,13 +74,14 @@ def write_bucketed(star: Star, table: str, buckets: int = 64) -> str:
     return table
 
 
+def layouts() -> dict[str, Callable[[Star, str], str]]:
+    """Both layouts: name -> what writes it."""
+    return {"fact_sales_partitioned": write_partitioned, "fact_sales_partitioned_clustered": write_clustered}
+
+
 def write_layouts(star: Star, base: str) -> dict[str, str]:
     """Write both layouts under ``base``; returns name -> path."""
-    return {
-        "fact_sales_partitioned": write_partitioned(star, f"{base.rstrip('/')}/fact_sales_partitioned"),
-        "fact_sales_partitioned_clustered": write_clustered(
-            star, f"{base.rstrip('/')}/fact_sales_partitioned_clustered"),
-    }
+    return {name: write(star, f"{base.rstrip('/')}/{name}") for name, write in layouts().items()}
 
 
 def read_layout(spark: SparkSession, path: str) -> DataFrame:

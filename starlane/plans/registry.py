@@ -8,18 +8,20 @@ with the reports that failed and why (a failure never stops the group).
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 import weakref
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starlane.operators.star import Star
 from starlane.plans import lattice
 from starlane.plans import reports as R
-from starlane.session import remove_path, scratch_path
-from starlane.sources.tables import read_table, write_tables
+from starlane.session import file_content, input_state, remove_path, replace_file, scratch_path
+from starlane.sources.tables import keyed_name, open_keyed, read_table, write_keyed, write_tables, write_version
 
 Plan = Callable[[Star], DataFrame]
 
@@ -158,30 +160,102 @@ def rebuild_marts(star: Star) -> dict[str, DataFrame]:
     return {name: fetch_mart(star, name) for name in REPORTS["marts"]}
 
 
+def batch_state(flat: DataFrame, strict: bool = True) -> str:
+    """What a batch's results depend on: the plan that makes the flat lines and a
+    listing of the files that it reads.  Lines that come from no file have
+    a state of their own every time, so a batch over them is never resumed."""
+    folders = sorted({f.rsplit("/", 1)[0] for f in flat.inputFiles()})
+    if not folders:
+        return uuid.uuid4().hex
+    plan = flat._jdf.queryExecution().analyzed().canonicalized().toString()
+    said = json.dumps([plan, strict, list(map(str, input_state(flat.sparkSession, folders)))])
+    return hashlib.sha256(said.encode()).hexdigest()
+
+
+class Steps:
+    """The finished steps of a batch, in a small file that each step replaces
+    when it is done.  A run over the same input skips them."""
+
+    def __init__(self, spark: SparkSession, root: str, state: str):
+        self.spark, self.path, self.state = spark, f"{root}/_steps", state
+        held = json.loads(file_content(spark, self.path) or "{}")
+        self.done = held["steps"] if held.get("state") == state else {}
+
+    def run(self, name: str, work: Callable[[], object]) -> object:
+        if name not in self.done:
+            self.done[name] = work()
+            replace_file(self.spark, self.path, json.dumps({"state": self.state, "steps": self.done}).encode())
+        return self.done[name]
+
+
+def _load_star(flat: DataFrame, root: str, strict: bool) -> dict[str, object]:
+    """Clean the lines, write what they set aside and the star below ``root``,
+    the fact and the order dimension in buckets of the order key."""
+    from starlane.operators.clean import clean_parts
+    from starlane.operators.star import ORDER_KEYED, build_star
+
+    cleaned = clean_parts(flat, strict=strict)
+    quarantine = write_tables({"quarantine": cleaned.quarantined}, root)["quarantine"]
+    tables = build_star(cleaned.lines, stored=True).tables()
+    keyed = {name: tables.pop(name) for name in ORDER_KEYED}
+    where = write_tables(tables, f"{root}/star")
+    for name, df in keyed.items():
+        write = lambda path, df=df: write_keyed(df, keyed_name(path), path, "order_key")
+        where[name] = write_version(flat.sparkSession, f"{root}/star/{name}", write)
+    cleaned.release()
+    buckets = int(flat.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return {"rows": cleaned.report(), "quarantine": quarantine, "tables": where, "buckets": buckets}
+
+
+def _open_star(spark: SparkSession, loaded: dict[str, object]) -> Star:
+    from starlane.operators.star import ORDER_KEYED
+
+    where = loaded["tables"]
+    tables = {n: open_keyed(spark, p, "order_key", loaded["buckets"]) if n in ORDER_KEYED else read_table(spark, p) for n, p in where.items()}
+    return Star(**tables, keyed=True)
+
+
 def run_batch(flat: DataFrame, base: str, strict: bool = True) -> dict[str, object]:
     """The whole batch -- clean, model, load the star, run every report
     group into its tables, write both fact layouts.  Returns where things
     went, which reports failed, and the row counts of the cleaning: rows read
     are duplicates removed, quarantined rows and lines.  Rows whose dates do
-    not parse (lenient reading only) are written to ``quarantine``."""
-    from starlane.operators.clean import clean_parts
-    from starlane.operators.star import build_star
-    from starlane.plans.layout import write_layouts
+    not parse (lenient reading only) are written to ``quarantine``.
 
-    root = base.rstrip("/")
-    cleaned = clean_parts(flat, strict=strict)
-    quarantine = write_tables({"quarantine": cleaned.quarantined}, root)["quarantine"]
-    star = build_star(cleaned.lines, stored=True)
-    tables = write_tables(star.tables(), f"{root}/star")
-    star = Star(**{n: read_table(flat.sparkSession, p) for n, p in tables.items()})
+    Every step is written down when it is done (``Steps``): a batch that
+    failed or was stopped goes on where it was when it is run again on the same
+    input, and a changed input starts it anew."""
+    from starlane.plans import layout
+
+    root, spark = base.rstrip("/"), flat.sparkSession
+    steps = Steps(spark, root, batch_state(flat, strict))
+    loaded = steps.run("star", lambda: _load_star(flat, root, strict))
+    star = _open_star(spark, loaded)
     errors: dict[str, str] = {}
     reports: dict[str, list[str]] = {}
-    for group in REPORTS:
-        results, errs = run_all(star, group, f"{root}/reports")
-        reports[group] = sorted(results)
-        errors.update(errs)
-    layouts = write_layouts(star, f"{root}/layouts")
-    return {"rows": cleaned.report(), "quarantine": quarantine, "tables": tables, "reports": reports, "errors": errors, "layouts": layouts}
+
+    def report(name: str) -> str:
+        if name in ROLLED_UP:
+            lattice.store(star)
+        table, plan = _find(name)
+        return write_tables({table: R.finalize(plan(star))}, f"{root}/reports")[table]
+
+    try:
+        for group, names in REPORTS.items():
+            reports[group] = []
+            for name in sorted(names):
+                try:
+                    steps.run(f"report {name}", lambda name=name: report(name))
+                    reports[group].append(name)
+                except Exception as exc:  # keep going, like the original batch
+                    errors[name] = f"{type(exc).__name__}: {exc}"
+        layouts = {
+            name: steps.run(f"layout {name}", lambda name=name, write=write: write(star, f"{root}/layouts/{name}"))
+            for name, write in layout.layouts().items()
+        }
+    finally:
+        lattice.release(star)
+    return {**{k: loaded[k] for k in ("rows", "quarantine", "tables")}, "reports": reports, "errors": errors, "layouts": layouts}
 
 
 def report_row_counts(star: Star) -> DataFrame:

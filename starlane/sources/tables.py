@@ -14,6 +14,7 @@ tables are replaced as the catalog does it.)
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
@@ -86,6 +87,21 @@ def write_keyed(df: DataFrame, table: str, path: str, key: str, placed: bool = F
     return spark.table(table)
 
 
+def keyed_name(path: str) -> str:
+    """The catalog name under which a keyed table at ``path`` is opened."""
+    return f"starlane_{hashlib.md5(path.encode()).hexdigest()[:16]}"
+
+
+def open_keyed(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+    """Open a table that ``write_keyed`` wrote, perhaps in an earlier session."""
+    table = keyed_name(path)
+    if not spark.catalog.tableExists(table):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+        by = f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS"
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet {by} LOCATION '{path}'")
+    return spark.table(table)
+
+
 def read_table(spark: SparkSession, location: str) -> DataFrame:
     """Read a whole table back (lazy): the current version, or the one named."""
     if "/" in location:

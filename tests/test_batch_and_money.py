@@ -173,3 +173,35 @@ def test_bucketed_files_are_bounded(spark):
 
 def _star_of(spark):
     return catalog.star_for(spark, "/root/testdata/sf0.001")
+
+
+def test_a_batch_goes_on_where_it_failed(spark, tmp_path, monkeypatch):
+    """A failing layout leaves the star and the reports done; a second run over the
+    same input builds neither again, and a changed input starts anew."""
+    from starlane.operators import clean
+    from starlane.plans import layout
+
+    source, out = str(tmp_path / "flat"), str(tmp_path / "out")
+    flat_frame(spark).write.parquet(source)
+    read = lambda: spark.read.parquet(source)
+
+    def broken(*_):
+        raise OSError("disk full")
+
+    with monkeypatch.context() as m:
+        m.setattr(layout, "write_clustered", broken)
+        with pytest.raises(OSError, match="disk full"):
+            registry.run_batch(read(), out)
+    with monkeypatch.context() as m:
+        for module, name in ((clean, "clean_parts"), (layout, "write_partitioned"), (registry.lattice, "store"), (registry.R, "finalize")):
+            m.setattr(module, name, broken)
+        done = registry.run_batch(read(), out)
+    assert not done["errors"] and sum(map(len, done["reports"].values())) == 13 and len(done["layouts"]) == 2
+    assert done["rows"]["lines"] == 12
+    star = registry._open_star(spark, registry.Steps(spark, out, registry.batch_state(read())).done["star"])
+    assert star.keyed and star.fact_sales.count() == spark.read.parquet(done["tables"]["fact_sales"]).count()
+    plan = star.fact_sales.groupBy("order_key").count()._jdf.queryExecution().toString()
+    assert "Exchange" not in plan.split("== Physical Plan ==")[1]
+    flat_frame(spark, ROWS[:6]).write.mode("append").parquet(source)
+    assert registry.batch_state(read()) != registry.Steps(spark, out, "").state
+    assert registry.run_batch(read(), out)["rows"]["rows_in"] == 19
