@@ -8,8 +8,8 @@ is taken over the n-grams that occur in the landmarks.
 Landmarks are ``LANDMARKS`` labelled texts of each language; the Nyström map
 turns the kernel values against them into features, and a one-versus-rest
 kernel ridge regression is solved on ``SAMPLE`` labelled texts of each
-language (both are bounded samples, and landmarks have at most ``CHARS`` code
-points).  Scoring reads each whole text, marks its n-grams in a row of a
+language (both are bounded samples; landmarks are whole texts, as many as have about ``CHARS`` code
+points together).  Scoring reads each whole text, marks its n-grams in a row of a
 presence matrix, and multiplies a block of rows by the landmark matrix.
 
 Only text and labels of the training fold are used to learn, only text to
@@ -32,7 +32,8 @@ from starlane.llm import learning, text as tx
 LONGEST = 3
 LANDMARKS = 24
 SAMPLE = 400
-CHARS = 4000
+SHORTEST = 20  # code points of a landmark, if there are such texts
+CHARS = 100_000  # code points of the landmarks of a language, about
 RIDGE = 1e-2
 TABLE_BITS = 22
 BLOCK = 64  # rows of a presence matrix
@@ -100,25 +101,39 @@ class Model:
         return names, scores
 
 
-def _with_landmarks(texts: list[str]) -> Model:
-    grams = [np.unique(gram_slots(t)[0]) for t in texts]
+def unique_slots(text: str) -> np.ndarray:
+    """The hash slots of a whole text, each once."""
+    parts = [np.unique(gram_slots(piece)[0]) for piece in learning.pieces(text, PIECE, LONGEST)]
+    return np.unique(np.concatenate(parts))
+
+
+def _with_landmarks(grams: list[np.ndarray]) -> Model:
     known = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
     table = np.full(1 << TABLE_BITS, len(known), np.int32)
     table[known] = np.arange(len(known))
-    landmarks = np.zeros((len(known), len(texts)), np.float32)
+    landmarks = np.zeros((len(known), len(grams)), np.float32)
     for j, g in enumerate(grams):
         landmarks[table[g], j] = 1 / np.sqrt(len(g))
-    return Model([], table, landmarks, np.zeros((len(texts), 0)), np.zeros(0))
+    return Model([], table, landmarks, np.zeros((len(grams), 0)), np.zeros(0))
 
 
 def fit(labelled: DataFrame) -> Model:
     """Learn from ``doc_id``, ``text`` and a non-null ``lang``."""
     spark = labelled.sparkSession
     usable = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    short = usable.filter(F.char_length("text").between(20, CHARS)).select("doc_id", "lang")
-    chosen = learning.class_sample(short, "lang", LANDMARKS)
-    rows = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").collect()
-    model = _with_landmarks([r.text for r in sorted(rows, key=lambda r: (r.lang, r.doc_id is None, r.doc_id)) if len(r.text) <= CHARS])
+    sized = usable.withColumn("size", F.char_length("text"))
+    lettered = sized.filter(F.col("text").rlike(r"\p{L}"))
+    enough = lettered.filter(F.col("size") >= SHORTEST)
+    long_enough = lettered if enough.isEmpty() else enough
+    chosen = learning.class_sample(long_enough.select("doc_id", "lang", "size"), "lang", LANDMARKS)
+    chosen = learning.within_budget(chosen, "lang", "size", CHARS).select("doc_id", "lang")
+
+    def slots():
+        return lambda texts: [pa.array([unique_slots(t.as_py()).astype(np.int32).tobytes() for t in texts], pa.binary())]
+
+    marks = tx.annotate(usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi"), slots, "slots binary", ["doc_id", "lang"])
+    rows = sorted(marks.collect(), key=lambda r: (r.row.lang, r.row.doc_id is None, r.row.doc_id))
+    model = _with_landmarks([np.frombuffer(bytes(r.slots), np.int32).astype(np.int64) for r in rows])
     if not model.landmarks.size:
         return model
     shared = spark.sparkContext.broadcast(model)

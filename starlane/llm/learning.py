@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from starlane.session import write_and_read
+
+
+CLASSES = 10_000  # whose sizes are broadcast
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     """``crc32`` of the id as text, modulo ``folds`` (a null id counts as empty)."""
@@ -17,8 +22,11 @@ def fold(doc_id: Column, folds: int) -> Column:
 def class_sample(labelled: DataFrame, label: str, per_class: int) -> DataFrame:
     """Up to ``per_class`` rows of each label, those of the smallest hash of
     ``doc_id``.  The class sizes give a bound for the hash that hardly more rows
-    can stay below, so only about that many meet, however large a class is."""
-    sizes = labelled.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_size"))
+    can stay below, so only about that many meet, however large a class is: the
+    sizes, one row a class, are broadcast (up to ``CLASSES`` of them), and rows are filtered where they are read."""
+    sizes = write_and_read(labelled.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_size")), "class-sizes")
+    if sizes.count() <= CLASSES:
+        sizes = F.broadcast(sizes)
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 11).cast("double") / float(1 << 53)
     enough = per_class + 4 * per_class**0.5 + 10
     low = labelled.join(sizes, F.col(label) == F.col("_label")).withColumn("_draw", draw).filter(F.col("_draw") * F.col("_size") <= enough)
@@ -27,6 +35,13 @@ def class_sample(labelled: DataFrame, label: str, per_class: int) -> DataFrame:
     return ranked.select(labelled.columns)
 
 
+def within_budget(sample: DataFrame, label: str, size: str, budget: int) -> DataFrame:
+    """The rows of a sample, in order of their hash, until the column ``size``
+    adds up to the budget of their class; the first row of a class stays."""
+    order = W.partitionBy(label).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    return sample.withColumn("_before", F.coalesce(F.sum(size).over(order), F.lit(0))).filter(F.col("_before") < budget).drop("_before")
+
+
 def linear_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, size: int, epochs: int = 20, seed: int = 0) -> np.ndarray:
     """Hinge loss with L2 regularisation by dual coordinate descent.
 

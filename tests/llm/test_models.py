@@ -110,3 +110,54 @@ def test_dual_coordinate_descent_reaches_the_primal_optimum():
         return 0.5 * v @ v + np.maximum(0, 1 - y * (x @ v)).sum()
 
     assert all(primal(w) <= primal(w + 0.01 * d) + 1e-3 for d in rng.normal(size=(200, 3)))
+
+
+def test_only_long_texts_are_learned_from(spark):
+    rng = random.Random(8)
+    vocab = {"aa": ["abra", "cada", "bra", "dab"], "bb": ["xylo", "yxo", "zox", "oxy"]}
+    rows = [(i, " ".join(rng.choices(vocab[x], k=3000)), x) for x in vocab for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert min(len(t) for _, t, _ in rows) > 7582
+    model = language_id.fit(table)
+    got = language_id.identify(table, model).select("row.lang", "lang_pred").collect()
+    assert all(r.lang == r.lang_pred for r in got)
+    assert 2 <= model.landmarks.shape[1] < 2 * language_id.LANDMARKS  # the budget holds
+
+
+def test_short_texts_serve_where_there_are_no_others(spark):
+    rows = [(i, w, x) for x, w in (("aa", "abra"), ("bb", "xyzzy")) for i in range(5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(table, language_id.fit(table)).select("row.lang", "lang_pred").collect()
+    assert all(r.lang == r.lang_pred for r in got)
+
+
+def test_language_kernel_against_sets(spark):
+    def grams(text):
+        spaced = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        return {spaced[i : i + n] for n in (1, 2, 3) for i in range(len(spaced) - n + 1)}
+
+    marks, texts = ["Guten Tag, Welt", "hello there world", "ça va bien"], ["Hello, Welt!", "42", "", "bien sûr ça va"]
+    model = language_id._with_landmarks([language_id.unique_slots(t) for t in marks])
+    known = set.union(*map(grams, marks))
+    values, lettered = model.kernel(texts)
+    for k, text in enumerate(texts):
+        own = grams(text) & known
+        want = [len(own & grams(m)) / np.sqrt(max(len(own), 1) * len(grams(m))) for m in marks]
+        assert np.allclose(values[k], want, atol=1e-5) and lettered[k] == any(c.isalpha() for c in text)
+
+
+def test_a_sample_meets_only_after_its_filter(spark, capsys):
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
+        learning.class_sample(docs, "lang", 20).explain()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    lines = capsys.readouterr().out.splitlines()
+    join = next(i for i, line in enumerate(lines) if "BroadcastHashJoin" in line)
+    assert not any("Exchange hashpartitioning" in line for line in lines[join:])
+    assert not any("SortMergeJoin" in line for line in lines)
