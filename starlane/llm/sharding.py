@@ -31,6 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKETS = 4096  # hash buckets of each shard in which rows are counted
+STRIDE = 10_000  # copies of a row that are expanded at once
 
 
 @dataclass(frozen=True)
@@ -101,15 +102,23 @@ def assign(docs: DataFrame, tree: list[Shard]) -> DataFrame:
 
 
 def slots(rows: DataFrame) -> DataFrame:
-    """Add ``slot``: the number of each row in its ``shard``, from 0."""
-    columns = rows.columns
-    bucket = F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
-    kinds = rows.withColumn("_bucket", bucket).groupBy(*columns, "_bucket").agg(F.count("*").alias("_times"))
-    sizes = kinds.groupBy("shard", "_bucket").agg(F.sum("_times").alias("_size"))
-    before = W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select("shard", "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    inside = W.partitionBy("shard", "_bucket").orderBy(*columns).rowsBetween(W.unboundedPreceding, -1)
-    kinds = kinds.withColumn("_ahead", F.coalesce(F.sum("_times").over(inside), F.lit(0)))
-    first = F.col("_start") + F.col("_ahead")
-    placed = kinds.join(sizes, ["shard", "_bucket"])
-    return placed.select(*columns, F.explode(F.sequence(first, first + F.col("_times") - 1)).alias("slot"))
+    """Add ``slot`` (in the place of a column of that name): the number of each
+    row in its ``shard``, from 0.  The columns travel as one struct, so their
+    names cannot clash with those used here; a row that occurs often is counted
+    once and expanded ``STRIDE`` copies at a time."""
+    columns = [c for c in rows.columns if c != "slot"]
+    quoted = [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in columns]
+    packed = rows.select("shard", F.struct(*quoted).alias("row"))
+    bucket = F.pmod(F.xxhash64("row"), F.lit(BUCKETS)).cast("int")
+    kinds = packed.withColumn("bucket", bucket).groupBy("shard", "row", "bucket").agg(F.count("*").alias("times"))
+    sizes = kinds.groupBy("shard", "bucket").agg(F.sum("times").alias("size"))
+    before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select("shard", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    inside = W.partitionBy("shard", "bucket").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
+    kinds = kinds.withColumn("ahead", F.coalesce(F.sum("times").over(inside), F.lit(0)))
+    first = F.col("start") + F.col("ahead")
+    placed = kinds.join(sizes, ["shard", "bucket"]).select("row", first.alias("first"), (first + F.col("times") - 1).alias("last"))
+    strides = placed.select("row", "last", F.explode(F.sequence("first", "last", F.lit(STRIDE).cast("long"))).alias("at"))
+    copies = F.sequence("at", F.least(F.col("at") + STRIDE - 1, F.col("last")))
+    done = strides.select("row", F.explode(copies).alias("slot"))
+    return done.select(*[F.col("row").getField(c).alias(c) for c in columns], "slot")

@@ -85,3 +85,13 @@ def test_query(spark, tmp_path):
     empty = tmp_path / "none"
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{empty}/documents.parquet")
     assert queries.op7_hash_tree_sharding(spark, str(empty)).count() == 0
+
+
+def test_slots_of_many_copies_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "STRIDE", 7)
+    rows = [(k % 3, "copy" if k < 60 else f"t{k}", k % 2, 5) for k in range(90)]
+    table = spark.createDataFrame(rows, "shard int, `a.b` string, _bucket int, times int").repartition(5)
+    got = sharding.slots(table).collect()
+    assert sorted((r.shard, r["a.b"], r._bucket, r.times) for r in got) == sorted(rows)
+    for shard in range(3):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(30))
