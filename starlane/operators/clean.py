@@ -40,6 +40,36 @@ def dedupe_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+#: Repeated fingerprints (16 bytes each) up to which rows are told apart by them.
+REPEATED_ROWS = 1_000_000
+
+
+def dedupe_stored(df: DataFrame, bits: int = 64) -> DataFrame:
+    """T2 for a stored table: exact, but only rows that may be duplicates are shuffled.
+
+    Equal rows have equal fingerprints (two 64-bit hashes of all columns), so a
+    row whose fingerprint occurs once is unique and stays where it is.  The
+    first pass shuffles fingerprints alone; rows with a repeated one, by
+    duplication or collision, are compared in full.  If
+    more than ``REPEATED_ROWS`` fingerprints repeat, all rows are.  ``bits``
+    shortens both hashes.
+    """
+    mask = F.lit(-1 if bits >= 64 else (1 << bits) - 1).cast("bigint")
+    marks = [F.xxhash64(F.lit(k), *df.columns).bitwiseAND(mask).alias(f"_mark{k}") for k in (1, 2)]
+    names = ["_mark1", "_mark2"]
+    marked = df.select("*", *marks)
+    counts = df.select(*marks).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    repeated = counts.filter("_n > 1").select(*names)
+    path = write_table(repeated, "repeated-marks")
+    repeated = read_table_of(df.sparkSession, path, repeated.schema)
+    if repeated.count() > REPEATED_ROWS:
+        return dedupe_rows(df)
+    repeated = F.broadcast(repeated)
+    unique = marked.join(repeated, names, "left_anti").drop(*names)
+    again = marked.join(repeated, names, "left_semi").drop(*names)
+    return unique.unionByName(again.dropDuplicates())
+
+
 def dedupe_report(df: DataFrame) -> DataFrame:
     """Rows before / after exact-duplicate removal, in one pass."""
     groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
@@ -138,7 +168,7 @@ def clean_parts(flat: DataFrame, strict: bool = True) -> Cleaned:
     if fills:
         mode = F.lit(of_flat["mode"]).cast(flat.schema["postal_code"].dataType)
         rows = rows.withColumn("postal_code", F.coalesce("postal_code", mode))
-    deduped_path, deduped, of_deduped = _staged(dedupe_rows(rows), "deduped")
+    deduped_path, deduped, of_deduped = _staged(dedupe_stored(rows), "deduped")
     remove_path(flat.sparkSession, flat_path)
     parsed = parse_dates(deduped, strict=strict)
     good, bad = (parsed, deduped.limit(0)) if strict else quarantine_dates(parsed)

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starlane.functions.money import money_sum
@@ -52,11 +52,35 @@ def write_partitioned(star: Star, path: str, by: str = "day") -> str:
     return path
 
 
-def write_clustered(star: Star, path: str, by: str = "day") -> str:
+def interleaved(keys: list[str], largest: list[int]) -> Column:
+    """The bits of several dense keys in turn, highest first, as one long: rows
+    close in this order are close in every key.  Keys are scaled to the same
+    number of bits by the ``largest`` of each."""
+    bits = 63 // len(keys)
+    total = F.lit(0).cast("bigint")
+    for j, (key, top) in enumerate(zip(keys, largest, strict=True)):
+        scaled = F.floor((F.col(key) + 1).cast("double") * ((1 << bits) - 1) / (top + 1)).cast("bigint")  # from -1 (null) on
+        for i in range(bits):
+            bit = F.shiftright(scaled, i).bitwiseAND(F.lit(1).cast("bigint"))
+            total = total.bitwiseOR(F.shiftleft(bit, i * len(keys) + len(keys) - 1 - j))
+    return total
+
+
+def write_clustered(star: Star, path: str, by: str = "day", order: str = "linear") -> str:
     """Fact + order date (INNER join), partitioned by order date and
-    sorted within each file by customer, product and region key."""
+    sorted within each file by customer, product and region key.  With
+    ``order="interleaved"`` the keys take turns bit by bit, so the files of a busy date
+    can be skipped by product or region alone, too."""
     df, part = _partition_column(fact_with_order_date(star, "inner"), by)
-    df = df.repartitionByRange(part, *CLUSTER_KEYS).sortWithinPartitions(part, *CLUSTER_KEYS)
+    if order == "linear":
+        keys = CLUSTER_KEYS
+    elif order == "interleaved":
+        dims = {"customer_key": star.dim_customers, "product_key": star.dim_products, "region_key": star.dim_regions}
+        largest = [dims[k].agg(F.max(k)).first()[0] or 0 for k in CLUSTER_KEYS]
+        df, keys = df.withColumn("_place", interleaved(CLUSTER_KEYS, largest)), ["_place"]
+    else:
+        raise ValueError(f"unknown cluster order {order!r}")
+    df = df.repartitionByRange(part, *keys).sortWithinPartitions(part, *keys).drop("_place")
     (df.write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
        .partitionBy(part).parquet(path))
     return path
