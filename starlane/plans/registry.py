@@ -145,18 +145,18 @@ def fetch_mart(star: Star, name: str) -> DataFrame:
 def release(star: Star) -> None:
     """Delete every report kept for ``star``, and the aggregates they are rolled up
     from (e.g. once a dashboard session ends)."""
-    _forget_reports(star)
+    forget_reports(star)
     lattice.release(star)
 
 
-def _forget_reports(star: Star) -> None:
+def forget_reports(star: Star) -> None:
     for path, df in _BUILT.pop(star, {}).values():
         remove_path(df.sparkSession, path)
 
 
 def rebuild_marts(star: Star) -> dict[str, DataFrame]:
     """Drop the memoised reports of ``star`` and build the three marts again."""
-    _forget_reports(star)
+    forget_reports(star)
     return {name: fetch_mart(star, name) for name in REPORTS["marts"]}
 
 
