@@ -105,18 +105,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confirmed licence lines and families of every document, and its lines
-    that mention a licence without being confirmed."""
+    """Licence declarations and families of every document, and its paragraphs
+    that mention a licence without declaring one.  Rows that share a
+    ``doc_id`` are told apart by the digest of their texts."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = license_scan.scan(docs, license_scan.fit(docs), ["doc_id"])
-    known = F.col("family") != license_scan.UNKNOWN
-    lines = found.groupBy("row.doc_id", "line").agg(F.bool_or(known).alias("known"), F.collect_set(F.when(known, F.col("family"))).alias("families"))
-    by_doc = lines.groupBy(F.col("doc_id").alias("id")).agg(
-        F.count(F.when(F.col("known"), 1)).alias("n_licensed"),
-        F.count(F.when(~F.col("known"), 1)).alias("n_unknown"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))).alias("families"),
-    )
-    joined = docs.select("doc_id").join(by_doc, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    keyed = docs.withColumn("digest", F.md5("text"))
+    found = license_scan.summary(license_scan.scan(keyed, license_scan.fit(docs), ["doc_id", "digest"]))
+    same = F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("digest") == F.col("row.digest"))
+    joined = keyed.select("doc_id", "digest").join(found, same, "left")
     none = F.lit(0).cast("long")
     counts = [F.coalesce(c, none).alias(c) for c in ("n_licensed", "n_unknown")]
     return joined.select("doc_id", *counts, F.coalesce(F.concat_ws(",", "families"), F.lit("")).alias("families"))
