@@ -1,6 +1,6 @@
 """BPE encoding and decoding with a minimal acyclic transducer lexicon.
 
-1. The pieces (pre-tokens) of about ``SAMPLE`` documents, drawn at random, are counted; the
+1. The pieces (pre-tokens) of all documents are counted; the
    most frequent, ``LEXICON`` at most, come to one task.  The lexicon only
    saves work: which words it holds changes no id.
 2. They are merged exactly and compiled into a minimal acyclic automaton over
@@ -45,7 +45,6 @@ from pyspark.sql import functions as F
 from starlane.llm import text as tx
 from starlane.session import read_table_of, remove_path, write_file, write_table
 
-SAMPLE = 40_000  # documents, about, whose pieces are counted
 LEXICON = 400_000  # words compiled into the automaton, at most
 LARGEST = 1 << 20  # beyond the steps of any count
 FILTER_BITS = 23  # size of the bitmap that tells most other pieces apart
@@ -369,9 +368,7 @@ def build_lexicon(docs: DataFrame, raw: str, words: int = LEXICON) -> str:
     """Compile the most frequent pieces of ``docs``; the name of the file that
     the executors get."""
     merges, spark = Merges(raw), docs.sparkSession
-    share = SAMPLE / max(docs.count(), 1)
-    drawn = docs.select("text") if share >= 1 else docs.select("text").filter(F.rand(11) < share)
-    counted = piece_counts(drawn, list(merges.added))
+    counted = piece_counts(docs, list(merges.added))
     path = write_table(counted, "piece-counts")
     counts = read_table_of(spark, path, counted.schema)
     # The least count that no more than ``words`` pieces reach, in steps of a sixteenth

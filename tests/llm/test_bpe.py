@@ -3,6 +3,7 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from starlane.llm import bpe
@@ -52,3 +53,13 @@ def test_lexicon_is_minimal_and_exact(tmp_path):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode_decode(docs, PATH).count() == 0
+
+
+def test_lexicon_counts_all_documents(spark, tmp_path, monkeypatch):
+    """Every piece of a table of any size is counted, none of a drawn part only."""
+    n = 45_000
+    docs = spark.range(n, numPartitions=8).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"))
+    monkeypatch.setattr(bpe, "write_file", lambda spark, name, content: (tmp_path / name).write_bytes(content) and str(tmp_path / name))
+    lexicon = bpe.Lexicon(str(tmp_path / bpe.build_lexicon(docs, bpe.read_vocabulary(PATH), words=n)))
+    missing = [r.text for r in docs.collect() if lexicon.get(r.text.encode()) is None]
+    assert not missing
