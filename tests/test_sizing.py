@@ -45,6 +45,16 @@ def test_the_source_sizes_the_shuffles(sized, monkeypatch):
     assert flat.count() > 0
 
 
+def test_merged_partitions_are_bounded_however_many_there_are(sized):
+    sized.conf.set(ADVISORY, "128MB")
+    session.size_shuffles(sized, 1)  # the session has partitions enough
+    assert session.shuffle_partitions(sized) == 8
+    assert sized.conf.get(ADVISORY) == session.MERGED
+    sized.conf.set(ADVISORY, "4m")
+    session.size_shuffles(sized, 20 * session.PARTITION_BYTES)  # never larger
+    assert sized.conf.get(ADVISORY) == "4m"
+
+
 @pytest.fixture
 def shuffled(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
