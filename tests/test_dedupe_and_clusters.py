@@ -16,6 +16,7 @@ from test_plans import plan_of
 from starlane.operators import clean as C
 from starlane.plans import layout as L
 from starlane.session import write_and_read
+from starlane.sources.flat import FLAT_COLUMNS
 
 
 def _rows(df):
@@ -34,6 +35,26 @@ def test_stored_dedupe_is_exact(spark, bits, most, monkeypatch):
     assert C.dedupe_stored(flat.limit(0)).count() == 0
 
 
+def test_stored_marks_may_leave_columns_out(spark):
+    """Rows that differ only in a column without a part in the mark both stay."""
+    other = [tuple(None if n == "postal_code" else v for n, v in zip(FLAT_COLUMNS, r)) for r in ROWS[:3]]
+    flat = flat_frame(spark, [*ROWS, *ROWS[:4], *other])
+    mark = C.fingerprint([c for c in flat.columns if c != "postal_code"])
+    stored = write_and_read(flat.withColumn("m", mark), "flat")
+    assert _rows(C.dedupe_stored(stored, mark="m")) == _rows(flat.dropDuplicates())
+
+
+def test_cleaning_hashes_no_stored_row_again(spark, monkeypatch):
+    seen = []
+    plain = C.dedupe_stored
+    monkeypatch.setattr(C, "dedupe_stored", lambda df, *a, **k: seen.append(plain(df, *a, **k)) or seen[-1])
+    flat = flat_frame(spark, [*ROWS, *ROWS[:3]])
+    done = C.clean_parts(flat)
+    assert _rows(done.lines) == _rows(C.clean_flat(flat))
+    assert "_mark" not in done.lines.columns and "xxhash64" not in plan_of(seen[0])
+    done.release()
+
+
 def test_unique_rows_are_not_shuffled(spark):
     flat = write_and_read(flat_frame(spark), "flat")
     tree = plan_of(C.dedupe_stored(flat)).split("\n\n")[0]

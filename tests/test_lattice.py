@@ -78,6 +78,17 @@ def test_the_fact_is_scanned_three_times_at_most(spark):
         assert len(direct) + 2 * (group == "aggregations") <= 3
 
 
+def test_reports_of_products_alone_store_no_aggregate(spark):
+    star = star_for(spark, SMOKE_DIR)
+    registry.release(star)
+    alone = registry.report_frame(star, "avg_order_value_per_category").collect()
+    assert not lattice.stored(star)
+    registry.forget_reports(star)
+    lattice.store(star)
+    assert sorted(map(str, registry.report_frame(star, "avg_order_value_per_category").collect())) == sorted(map(str, alone))
+    registry.release(star)
+
+
 def test_no_row_of_the_fact_moves_by_order(spark):
     """On an order-keyed star the aggregates, and the counts per key made
     from them, need no exchange but that of the counts."""
