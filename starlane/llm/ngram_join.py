@@ -30,6 +30,9 @@ component has none.
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,7 +48,9 @@ COUNT_BITS = 20  # bins of the frequency sketch
 CHUNKS = 256  # pieces in which the sketch is added up
 SMALL_BUCKET = 4  # up to here a bucket gives all its pairs
 RANGES = 256  # hash ranges of the suffix filter
-FLUSH = 1_000_000  # postings a task holds before it hands them on
+FLUSH = 250_000  # postings a task holds before it hands them on
+GROUPS = 4  # hash ranges of postings for each partition; a task holds one at a time
+MEMO = 1_000_000  # signatures a task remembers
 NO_ID = (1 << 63) - 1  # stands for a null doc_id inside
 BROADCAST_IDS = 1_000_000  # document ids (8 MB) that may be broadcast
 
@@ -164,7 +169,7 @@ def _pack(postings: np.ndarray, groups: int):
         yield int(group[a]), np.ascontiguousarray(planes).tobytes()
 
 
-def _unpack(raw: bytes) -> np.ndarray:
+def _unpack(raw) -> np.ndarray:
     planes = np.frombuffer(raw, np.uint8).reshape(len(_STORED), -1)
     out = np.zeros((planes.shape[1], _POSTING.itemsize), np.uint8)
     out[:, _STORED] = planes.T
@@ -188,7 +193,7 @@ def _postings(docs: DataFrame, ranks, groups: int) -> DataFrame:
                 n = len(grams)
                 if not n or (sig := _signature(grams)) in seen:
                     continue
-                if len(seen) < FLUSH:  # a memo of copies met in this task; a miss only costs a repeated posting
+                if len(seen) < MEMO:  # a memo of copies met in this task; a miss only costs a repeated posting
                     seen.add(sig)
                 rank = table[(grams & _MASK).astype(np.int64)]
                 rows = np.empty(prefix_length(n), _POSTING)
@@ -244,12 +249,9 @@ _FOUND = "a long, b long, total long, bucket long, hub long, node long, n long,
 
 def _meet(postings: DataFrame, partitions: int, small: int = SMALL_BUCKET) -> DataFrame:
     def run(batches):
-        by_group: dict[int, list] = {}
-        for batch in batches:
-            for g, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by_group.setdefault(g, []).append(_unpack(raw))
-        for g in list(by_group):
-            rows = np.concatenate(by_group.pop(g))
+        parts = ((g.as_py(), raw) for batch in batches for g, raw in zip(*batch.columns, strict=True))
+        for _, group in groupby(parts, key=itemgetter(0)):
+            rows = np.concatenate([_unpack(raw.as_buffer()) for _, raw in group])
             rows = rows[np.argsort(rows["h"], kind="stable")]
             twin = np.zeros(len(rows), bool)
             twin[1:] = rows["h"][1:] == rows["h"][:-1]
@@ -263,7 +265,7 @@ def _meet(postings: DataFrame, partitions: int, small: int = SMALL_BUCKET) -> Da
             if len(big[0]):
                 yield pa.RecordBatch.from_arrays([*[big_none] * 3, *map(pa.array, big)], names)
 
-    return write_and_read(postings.repartition(partitions, "g").mapInArrow(run, _FOUND), "ngram-candidates")
+    return write_and_read(postings.repartition(partitions, "g").sortWithinPartitions("g").mapInArrow(run, _FOUND), "ngram-candidates")
 
 
 def _suffix_filter(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
@@ -306,7 +308,7 @@ def _verify(pairs: DataFrame, sketch: DataFrame, docs: DataFrame) -> DataFrame:
                 if len(grams) and (s := _signature(grams)) not in done:
                     sig.append(s)
                     raw.append(grams.tobytes())
-                    if len(done) < FLUSH:
+                    if len(done) < MEMO:
                         done.add(s)
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(raw, pa.large_binary()).cast(pa.binary())], ["sig", "grams"])
 
@@ -356,7 +358,7 @@ def jaccard_groups(docs: DataFrame, small_bucket: int = SMALL_BUCKET) -> DataFra
     ranks = spark.sparkContext.broadcast(_ranks(sketch))
     rows = sketch.filter("chunk IS NULL").select("doc_id", "n", "sig")
     nodes = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    found = _meet(_postings(docs, ranks, partitions), partitions, small_bucket)
+    found = _meet(_postings(docs, ranks, GROUPS * partitions), partitions, small_bucket)
     pairs = write_and_read(found.filter("a IS NOT NULL").select("a", "b").distinct(), "ngram-pairs")
     links = _verify(pairs, sketch, docs)
     comps = components(links)
