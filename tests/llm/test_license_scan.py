@@ -145,3 +145,26 @@ def test_mentions_and_units_against_brute_force(spark):
     assert sorted(map(tuple, got)) == sorted(want)
     said = {r.doc_id for r in docs.filter(license_scan.mentions(F.col("text"))).collect()}
     assert said == {i for i, t in enumerate(texts) if stem(tokens(t))}
+
+
+def test_fit_trains_on_every_unit_of_the_corpus(spark, monkeypatch):
+    rng = random.Random(3)
+    some = "the of and to you may not this file work library software terms harbour quiet road zebra".split()
+    lines = [" ".join(rng.choice(some) for _ in range(rng.choice([1, 4, 9]))) for _ in range(3600)] + [" ".join(rng.choice(some) for _ in range(900))]
+    near = [f"he lost the license on day {i}" for i in range(7)]
+    rows = [(i, x) for i, x in enumerate([*lines, *near, f"two\nlines\n\n{near[0]}", "Released under the MIT License.", "", None])]
+    kept = []
+    monkeypatch.setattr(license_scan, "write_and_read", lambda df, name: kept.append(df.cache()) or kept[-1])
+    scanner = license_scan.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.kind: (r.n, r.rows) for r in kept[0].groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
+    windows = len(range(0, 900 - license_scan.SPAN // 2, license_scan.SPAN // 2))
+    assert got["plain"][0] == 3600 + windows + 2  # every line, and the windows of a long one
+    assert got["near"] == (len(near), len(near))
+    assert got["plain"][1] < 3000  # equal rows are one with a weight
+    known = set(scanner.vocabulary.vocabulary)
+    grams = lambda w: {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)} & known
+    words = sorted({w for g in known for w in g.split(" ")})
+    said = spark.createDataFrame([(x.split(" "),) for x in lines[:300]], "tokens array<string>")
+    for r in said.select("tokens", license_scan._runs(F.col("tokens"), words).alias("runs")).collect():
+        assert set().union(*[grams(run.split(" ")) for run in r.runs]) == grams(r.tokens)
+    kept[0].unpersist()
