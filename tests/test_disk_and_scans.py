@@ -84,3 +84,16 @@ def test_reports_store_only_the_aggregate_they_read(spark):
     assert lattice.stored(star)
     registry.release(star)
     assert not lattice.stored(star, "order_parties")
+
+
+def test_sums_per_product_are_made_once(spark):
+    star = catalog.star_for(spark, SMOKE_DIR)
+    registry.release(star)
+    plain = {tuple(r) for r in lattice.per_product(star).select("product_key", "_o", "_s", "_n", "_ns").collect()}
+    lattice.store(star, "order_products")
+    held = lattice.per_product(star)
+    assert {tuple(r) for r in held.select("product_key", "_o", "_s", "_n", "_ns").collect()} == plain
+    for name in ("sales_by_product", "mart_inventory", "category_performance", "subcategory_performance", "avg_order_value_by_category"):
+        assert set(held.inputFiles()) <= set(catalog.STAR_PLANS[name](star).inputFiles())
+        assert not set(lattice.order_products(star).inputFiles()) & set(catalog.STAR_PLANS[name](star).inputFiles())
+    registry.release(star)
